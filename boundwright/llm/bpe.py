@@ -18,8 +18,9 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterable
+import sys
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from boundwright.llm.common import bounded_batches, table
 
-#: Chunks whose ids a worker remembers at most, before it starts afresh.
+#: Chunks and pre-tokens whose ids a worker remembers; when more come, it forgets all but the CACHE // 2 it met first.
 CACHE = 300_000
 #: Pre-tokens up to this many bytes are merged many at a time.
 WIDEST = 64
@@ -46,6 +47,7 @@ class Vocabulary:
         self.pattern = regex.compile(pattern)
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int64)
         self.cache: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
         pairs = {}
         for word, rank in self.ranks.items():
             for cut in range(1, len(word)):
@@ -62,8 +64,8 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.values[at], NONE)
 
-    def merge_rows(self, words: list[bytes], width: int) -> list[np.ndarray]:
-        """The ids of words of at most `width` bytes (a power of two), merged side by side."""
+    def merge_rows(self, words: list[bytes], width: int) -> list[bytes]:
+        """The ids of words of at most `width` bytes (a power of two), merged side by side, as the bytes of 32-bit integers."""
         n = len(words)
         raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), dtype=np.uint8).reshape(n, width)
         length = np.fromiter(map(len, words), dtype=np.int64, count=n)
@@ -104,7 +106,10 @@ class Vocabulary:
                 node >>= 1
                 tree[row, node] = np.minimum(tree[row, 2 * node], tree[row, 2 * node + 1])
             rows = rows[tree[rows, 1] != NONE]
-        return [x[x >= 0] for x in ids]
+        kept = ids >= 0
+        flat = ids[kept].astype(np.int32).tobytes()
+        ends = np.cumsum(4 * kept.sum(1)).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
     def merge_long(self, word: bytes) -> list[int]:
         """The ids of one long pre-token, by the same tree."""
@@ -140,40 +145,57 @@ class Vocabulary:
                 put(before[at], rank(before[at], at))
         return [x for x in ids if x >= 0]
 
-    def merge(self, words: Iterable[bytes]) -> dict[bytes, bytes]:
-        """The ids of each distinct word, as the bytes of 32-bit integers."""
-        found, classes = {}, {}
-        for word in set(words):
+    def merge(self, words: set[str]) -> None:
+        """Put the ids of each pre-token into `known`, as the bytes of 32-bit integers."""
+        classes: dict[int, tuple[list[str], list[bytes]]] = {}
+        for text in words:
+            word = text.encode()
             if (whole := self.ranks.get(word)) is not None:
-                found[word] = np.int32(whole).tobytes()
+                self.known[text] = whole.to_bytes(4, sys.byteorder)
             elif len(word) > WIDEST:
-                found[word] = np.array(self.merge_long(word), dtype=np.int32).tobytes()
+                self.known[text] = np.array(self.merge_long(word), dtype=np.int32).tobytes()
             else:
-                classes.setdefault(max(2, 1 << (len(word) - 1).bit_length()), []).append(word)
-        for width, some in classes.items():
-            for start in range(0, len(some), 20_000):
-                part = some[start : start + 20_000]
-                found.update(zip(part, (x.astype(np.int32).tobytes() for x in self.merge_rows(part, width)), strict=True))
-        return found
+                some = classes.setdefault(1 << (len(word) - 1).bit_length(), ([], []))
+                some[0].append(text)
+                some[1].append(word)
+        for width, (names, some) in classes.items():
+            for at in range(0, len(some), 20_000):
+                self.known.update(zip(names[at : at + 20_000], self.merge_rows(some[at : at + 20_000], width), strict=True))
+
+    def parts(self, chunk: str) -> list[str]:
+        """The matches of the pattern in a chunk; letters, with or without a sign after them, need no search."""
+        if chunk[1:].isalpha() and chunk[0] == " ":
+            return [chunk]
+        if chunk[-1] in SIGNS and chunk[0] == " " and chunk[1:-1].isalpha():
+            return [chunk[:-1], chunk[-1]]
+        return self.pattern.findall(chunk)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as the bytes of 32-bit integers."""
+        for memory in (self.cache, self.known):
+            if len(memory) > CACHE:
+                for key in list(islice(memory, CACHE // 2, None)):
+                    del memory[key]
         chunked = [chunks(x) for x in texts]
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        cache = self.cache
-        new = {c for some in chunked for c in some if c not in cache}
-        if new:
-            split = {c: [m.encode() for m in self.pattern.findall(c)] for c in new}
-            ids = self.merge(m for some in split.values() for m in some)
-            cache.update((c, b"".join(map(ids.__getitem__, some))) for c, some in split.items())
+        cache, known = self.cache, self.known
+        if new := set(chain.from_iterable(chunked)).difference(cache):
+            split = {c: self.parts(c) for c in new}
+            self.merge(set(chain.from_iterable(split.values())).difference(known))
+            cache.update((c, known[some[0]] if len(some) == 1 else b"".join([known[x] for x in some])) for c, some in split.items())
         ids = [b"".join(map(cache.__getitem__, some)) for some in chunked]
-        for c in new:
-            if len(c) > WIDEST:  # so that the memory of CACHE chunks is bounded
-                del cache[c]
+        for c in [x for x in new if len(x) > WIDEST]:  # so that what CACHE of them take is bounded
+            del cache[c]
+            for x in split[c]:
+                if len(x) > WIDEST:
+                    known.pop(x, None)
         return ids
 
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
 
+
+#: Signs that stand alone after letters.
+SIGNS = ".,;:!?"
 #: A space before more white space, where cutting would change what the pattern matches.
 RUN = re.compile(r" \s")
 
@@ -214,8 +236,8 @@ def decode(ids: str | Column, path: str, pattern: str) -> Column:
 
     @F.pandas_udf("binary")
     def whole(lists: pd.Series) -> pd.Series:
-        get = vocabulary(path, pattern).bytes_of.__getitem__
-        return pd.Series([b"" if x is None else b"".join(map(get, x.tolist())) for x in lists], dtype=object)
+        own = vocabulary(path, pattern)
+        return pd.Series([b"" if x is None else own.decode(x) for x in lists], dtype=object)
 
     return whole(ids)
 
