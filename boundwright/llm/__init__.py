@@ -11,6 +11,7 @@ from importlib import import_module
 MODULES = (
     "decontaminate",
     "simhash",
+    "sharding",
     "quality_rules",
     "quality_model",
     "bpe",

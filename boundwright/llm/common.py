@@ -38,3 +38,9 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession, label)}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The frame, checkpointed in the shared folder: as written(), but it keeps its partitions and their order."""
+    shared_dir(df.sparkSession, "checkpoint")
+    return df.checkpoint()
