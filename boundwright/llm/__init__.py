@@ -12,6 +12,7 @@ MODULES = (
     "decontaminate",
     "simhash",
     "sharding",
+    "attention",
     "quality_rules",
     "quality_model",
     "bpe",
