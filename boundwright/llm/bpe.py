@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from boundwright.llm.common import bounded_batches, table
 
 #: Chunks and pre-tokens whose ids a worker remembers; when more come, it forgets all but the CACHE // 2 it met first.
-CACHE = 300_000
+CACHE = 700_000
 #: Pre-tokens up to this many bytes are merged many at a time.
 WIDEST = 64
 NONE = np.int64(1) << 62
@@ -47,7 +47,6 @@ class Vocabulary:
         self.pattern = regex.compile(pattern)
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int64)
         self.cache: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
         pairs = {}
         for word, rank in self.ranks.items():
             for cut in range(1, len(word)):
@@ -146,68 +145,63 @@ class Vocabulary:
         return [x for x in ids if x >= 0]
 
     def merge(self, words: set[str]) -> None:
-        """Put the ids of each pre-token into `known`, as the bytes of 32-bit integers."""
+        """Put the ids of each pre-token into the cache, as the bytes of 32-bit integers."""
+        cache, ranks = self.cache, self.ranks
         classes: dict[int, tuple[list[str], list[bytes]]] = {}
         for text in words:
             word = text.encode()
-            if (whole := self.ranks.get(word)) is not None:
-                self.known[text] = whole.to_bytes(4, sys.byteorder)
+            if (whole := ranks.get(word)) is not None:
+                cache[text] = whole.to_bytes(4, sys.byteorder)
             elif len(word) > WIDEST:
-                self.known[text] = np.array(self.merge_long(word), dtype=np.int32).tobytes()
+                cache[text] = np.array(self.merge_long(word), dtype=np.int32).tobytes()
             else:
                 some = classes.setdefault(1 << (len(word) - 1).bit_length(), ([], []))
                 some[0].append(text)
                 some[1].append(word)
         for width, (names, some) in classes.items():
             for at in range(0, len(some), 20_000):
-                self.known.update(zip(names[at : at + 20_000], self.merge_rows(some[at : at + 20_000], width), strict=True))
-
-    def parts(self, chunk: str) -> list[str]:
-        """The matches of the pattern in a chunk; letters, with or without a sign after them, need no search."""
-        if chunk[1:].isalpha() and chunk[0] == " ":
-            return [chunk]
-        if chunk[-1] in SIGNS and chunk[0] == " " and chunk[1:-1].isalpha():
-            return [chunk[:-1], chunk[-1]]
-        return self.pattern.findall(chunk)
+                cache.update(zip(names[at : at + 20_000], self.merge_rows(some[at : at + 20_000], width), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as the bytes of 32-bit integers."""
-        for memory in (self.cache, self.known):
-            if len(memory) > CACHE:
-                for key in list(islice(memory, CACHE // 2, None)):
-                    del memory[key]
+        cache = self.cache
+        if len(cache) > CACHE:
+            for key in list(islice(cache, CACHE // 2, None)):
+                del cache[key]
         chunked = [chunks(x) for x in texts]
-        cache, known = self.cache, self.known
-        if new := set(chain.from_iterable(chunked)).difference(cache):
-            split = {c: self.parts(c) for c in new}
-            self.merge(set(chain.from_iterable(split.values())).difference(known))
-            cache.update((c, known[some[0]] if len(some) == 1 else b"".join([known[x] for x in some])) for c, some in split.items())
+        new = set(chain.from_iterable(chunked)).difference(cache)
+        words = {c for c in new if c[0] == " " and c[1:].isalpha()}  # one match each, without a search
+        split = {c: self.pattern.findall(c) for c in new.difference(words)}
+        self.merge(words.union(chain.from_iterable(split.values())).difference(cache))
+        cache.update((c, b"".join([cache[x] for x in some])) for c, some in split.items() if len(some) > 1)
         ids = [b"".join(map(cache.__getitem__, some)) for some in chunked]
         for c in [x for x in new if len(x) > WIDEST]:  # so that what CACHE of them take is bounded
-            del cache[c]
-            for x in split[c]:
+            for x in (c, *split.get(c, ())):
                 if len(x) > WIDEST:
-                    known.pop(x, None)
+                    cache.pop(x, None)
         return ids
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
 
 
-#: Signs that stand alone after letters.
-SIGNS = ".,;:!?"
 #: A space before more white space, where cutting would change what the pattern matches.
 RUN = re.compile(r" \s")
+#: A full stop or comma before a space that follows no letter or digit, and so may belong to a longer match.
+JOINED = re.compile(r"(?<![^\W_])[.,] ")
 
 
 def chunks(text: str) -> list[str]:
-    """The text cut before single spaces, where no match of the pattern spans the cut; whole if it has runs of white space."""
+    """The text cut where no match of the pattern spans the cut: before single spaces, and around most full stops and commas."""
     if not text:
         return []
     if RUN.search(text):
         return runs(text)
-    first, *rest = text.split(" ")
-    return [first, *(" " + x for x in rest)] if first else [" " + x for x in rest]
+    if "\0" in text or JOINED.search(text):
+        some = text.replace(" ", "\0 ").split("\0") if "\0" not in text else runs(text)
+    else:
+        some = text.replace(" ", "\0 ").replace(".\0", "\0.\0").replace(",\0", "\0,\0").split("\0")
+    return some if some[0] else some[1:]
 
 
 def runs(text: str) -> list[str]:
