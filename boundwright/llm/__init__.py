@@ -12,6 +12,7 @@ MODULES = (
     "decontaminate",
     "simhash",
     "sharding",
+    "token_counts",
     "attention",
     "quality_rules",
     "quality_model",
