@@ -14,6 +14,7 @@ MODULES = (
     "sharding",
     "token_counts",
     "attention",
+    "url_templates",
     "quality_rules",
     "quality_model",
     "bpe",
