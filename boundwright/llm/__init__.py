@@ -9,6 +9,7 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = (
+    "warc",
     "decontaminate",
     "simhash",
     "sharding",
