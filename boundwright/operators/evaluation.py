@@ -72,9 +72,8 @@ def top_clusters(rows: DataFrame, key: str, first: str, k: int) -> DataFrame:
 
 
 def shares(rows: DataFrame, key: str) -> DataFrame:
-    """Count and percentage of each value."""
-    sums = rows.groupBy(key).agg(F.count("*").alias("n"))
-    return sums.crossJoin(F.broadcast(rows.agg(F.count("*").alias("total")))).select(key, "n", F.round(F.col("n") * 100.0 / F.col("total"), 2).alias("percent"))
+    """Count and percentage of each value; the total is a scalar subquery."""
+    return rows.sparkSession.sql(f"SELECT {key}, count(*) AS n, round(count(*) * 100.0D / (SELECT count(*) FROM {{rows}}), 2) AS percent FROM {{rows}} GROUP BY {key}", rows=rows)
 
 
 def spread(order_id: Column, seed: int) -> Column:
