@@ -421,3 +421,76 @@ def label_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alarms as the engine may see them: without labels, messages without their prefix."""
     rows = view(spark, sf_dir, "alarms").select("order_id", "classification", F.concat("category", F.lit(": "), "location").alias("message"))
     return scrubbed(rows, "message", ["classification"])
+
+
+@query(
+    """SELECT caller, callee, line, (SELECT min(struct_pack(d := abs(f.start_line - c.line), s := f.start_line)).s FROM functions f WHERE f.name = c.callee) AS nearest_span FROM control_flow c""",
+    "control_flow",
+    "functions",
+)
+def nearest_span_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each call the function of the callee's name that starts nearest."""
+    calls = view(spark, sf_dir, "control_flow").select("caller", F.col("callee").alias("name"), "line")
+    spans = view(spark, sf_dir, "functions").select("name", F.col("start_line").alias("line"))
+    found = J.nearest(calls, spans, "name", "line", width=1 << 16)
+    return found.select("caller", F.col("name").alias("callee"), "line", F.col("found").alias("nearest_span"))
+
+
+@query(
+    """_w AS (SELECT split_part(variable, '@', 1) AS symbol, line, 1 AS source FROM data_flow WHERE access = 'write' UNION ALL SELECT operand, line, 2 FROM c_lines WHERE text LIKE '% = %')
+    SELECT symbol, line, CAST(min(source) AS BIGINT) AS source, count(*) AS n_rows FROM _w GROUP BY symbol, line""",
+    "data_flow",
+    "c_lines",
+)
+def write_union_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes from the data flow and from the source text; a line of both counts for the first."""
+    flow = view(spark, sf_dir, "data_flow").filter("access = 'write'").select(T.bare_name(F.col("variable")).alias("symbol"), "line", F.lit(1).cast("bigint").alias("source"))
+    text = view(spark, sf_dir, "c_lines").filter(F.contains("text", F.lit(" = "))).select(F.col("operand").alias("symbol"), "line", F.lit(2).cast("bigint").alias("source"))
+    return flow.unionByName(text).groupBy("symbol", "line").agg(F.min("source").alias("source"), F.count("*").alias("n_rows"))
+
+
+@query(
+    """_n AS (SELECT split_part(variable, '@', 1) AS bare, seq FROM data_flow), _k AS (SELECT bare, seq, row_number() OVER (PARTITION BY bare ORDER BY seq) AS r FROM _n QUALIFY r <= 20),
+    _s AS (SELECT bare, string_agg(CAST(seq AS VARCHAR), ',' ORDER BY seq) AS sites FROM _k GROUP BY bare), _a AS (SELECT DISTINCT split_part(bare, '.', 1) || m AS asked FROM _n, (VALUES (''), ('.f'), ('.g')) t(m))
+    SELECT asked, coalesce(a.sites, b.sites) AS sites FROM _a LEFT JOIN _s a ON a.bare = asked LEFT JOIN _s b ON b.bare = split_part(asked, '.', 1)""",
+    "data_flow",
+)
+def dataflow_sites_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first twenty accesses of a member, or of its object where the member has none."""
+    flow = view(spark, sf_dir, "data_flow").select(T.bare_name(F.col("variable")).alias("bare"), "seq")
+    top = J.first_of(flow, ["bare"], [F.asc("seq")], 20).groupBy("bare").agg(F.array_join(F.array_sort(F.collect_list("seq")).cast("array<string>"), ",").alias("sites"))
+    asked = flow.select(F.substring_index("bare", ".", 1).alias("root")).distinct().select("root", F.explode(F.array(F.lit(""), F.lit(".f"), F.lit(".g"))).alias("member")).select("root", F.concat("root", "member").alias("asked"))
+    own = asked.join(top.withColumnRenamed("bare", "asked"), "asked", "left")
+    return own.join(top.select(F.col("bare").alias("root"), F.col("sites").alias("of_root")), "root", "left").select("asked", F.coalesce("sites", "of_root").alias("sites"))
+
+
+@query(
+    """WITH l AS (SELECT page_id, unnest(string_split(html, chr(10))) AS line FROM pages) SELECT page_id, count(*) FILTER (trim(line) <> '') AS n_lines,
+    CAST(min(length(line) - length(ltrim(line, ' '))) FILTER (trim(line) <> '' AND line NOT LIKE '#%') AS BIGINT) AS indent FROM l GROUP BY page_id"""
+)
+def dedent_min_indent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that are not blank, and the least indent of those, cut where the text lies."""
+    lines = F.filter(F.split("html", "\n", -1), lambda x: F.trim(x) != "")
+    indents = F.transform(F.filter(lines, lambda x: ~x.startswith("#")), lambda x: F.length(x) - F.length(F.ltrim(x)))
+    return view(spark, sf_dir, "pages").select("page_id", F.size(lines).cast("bigint").alias("n_lines"), F.array_min(indents).cast("bigint").alias("indent"))
+
+
+@query("SELECT t.order_id, t.human FROM truth t WHERE NOT EXISTS (SELECT 1 FROM tool_events e WHERE e.order_id = t.order_id AND e.tool = 'submit_verdict')", "truth", "tool_events")
+def resume_remaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled alarms that have no submitted verdict yet."""
+    done = view(spark, sf_dir, "tool_events").filter("tool = 'submit_verdict'").select("order_id")
+    return view(spark, sf_dir, "truth").join(done, "order_id", "left_anti").select("order_id", "human")
+
+
+@query("SELECT order_id, string_agg(tool, '>' ORDER BY seq) AS trace, count(*) AS n_calls, max(seq) FILTER (tool = 'submit_verdict') AS last_submit FROM tool_events GROUP BY order_id", "tool_events")
+def trace_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A session's tools in order, and its last submission."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("seq", "tool"))), lambda x: x["tool"])
+    return view(spark, sf_dir, "tool_events").groupBy("order_id").agg(F.array_join(ordered, ">").alias("trace"), F.count("*").alias("n_calls"), F.max(F.when(F.col("tool") == "submit_verdict", F.col("seq"))).alias("last_submit"))
+
+
+@query("SELECT order_id, location, (SELECT count(*) FROM alarms) AS total FROM alarms ORDER BY order_id LIMIT 500", "alarms")
+def order_list_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first page of the alarm list, with the number of all alarms."""
+    rows = view(spark, sf_dir, "alarms")
+    return spark.sql("SELECT order_id, location, (SELECT count(*) FROM {rows}) AS total FROM {rows} ORDER BY order_id LIMIT 500", rows=rows)

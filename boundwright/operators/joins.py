@@ -42,6 +42,15 @@ def last_before(left: DataFrame, right: DataFrame, key: str, line: str, value: C
     return out.withColumn("found", F.coalesce("near", "carried")["v"]).drop("near", "carried", "bucket")
 
 
+def nearest(left: DataFrame, right: DataFrame, key: str, line: str, width: int = WIDTH) -> DataFrame:
+    """left with `found`: the line of the key's right row nearest to its own, the smaller of two; null where the key has none."""
+    before = last_before(left.withColumn("own", F.col(line)), right, key, line, F.col(line), width).withColumnRenamed("found", "before")
+    turned = right.withColumn(line, -F.col(line))
+    both = last_before(before.withColumn(line, 1 - F.col("own")), turned, key, line, F.col(line), width).withColumn("after", -F.col("found"))
+    nearer = F.when(F.col("own") - F.col("before") <= F.col("after") - F.col("own"), F.col("before")).otherwise(F.coalesce("after", "before"))
+    return both.withColumn("found", nearer).withColumn(line, F.col("own")).drop("own", "before", "after")
+
+
 def first_of(rows: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
     """The first k rows of each key, with `rank`. Spark cuts each task's rows to k a key before it shuffles them."""
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint")).filter(F.col("rank") <= k)
