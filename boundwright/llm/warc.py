@@ -267,3 +267,12 @@ def op1_capture_index(spark, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_capture_index": op1_capture_index}
 
+#: Base 32 of a SHA-1: each eight signs are ten of its hexadecimal digits.
+ORACLE_SQL = {
+    "op1_capture_index": """WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+    g AS (SELECT page_id, n, h, max(page_id) OVER (PARTITION BY h, n) AS head FROM p)
+    SELECT page_id, n AS payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      CAST(1 + ((CAST('0x' || substr(h, (i // 8) * 10 + 1, 10) AS BIGINT) >> CAST(35 - 5 * (i % 8) AS INTEGER)) & 31) AS INTEGER), 1)), '') AS payload_digest,
+    CASE WHEN page_id IS NOT DISTINCT FROM head THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id IS DISTINCT FROM head THEN head END AS refers_to FROM g"""
+}
+

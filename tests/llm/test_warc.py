@@ -57,3 +57,12 @@ def test_archives_are_plain_gzip_members(spark, tmp_path):
     for r in w.write(pages, f"file://{tmp_path}").collect():
         fields, payload = w.parse(gzip.decompress(open(r.file, "rb").read()[r.offset : r.offset + r.length]))
         assert fields["WARC-Record-ID"] == f"<urn:page:{r.page_id}>" and payload == (b"x" if r.page_id == 2 else b"")
+
+
+def test_sql_gives_the_same():
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW pages AS SELECT * FROM '/root/testdata/sf0.01/pages.parquet'")
+    rows = con.execute("SELECT page_id, html FROM pages").fetchall()
+    assert sorted(con.execute(w.ORACLE_SQL["op1_capture_index"]).fetchall(), key=str) == brute(rows)
