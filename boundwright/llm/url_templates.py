@@ -55,16 +55,21 @@ def shape(path: Column) -> Column:
     return F.when(F.size(some) > LEVELS, F.concat(F.slice(some, 1, LEVELS), F.array(F.lit("**")))).otherwise(some)
 
 
+def depth(shapes: DataFrame, name: str) -> int:
+    """The longest array of a column, at most LEVELS + 1."""
+    return shapes.agg(F.max(F.size(name))).first()[0] or 0
+
+
 def generalised(shapes: DataFrame) -> DataFrame:
     """shapes (host, shape, n, labelled, good) with `template`, an array as long as shape."""
     out = shapes.withColumn("template", F.expr("CAST(array() AS array<string>)"))
-    for level in range(1, LEVELS + 1):
+    for level in range(1, depth(shapes, "shape") + 1):
         own = F.try_element_at("shape", F.lit(level))
         children = out.filter(own.isNotNull()).groupBy("host", "template", own.alias("segment")).agg(F.sum("n").alias("m"))
         parents = children.groupBy("host", "template").agg(F.sum("m").alias("all"))
         kept = children.join(parents, ["host", "template"]).filter(F.col("m") >= LITERAL * F.col("all")).select("host", "template", "segment", F.lit(True).alias("kept"))
         out = out.withColumn("segment", own).join(kept, ["host", "template", "segment"], "left")
-        name = F.when(F.col("kept") | (F.col("segment") == "**"), F.col("segment")).otherwise(F.lit("*"))
+        name = F.when(F.col("kept"), F.col("segment")).otherwise(F.lit("*"))
         out = out.withColumn("template", F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat("template", F.array(name)))).drop("segment", "kept")
         out = written(out, f"level-{level}")
     return out
@@ -73,7 +78,7 @@ def generalised(shapes: DataFrame) -> DataFrame:
 def merged(shapes: DataFrame) -> DataFrame:
     """shapes with templates, each segment of which became `*` where the labels of its branch are like its siblings'."""
     out = shapes
-    for level in range(LEVELS, 0, -1):
+    for level in range(depth(shapes, "template"), 0, -1):
         own = F.try_element_at("template", F.lit(level))
         rest = F.slice("template", level + 1, LEVELS + 1)
         branch = out.filter(own.isNotNull()).groupBy("host", F.slice("template", 1, level - 1).alias("parent"), own.alias("segment"), rest.alias("rest")).agg(F.sum("labelled").alias("k"), F.sum("good").alias("g"))
@@ -113,7 +118,7 @@ def judged(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     by_tree = F.when(F.col("rejected"), "block").otherwise("allow")
     return parsed.join(tree, ["host", "shape"]).select(
-        "page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, by_tree).alias("verdict"), F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), "purity"
+        "page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, by_tree).alias("verdict"), F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), F.round("purity", 9).alias("purity")
     )
 
 
@@ -127,3 +132,51 @@ def op9_path_templates(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op9_path_templates": op9_path_templates}
+
+
+def oracle() -> str:
+    """The same in DuckDB's SQL, level by level."""
+    rules = sorted(RULES, key=lambda r: -len(r[0] + r[1]))
+    fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
+    case = lambda what: "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{what(h, p, v)}'" for h, p, v in rules) + " END"
+    parts = [
+        "_u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages)",
+        f"_h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM _u)",
+        "_n AS (SELECT *, TRY_CAST(regexp_extract(path, '([0-9]{1,18})[^0-9]*$', 1) AS BIGINT) AS doc_id FROM _h)",
+        "_y AS (SELECT page_id, min(CASE WHEN quality = 1 AND coalesce(toxic, 0) = 0 THEN 1 ELSE 0 END) AS label FROM _n JOIN labels ON labels.doc_id = _n.doc_id GROUP BY page_id)",
+        "_s AS (SELECT page_id, host, path, list_filter(string_split(regexp_replace(regexp_replace(path, '[0-9a-fA-F]{16,}', '{h}', 'g'), '[0-9]+', '{n}', 'g'), '/'), lambda x: x <> '') AS segs FROM _n)",
+        f"_p AS (SELECT _s.page_id, host, path, label, CASE WHEN len(segs) > {LEVELS} THEN list_append(segs[1:{LEVELS}], '**') ELSE segs END AS shape FROM _s LEFT JOIN _y ON _y.page_id = _s.page_id)",
+        "_g0 AS (SELECT host, shape, count(*) AS n, count(label) AS labelled, coalesce(sum(label), 0) AS good, CAST([] AS VARCHAR[]) AS template FROM _p GROUP BY host, shape)",
+        "_prior AS (SELECT (sum(good) + 1) / (sum(labelled) + 2) AS prior FROM _g0)",
+    ]
+    for k in range(1, LEVELS + 2):
+        parts += [
+            f"_c{k} AS (SELECT host, template, shape[{k}] AS segment, sum(n) AS m FROM _g{k - 1} WHERE len(shape) >= {k} GROUP BY ALL)",
+            f"_k{k} AS (SELECT *, sum(m) OVER (PARTITION BY host, template) AS of_all FROM _c{k})",
+            f"_g{k} AS (SELECT g.host, g.shape, n, labelled, good, CASE WHEN len(g.shape) < {k} THEN g.template ELSE list_append(g.template, CASE WHEN k.m >= {LITERAL} * k.of_all THEN k.segment ELSE '*' END) END AS template"
+            f" FROM _g{k - 1} g LEFT JOIN _k{k} k ON k.host = g.host AND k.template = g.template AND k.segment = g.shape[{k}])",
+        ]
+    last = f"_g{LEVELS + 1}"
+    for k in range(LEVELS + 1, 0, -1):
+        cut = f"template[1:{k - 1}] AS parent, template[{k}] AS segment, template[{k + 1}:] AS rest"
+        parts += [
+            f"_b{k} AS (SELECT host, {cut}, sum(labelled) AS k, sum(good) AS g FROM {last} WHERE len(template) >= {k} GROUP BY ALL)",
+            f"_w{k} AS (SELECT *, sum(k) OVER w AS ak, sum(g) OVER w AS ag, count(*) OVER w AS branches FROM _b{k} WINDOW w AS (PARTITION BY host, parent, rest))",
+            f"_a{k} AS (SELECT host, parent, segment, rest FROM _w{k} WHERE branches = 1 OR CASE WHEN ag > 0 AND ag < ak AND k > 0 AND k < ak THEN abs(g / k - (ag - g) / (ak - k)) / sqrt(ag / ak * (1 - ag / ak) * (1.0 / k + 1.0 / (ak - k))) > {SIMILAR} ELSE false END)",
+            f"_x{k} AS (SELECT *, {cut} FROM {last})",
+            f"_m{k} AS (SELECT x.host, x.shape, n, labelled, good, CASE WHEN len(x.template) < {k} THEN x.template ELSE list_concat(list_append(x.parent, CASE WHEN a.host IS NULL THEN '*' ELSE x.segment END), x.rest) END AS template"
+            f" FROM _x{k} x LEFT JOIN _a{k} a ON a.host = x.host AND a.parent = x.parent AND a.segment = x.segment AND a.rest = x.rest)",
+        ]
+        last = f"_m{k}"
+    parts += [
+        f"_t AS (SELECT host, template, (sum(good) + {PRIOR} * any_value(prior)) / (sum(labelled) + {PRIOR}) AS purity FROM {last}, _prior GROUP BY host, template)",
+        f"_j AS (SELECT m.host, m.shape, m.template, purity FROM {last} m JOIN _t ON _t.host = m.host AND _t.template = m.template)",
+    ]
+    return (
+        f"WITH {', '.join(parts)} SELECT page_id, _p.host, path, {case(lambda h, p, v: h + p).replace('host', '_p.host')} AS rule,"
+        f" coalesce({case(lambda h, p, v: v).replace('host', '_p.host')}, CASE WHEN purity < {LEAST} THEN 'block' ELSE 'allow' END) AS verdict,"
+        " concat('/', array_to_string(template, '/')) AS template, round(purity, 9) AS purity FROM _p JOIN _j ON _j.host = _p.host AND _j.shape = _p.shape"
+    )
+
+
+ORACLE_SQL = {"op9_path_templates": oracle()}

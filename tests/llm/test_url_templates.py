@@ -71,3 +71,22 @@ def test_query(spark):
     for r in got:
         host, path = parse(pages[r.page_id])
         assert (r.host, r.path, r.rule) == (host, path, rule(host, path)) and (r.rule is None or r.verdict == VERDICT[r.rule])
+
+
+def test_sql_gives_the_same(spark):
+    import duckdb
+
+    at = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    for name in ("pages", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{at}/{name}.parquet'")
+    got = u.op9_path_templates(spark, at)
+    want = con.execute(u.ORACLE_SQL["op9_path_templates"])
+    assert [d[0] for d in want.description] == got.columns
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want.fetchall()))
+
+
+def test_deep_paths_end_in_one_wildcard(spark):
+    pages = spark.createDataFrame([(i, "x://d.net/" + "/".join("abcdefghij"[: 4 + i % 6])) for i in range(60)], "page_id long, url string")
+    got = {r.path: r.template for r in u.judged(pages, spark.createDataFrame([], "page_id long, label int")).collect()}
+    assert got["/a/b/c/d/e/f"].count("/") == 6 and got["/a/b/c/d/e/f/g/h"].endswith("/**") and len(got) == 6
