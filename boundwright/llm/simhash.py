@@ -79,7 +79,9 @@ def signatures(prints: DataFrame) -> DataFrame:
 
 def links(prints: DataFrame) -> DataFrame:
     """(a, b), a < b: the distinct pairs of distinct fingerprints (column fp) that differ by at most MAX_BITS bits."""
-    rows = signatures(prints.select("fp").distinct())
+    # Each row becomes 132, so the few bytes of all fingerprints are dealt to many tasks.
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = signatures(prints.select("fp").distinct().repartition(parts, "fp"))
     zeros = rows.filter("side != 1").selectExpr("key", "fp AS x")
     ones = rows.filter("side != 0").selectExpr("key", "fp AS y")
     near = zeros.join(ones, "key").filter(f"bit_count(x ^ y) BETWEEN 1 AND {MAX_BITS}")
