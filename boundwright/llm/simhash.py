@@ -12,6 +12,16 @@ question deleted:
 Every candidate is verified, and only links are kept. Signatures are made for distinct fingerprints, so
 copies cost one row, and all keys hold at least 47 of the 64 bits: a key's bucket holds only
 fingerprints of that one neighbourhood.
+
+`survivors`, a stage of the corpus pipeline, asks for more than that: texts link at a Jaccard similarity of
+SIMILAR or more of their sets of WIDTH-word shingles. Fingerprints of such texts lie up to 14 bits apart, for
+which deletion variants would need keys of 8 bits, so here candidates meet in bands of minimum hashes
+(a pair at SIMILAR misses all of them once in 60,000 times), and each is verified on both whole sets:
+
+* equal sets count as one, however many texts have them;
+* sets that share a band's key are all paired if they are PAIRED or fewer. Of more, each is paired with one
+  of them, drawn anew for each key; then those that these links have not joined are paired within chunks of
+  about CHUNK. So pairs grow with the sets and not with the square of a group.
 """
 
 from __future__ import annotations
@@ -27,20 +37,27 @@ from pyspark.sql import functions as F
 from boundwright.llm.common import bounded_batches, table, written
 
 SHINGLE, SEED, MAX_BITS, SEGMENTS = 3, 42, 2, 2
+#: What links texts in the stage, and how its candidates are found.
+WIDTH, SIMILAR, BANDS, BAND_ROWS, PAIRED, CHUNK = 5, 0.8, 28, 5, 8, 64
 #: Shingles whose bits are counted at a time.
 SLICE = 1 << 14
 LAST = (1 << 63) - 1
 
 
-def majority(text: str | None) -> int:
-    """The fingerprint of a text as a signed 64-bit integer; no words: zero."""
+def shingles(text: str | None, width: int) -> tuple[bytes, list[tuple[int, int]]]:
+    """The lower-cased words of a text, and where its shingles start and end in them; fewer words than width are one shingle."""
     words = (text or "").encode().lower().split()
-    if not words:
-        return 0
     joined = b" ".join(words)
     ends = [x - 1 for x in accumulate(len(w) + 1 for w in words)]
     starts = [0, *(x + 1 for x in ends[:-1])]
-    spans = list(zip(starts, ends[SHINGLE - 1 :], strict=False)) or [(0, len(joined))]
+    return joined, list(zip(starts, ends[width - 1 :], strict=False)) or [(0, len(joined))]
+
+
+def majority(text: str | None) -> int:
+    """The fingerprint of a text as a signed 64-bit integer; no words: zero."""
+    joined, spans = shingles(text, SHINGLE)
+    if not joined:
+        return 0
     ones, digest = np.zeros(64, dtype=np.int64), xxhash.xxh64_intdigest
     for at in range(0, len(spans), SLICE):
         some = np.array([digest(joined[a:b], SEED) for a, b in spans[at : at + SLICE]], dtype="<u8")
@@ -110,25 +127,107 @@ def connected(pairs: DataFrame) -> DataFrame:
         seen = now
 
 
-def components(rows: DataFrame) -> DataFrame:
-    """(fp, component) of each distinct fingerprint of rows (id, fp); component: the least id of the fingerprints reachable."""
+def components(rows: DataFrame, pairs=links) -> DataFrame:
+    """(fp, component) of each distinct fingerprint of rows (id, fp); component: the least id of the fingerprints reachable by pairs."""
     own = written(rows.groupBy("fp").agg(F.min("id").alias("least")), "own")
-    roots = connected(links(own)).select(F.col("node").alias("fp"), "root")
+    roots = connected(pairs(own)).select(F.col("node").alias("fp"), "root")
     rooted = written(own.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
     linked = rooted.groupBy("root").agg(F.min("least").alias("component"))
     return written(rooted.join(written(linked, "least"), "root").select("fp", "component"), "components")
 
 
+def shingle_set(text: str | None) -> np.ndarray:
+    """The hashes of a text's WIDTH-word shingles, each once and in order."""
+    joined, spans = shingles(text, WIDTH)
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in spans), dtype="<u8", count=len(spans)))
+
+
+DRAW = np.random.default_rng(SEED)
+FLIPS, FACTORS, MIX = (DRAW.integers(0, 1 << 64, n, dtype=np.uint64) | np.uint64(1) for n in (BANDS * BAND_ROWS, BANDS * BAND_ROWS, BAND_ROWS))
+STARTS = DRAW.integers(0, 1 << 64, BANDS, dtype=np.uint64)
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """One 64-bit key for each band: its BAND_ROWS minimum hashes in one number."""
+    least = np.full(BANDS * BAND_ROWS, ~np.uint64(0))
+    for at in range(0, len(hashes), SLICE >> 4):
+        some = hashes[at : at + (SLICE >> 4)] ^ FLIPS[:, None]
+        some *= FACTORS[:, None]
+        np.minimum(least, some.min(1), out=least)
+    return ((least.reshape(BANDS, BAND_ROWS) * MIX).sum(1, dtype=np.uint64) + STARTS).view("<i8")
+
+
+def banded(texts: pd.Series) -> pd.DataFrame:
+    """fp: a hash of the whole set, so that equal sets are one."""
+    sets = [shingle_set(x) for x in texts]
+    return pd.DataFrame({"fp": np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], dtype="<u8").view("<i8"), "keys": [band_keys(x) for x in sets]})
+
+
+def hashed(texts: pd.Series) -> pd.Series:
+    return pd.Series([shingle_set(x).view("<i8") for x in texts])
+
+
+def similar(left: pd.Series, right: pd.Series) -> pd.Series:
+    """Whether two sets of hashes have a Jaccard similarity of SIMILAR or more."""
+    shared = [np.intersect1d(x, y, assume_unique=True).size for x, y in zip(left, right, strict=True)]
+    return pd.Series([n / (len(x) + len(y) - n) >= SIMILAR for n, x, y in zip(shared, left, right, strict=True)], dtype=bool)
+
+
+def meetings(keys: DataFrame) -> DataFrame:
+    """(key, fp, n, centre) of the rows (fp, key) whose key n > 1 of them have; centre: one of those, drawn anew for each key."""
+    drawn = F.min(F.struct(F.xxhash64("fp", "key").alias("order"), "fp")).getField("fp").alias("centre")
+    shared = written(keys.groupBy("key").agg(F.count("*").alias("n"), drawn).filter("n > 1"), "shared")
+    return written(keys.join(shared, "key"), "met")
+
+
+def candidates(met: DataFrame) -> DataFrame:
+    """(a, b), a < b: the pairs of small groups, and each member of a large one with its centre."""
+    few = met.filter(F.col("n") <= PAIRED).select("key", "fp")
+    paired = few.select("key", F.col("fp").alias("a")).join(few.select("key", F.col("fp").alias("b")), "key").filter("a < b").select("a", "b")
+    starred = met.filter((F.col("n") > PAIRED) & (F.col("fp") != F.col("centre"))).select(F.least("fp", "centre").alias("a"), F.greatest("fp", "centre").alias("b"))
+    return paired.union(starred).distinct()
+
+
+def apart(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b), a < b: the pairs of large groups that roots (node, root) do not join, in chunks of about CHUNK drawn anew for each key."""
+    chunk = F.pmod(F.xxhash64("fp", "key", F.lit(1)), F.ceil(F.col("n") / CHUNK))
+    many = met.filter(F.col("n") > PAIRED).join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    many = written(many.select("key", chunk.alias("chunk"), "fp", F.coalesce("root", "fp").alias("root")), "chunks")
+    other = many.select("key", "chunk", F.col("fp").alias("b"), F.col("root").alias("other"))
+    return many.join(other, ["key", "chunk"]).filter("fp < b AND root != other").select(F.col("fp").alias("a"), "b").distinct()
+
+
+def verified(pairs: DataFrame, marked: DataFrame, label: str) -> DataFrame:
+    """The candidates (a, b) whose texts, of rows (fp, text), are similar."""
+    pairs = written(pairs, f"candidates-{label}")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    texts = marked.select("fp", "text").join(nodes, "fp", "left_semi").dropDuplicates(["fp"])
+    sets = written(texts.select("fp", F.pandas_udf(hashed, "array<long>")("text").alias("hashes")), f"sets-{label}")
+    left, right = sets.select(F.col("fp").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("fp").alias("b"), F.col("hashes").alias("y"))
+    sizes = F.least(F.size("x"), F.size("y")) >= F.lit(SIMILAR) * F.greatest(F.size("x"), F.size("y"))
+    both = pairs.join(left, "a").join(right, "b").filter(sizes)
+    return written(both.filter(F.pandas_udf(similar, "boolean")("x", "y")).select("a", "b"), f"links-{label}")
+
+
+def similar_links(marked: DataFrame) -> DataFrame:
+    """(a, b), a < b: links between the sets of rows (fp, keys, text)."""
+    once = marked.select("fp", "keys").dropDuplicates(["fp"])
+    met = meetings(written(once.select("fp", F.explode("keys").alias("key")), "bands"))
+    first = verified(candidates(met), marked, "near")
+    return first.union(verified(apart(met, connected(first)), marked, "apart"))
+
+
 def survivors(docs: DataFrame) -> DataFrame:
-    """One document of each component, that of the least doc_id (a null one counts as greater than all), with the columns docs had.
+    """One document of each component of similar texts, that of the least doc_id (a null one counts as greater than all), with the columns docs had.
 
-    Of several rows with that id and fingerprint one stays.
+    Of several rows with that id and the same shingles one stays.
     """
     bounded_batches(docs.sparkSession)
     names = docs.columns
-    marked = docs.select(F.struct(*names).alias("row"), fingerprint("text").alias("fp"), F.coalesce("doc_id", F.lit(LAST)).alias("id"))
-    marked = written(marked, "fingerprints")
-    kept = components(marked.select("id", "fp"))
+    marked = docs.select(F.struct(*names).alias("row"), F.pandas_udf(banded, "fp long, keys array<long>")("text").alias("b"), F.coalesce("doc_id", F.lit(LAST)).alias("id"))
+    marked = written(marked.select("row", "id", "b.*"), "shingled")
+    kept = components(marked.select("id", "fp"), lambda _: similar_links(marked.select("fp", "keys", "row.text")))
     first = marked.select("id", "fp").join(kept, "fp").filter("id = component").groupBy("component").agg(F.min("fp").alias("fp"))
     winners = written(first.select(F.col("component").alias("id"), "fp"), "winners")
     return marked.join(winners, ["id", "fp"], "left_semi").dropDuplicates(["id", "fp"]).select("row.*")

@@ -83,3 +83,53 @@ def test_survivors_and_odd_rows(spark):
     kept = sorted((str(r.doc_id), (r.text or "")[:4]) for r in s.survivors(docs).collect())
     assert kept == [("3", "A b "), ("6", ""), ("9", "lore"), ("None", "only")]
     assert s.survivors(docs).columns == docs.columns and s.survivors(docs.limit(0)).count() == 0
+
+
+def near_copies(seed, alone, groups, size, changes):
+    """Texts by id: some alone, then groups of a text and copies of it with some words changed."""
+    draw = random.Random(seed)
+    word = lambda: "".join(draw.choices("abcdefghij", k=5))
+    texts = [[word() for _ in range(150)] for _ in range(alone)]
+    for _ in range(groups):
+        first = [word() for _ in range(150)]
+        texts.append(first)
+        for _ in range(size - 1):
+            copy = list(first)
+            for _ in range(draw.randrange(changes + 1)):
+                copy[draw.randrange(150)] = word()
+            texts.append(copy)
+    return [" ".join(x) for x in texts]
+
+
+def jaccard_components(texts):
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (x.split() for x in texts)]
+    root = list(range(len(texts)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for b in range(len(texts)):
+        for a in range(b):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {find(k) for k in range(len(texts))}
+
+
+def test_survivors_against_brute_force_jaccard(spark):
+    texts = near_copies(4, 30, 30, 4, 6) + near_copies(5, 0, 1, 60, 4)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = jaccard_components(texts)
+    assert {r.doc_id for r in s.survivors(docs).collect()} == want
+    assert len(want) < len(texts) - 80
+
+
+def test_candidates_grow_with_the_rows(spark):
+    keys = spark.range(400).selectExpr("id AS fp", "explode(array(1L, 2L, 1000 + id DIV 4)) AS key")
+    met = s.meetings(keys)
+    got = {tuple(r) for r in s.candidates(met).collect()}
+    none = s.connected(keys.selectExpr("fp AS a", "fp AS b").limit(0))
+    assert s.apart(met, none).count() < 2 * 400 * s.CHUNK and s.apart(met, s.connected(s.candidates(met))).count() == 0
+    assert len(got) <= 2 * 399 + 100 * 6 and all((4 * i + a, 4 * i + b) in got for i in range(100) for a in range(4) for b in range(a + 1, 4))
