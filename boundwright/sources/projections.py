@@ -20,7 +20,7 @@ VIEWS = {
         concat('fn_', user_id) AS function, CASE WHEN event_type IN ('purchase', 'signup') THEN 'write' ELSE 'read' END AS access,
         (event_id * 13 + 5) % (SELECT count(*) * 40 FROM part) + 1 AS line FROM events""",
     "control_flow": """SELECT concat('fn_', l_suppkey) AS caller, concat('fn_', l_partkey % 100) AS callee,
-        l_returnflag AS process, l_orderkey * 10 + l_linenumber AS line FROM lineitem WHERE l_linenumber <= 2""",
+        l_returnflag AS process, l_orderkey * 10 + l_linenumber AS line FROM lineitem""",
     "sparse_edges": """SELECT concat('fn_', s_suppkey) AS src, concat('fn_', CAST(floor(s_suppkey / 2) AS BIGINT)) AS dst FROM supplier
         UNION SELECT concat('fn_', s_suppkey) AS src, concat('fn_', (s_suppkey * 3 + 1) % (SELECT count(*) FROM supplier)) AS dst FROM supplier""",
     "truth": """SELECT doc_id AS order_id, CASE WHEN quality = 0 THEN 'true' WHEN toxic = 1 THEN 'true (low)' ELSE 'false' END AS human FROM labels""",

@@ -5,6 +5,7 @@ from boundwright.operators import evaluation as E
 from boundwright.operators import graph as G
 from boundwright.operators import joins as J
 from boundwright.sources.exports import alarms, semicolon_csv
+from boundwright.sources.projections import view
 
 
 def test_locations_and_literals(spark):
@@ -51,3 +52,8 @@ def test_export_reader(spark, tmp_path):
     path.write_text('sep=;\nOrder;Type;Location\n1,112;a;"f.c:3.4-9"\n;;\nbad;b;f.c:1.1\n')
     got = alarms(semicolon_csv(spark, f"file://{path}", ["Order", "Type", "Location"])).collect()
     assert [(r.order_id, r.line, r.col_end) for r in got] == [(1112, 3, 9)]
+
+
+def test_call_edges_take_every_row(spark, sf_dir):
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    assert view(spark, sf_dir, "control_flow").count() == lines.count() > lines.filter("l_linenumber <= 2").count()
