@@ -14,14 +14,23 @@ copies cost one row, and all keys hold at least 47 of the 64 bits: a key's bucke
 fingerprints of that one neighbourhood.
 
 `survivors`, a stage of the corpus pipeline, asks for more than that: texts link at a Jaccard similarity of
-SIMILAR or more of their sets of WIDTH-word shingles. Fingerprints of such texts lie up to 14 bits apart, for
-which deletion variants would need keys of 8 bits, so here candidates meet in bands of minimum hashes
-(a pair at SIMILAR misses all of them once in 60,000 times), and each is verified on both whole sets:
+SIMILAR or more of their sets of WIDTH-word shingles. The deletion variants of fingerprints over those shingles give
+a part of the candidates. Fingerprints of texts at SIMILAR lie up to 14 bits apart and more, for which keys of
+deletion variants would hold 8 bits, so bands of minimum hashes give the others (a pair at SIMILAR
+misses all of them once in 60,000 times). Every candidate is verified on both whole sets:
 
 * equal sets count as one, however many texts have them;
-* sets that share a band's key are all paired if they are PAIRED or fewer. Of more, each is paired with one
-  of them, drawn anew for each key; then those that these links have not joined are paired within chunks of
-  about CHUNK. So pairs grow with the sets and not with the square of a group.
+* sets that share a band's key are all paired if they are PAIRED or fewer. Of more, each is first paired with one
+  of them, drawn anew for each key. Where that leaves a key's sets in several components, all links between those are
+  found by prefixes: with the shingles of each set from the rarest to the commonest, two similar sets share one
+  of their first few, early enough in both. For a shingle that many of them hold, only sets outside of
+  its largest component are paired with others. So no link is lost, and pairs do not grow with the square of a group
+  of copies.
+
+Defined results: null and empty texts have no words, thus the fingerprint zero and one and the same empty set; equal
+texts are one group; a null doc_id is greater than all others, so it never names a group that has another; repeated rows
+stand for one; texts of any length are hashed SLICE shingles at a time; an empty table gives an empty one;
+`survivors` returns the columns it was given, whatever their names, and the query reads doc_id and text alone.
 """
 
 from __future__ import annotations
@@ -38,7 +47,7 @@ from boundwright.llm.common import bounded_batches, table, written
 
 SHINGLE, SEED, MAX_BITS, SEGMENTS = 3, 42, 2, 2
 #: What links texts in the stage, and how its candidates are found.
-WIDTH, SIMILAR, BANDS, BAND_ROWS, PAIRED, CHUNK = 5, 0.8, 28, 5, 8, 64
+WIDTH, SIMILAR, BANDS, BAND_ROWS, PAIRED = 5, 0.8, 28, 5, 8
 #: Shingles whose bits are counted at a time.
 SLICE = 1 << 14
 LAST = (1 << 63) - 1
@@ -58,11 +67,17 @@ def majority(text: str | None) -> int:
     joined, spans = shingles(text, SHINGLE)
     if not joined:
         return 0
-    ones, digest = np.zeros(64, dtype=np.int64), xxhash.xxh64_intdigest
-    for at in range(0, len(spans), SLICE):
-        some = np.array([digest(joined[a:b], SEED) for a, b in spans[at : at + SLICE]], dtype="<u8")
+    digest = xxhash.xxh64_intdigest
+    return majority_of(np.fromiter((digest(joined[a:b], SEED) for a, b in spans), dtype="<u8", count=len(spans)))
+
+
+def majority_of(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have, as a signed integer."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), SLICE):
+        some = np.ascontiguousarray(hashes[at : at + SLICE])
         ones += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(spans), bitorder="little").view("<i8")[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
 def fingerprint(text: str | Column) -> Column:
@@ -96,9 +111,10 @@ def signatures(prints: DataFrame) -> DataFrame:
 
 def links(prints: DataFrame) -> DataFrame:
     """(a, b), a < b: the distinct pairs of distinct fingerprints (column fp) that differ by at most MAX_BITS bits."""
-    # Each row becomes 132, so the few bytes of all fingerprints are dealt to many tasks.
+    # Each row becomes 132, so the few bytes of all fingerprints are dealt to many tasks, round about: a partitioning
+    # by fp would be that of distinct(), which is merged into few tasks.
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = signatures(prints.select("fp").distinct().repartition(parts, "fp"))
+    rows = signatures(prints.select("fp").distinct().repartition(parts))
     zeros = rows.filter("side != 1").selectExpr("key", "fp AS x")
     ones = rows.filter("side != 0").selectExpr("key", "fp AS y")
     near = zeros.join(ones, "key").filter(f"bit_count(x ^ y) BETWEEN 1 AND {MAX_BITS}")
@@ -159,9 +175,10 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def banded(texts: pd.Series) -> pd.DataFrame:
-    """fp: a hash of the whole set, so that equal sets are one."""
+    """fp: a hash of the whole set, so that equal sets are one; print: its fingerprint; keys: of its bands."""
     sets = [shingle_set(x) for x in texts]
-    return pd.DataFrame({"fp": np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], dtype="<u8").view("<i8"), "keys": [band_keys(x) for x in sets]})
+    own = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], dtype="<u8").view("<i8")
+    return pd.DataFrame({"fp": own, "print": [majority_of(x) for x in sets], "keys": [band_keys(x) for x in sets]})
 
 
 def hashed(texts: pd.Series) -> pd.Series:
@@ -189,48 +206,76 @@ def candidates(met: DataFrame) -> DataFrame:
     return paired.union(starred).distinct()
 
 
-def apart(met: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, b), a < b: the pairs of large groups that roots (node, root) do not join, in chunks of about CHUNK drawn anew for each key."""
-    chunk = F.pmod(F.xxhash64("fp", "key", F.lit(1)), F.ceil(F.col("n") / CHUNK))
-    many = met.filter(F.col("n") > PAIRED).join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    many = written(many.select("key", chunk.alias("chunk"), "fp", F.coalesce("root", "fp").alias("root")), "chunks")
-    other = many.select("key", "chunk", F.col("fp").alias("b"), F.col("root").alias("other"))
-    return many.join(other, ["key", "chunk"]).filter("fp < b AND root != other").select(F.col("fp").alias("a"), "b").distinct()
+def variant_candidates(own: DataFrame) -> DataFrame:
+    """(a, b), a < b: of sets (fp, print), those with equal fingerprints, each with the least of them, and the least of linked fingerprints."""
+    least = written(own.groupBy("print").agg(F.min("fp").alias("centre")), "prints")
+    equal = own.join(least, "print").filter("fp != centre").select(F.col("centre").alias("a"), F.col("fp").alias("b"))
+    pairs = links(least.select(F.col("print").alias("fp")))
+    one, two = (least.select(F.col("print").alias(k), F.col("centre").alias(f"of_{k}")) for k in "ab")
+    near = pairs.join(one, "a").join(two, "b").select(F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b"))
+    return equal.union(near)
 
 
-def verified(pairs: DataFrame, marked: DataFrame, label: str) -> DataFrame:
-    """The candidates (a, b) whose texts, of rows (fp, text), are similar."""
-    pairs = written(pairs, f"candidates-{label}")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    texts = marked.select("fp", "text").join(nodes, "fp", "left_semi").dropDuplicates(["fp"])
-    sets = written(texts.select("fp", F.pandas_udf(hashed, "array<long>")("text").alias("hashes")), f"sets-{label}")
+def apart(met: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b), a < b: candidates for all links within large groups between nodes that roots (node, root) do not join. sets: (fp, hashes).
+
+    Of two sets with a Jaccard similarity of SIMILAR or more, sorted alike, the first shingle that they share lies
+    among the first `reach` of each, and what follows it in both is enough for what they must share.
+    """
+    many = met.filter(F.col("n") > PAIRED).select("key", "fp").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    many = written(many, "many")
+    unsettled = many.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("key")
+    members = written(many.join(unsettled, "key", "left_semi").select("fp", "root").distinct(), "members")
+    shingle = written(sets.join(members, "fp").select("fp", "root", F.explode("hashes").alias("shingle")), "shingles")
+    common = shingle.groupBy("shingle").agg(F.count("*").alias("many"))
+    rarest = shingle.join(common, "shingle").groupBy("fp", "root").agg(F.sort_array(F.collect_list(F.struct("many", "shingle"))).alias("all"))
+    size = F.size("all")
+    reach = size - F.ceil(F.lit(SIMILAR) * size - F.lit(1e-9)) + 1
+    prefix = rarest.select("fp", "root", size.alias("size"), F.posexplode(F.slice("all", F.lit(1), reach.cast("int"))).alias("place", "s"))
+    prefix = written(prefix.filter("s.many > 1").select("fp", "root", "size", "place", F.col("s.shingle").alias("shingle")), "prefixes")
+    largest = prefix.groupBy("shingle", "root").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.max(F.struct("n", "root")).getField("root").alias("largest"))
+    outside = written(prefix.join(largest, "shingle").filter("root != largest").drop("largest"), "outside")
+    other = prefix.select("shingle", *(F.col(c).alias(f"other_{c}") for c in ("fp", "root", "size", "place")))
+    left = F.least(F.col("size") - F.col("place"), F.col("other_size") - F.col("other_place"))
+    needed = F.lit(SIMILAR / (1 + SIMILAR)) * (F.col("size") + F.col("other_size")) - F.lit(1e-9)
+    near = outside.join(other, "shingle").filter((F.col("root") != F.col("other_root")) & (left >= needed))
+    return near.select(F.least("fp", "other_fp").alias("a"), F.greatest("fp", "other_fp").alias("b")).distinct()
+
+
+def verified(pairs: DataFrame, sets: DataFrame, label: str) -> DataFrame:
+    """The candidates (a, b) whose sets (fp, hashes) are similar."""
     left, right = sets.select(F.col("fp").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("fp").alias("b"), F.col("hashes").alias("y"))
     sizes = F.least(F.size("x"), F.size("y")) >= F.lit(SIMILAR) * F.greatest(F.size("x"), F.size("y"))
     both = pairs.join(left, "a").join(right, "b").filter(sizes)
     return written(both.filter(F.pandas_udf(similar, "boolean")("x", "y")).select("a", "b"), f"links-{label}")
 
 
-def similar_links(marked: DataFrame) -> DataFrame:
-    """(a, b), a < b: links between the sets of rows (fp, keys, text)."""
-    once = marked.select("fp", "keys").dropDuplicates(["fp"])
-    met = meetings(written(once.select("fp", F.explode("keys").alias("key")), "bands"))
-    first = verified(candidates(met), marked, "near")
-    return first.union(verified(apart(met, connected(first)), marked, "apart"))
+def similar_links(own: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b), a < b: links between sets (fp, print, keys, at). texts: (at, text)."""
+    met = meetings(written(own.select("fp", F.explode("keys").alias("key")), "bands"))
+    pairs = written(candidates(met).union(variant_candidates(own.select("fp", "print"))).distinct(), "candidates")
+    # Whoever is in a candidate or a large group is in one of these pairs, so each text is hashed again once at most.
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    chosen = own.select("fp", "at").join(nodes, "fp", "left_semi")
+    sets = written(texts.join(chosen, "at").select("fp", F.pandas_udf(hashed, "array<long>")("text").alias("hashes")), "sets")
+    first = verified(pairs, sets, "near")
+    return first.union(verified(apart(met, connected(first), sets), sets, "apart"))
 
 
 def survivors(docs: DataFrame) -> DataFrame:
     """One document of each component of similar texts, that of the least doc_id (a null one counts as greater than all), with the columns docs had.
 
-    Of several rows with that id and the same shingles one stays.
+    Of several rows with that id one stays: of the least set, then of the first place in the table as it was written.
     """
     bounded_batches(docs.sparkSession)
     names = docs.columns
-    marked = docs.select(F.struct(*names).alias("row"), F.pandas_udf(banded, "fp long, keys array<long>")("text").alias("b"), F.coalesce("doc_id", F.lit(LAST)).alias("id"))
-    marked = written(marked.select("row", "id", "b.*"), "shingled")
-    kept = components(marked.select("id", "fp"), lambda _: similar_links(marked.select("fp", "keys", "row.text")))
-    first = marked.select("id", "fp").join(kept, "fp").filter("id = component").groupBy("component").agg(F.min("fp").alias("fp"))
-    winners = written(first.select(F.col("component").alias("id"), "fp"), "winners")
-    return marked.join(winners, ["id", "fp"], "left_semi").dropDuplicates(["id", "fp"]).select("row.*")
+    marked = docs.select(F.struct(*names).alias("row"), F.pandas_udf(banded, "fp long, print long, keys array<long>")("text").alias("b"), F.coalesce("doc_id", F.lit(LAST)).alias("id"))
+    marked = written(marked.select("row", "id", "b.*", F.monotonically_increasing_id().alias("at")), "shingled")
+    own = written(marked.select("fp", "print", "keys", "at").dropDuplicates(["fp"]), "own")
+    kept = components(marked.select("id", "fp"), lambda _: similar_links(own, marked.select("at", "row.text")))
+    # The winners are chosen without their texts, which then meet one semi join.
+    winners = marked.select("id", "fp", "at").join(kept, "fp").groupBy("component").agg(F.min(F.struct("id", "fp", "at")).alias("w"))
+    return marked.join(winners.select("w.at"), "at", "left_semi").select("row.*")
 
 
 def op3_deletion_variants(spark, sf_dir: str) -> DataFrame:

@@ -1,10 +1,9 @@
 """The pipeline against its stages taken one document at a time."""
 
-import numpy as np
 import zstandard
 
 import corpus_pipeline as p
-from boundwright.llm import quality_model, quality_rules, simhash
+from boundwright.llm import quality_model, quality_rules
 from boundwright.llm.decontaminate import words
 
 
@@ -17,9 +16,8 @@ def test_against_brute_force(spark):
     left = {i: x for (i, x), s in zip(left.items(), net.scores([x.encode() for x in left.values()]), strict=True) if s >= 0.5}
     squeeze = zstandard.ZstdCompressor(level=quality_rules.LEVEL).compress
     left = {i: x for i, x in left.items() if quality_rules.judge(x, squeeze)[-1]}
-    prints = {i: simhash.majority(x) for i, x in left.items()}
     order = sorted(left)
-    bits = np.array([prints[i] for i in order], dtype=np.int64)
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in ((left[i] or "").encode().lower().split() for i in order)]
     root = list(range(len(order)))
 
     def find(k):
@@ -27,10 +25,11 @@ def test_against_brute_force(spark):
             k = root[k]
         return k
 
-    for a in range(len(order)):
-        for b in np.flatnonzero(np.bitwise_count((bits ^ bits[a]).view(np.uint64)) <= 2).tolist():
-            x, y = sorted((find(a), find(b)))
-            root[y] = x
+    for b, y in enumerate(sets):
+        for a, x in enumerate(sets[:b]):
+            if min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) and len(x & y) >= 0.8 * len(x | y):
+                low, high = sorted((find(a), find(b)))
+                root[high] = low
     left = {i: left[i] for k, i in enumerate(order) if find(k) == k}
     plain = lambda x: " " + " ".join(words(x)) + " "
     items = [plain(r.text) for r in read("benchmark").collect()]

@@ -126,10 +126,48 @@ def test_survivors_against_brute_force_jaccard(spark):
     assert len(want) < len(texts) - 80
 
 
+def test_large_groups_lose_no_link(spark):
+    """A passage in many texts, and copies that drift from one another: groups larger than PAIRED, with links that no centre gives."""
+    draw = random.Random(12)
+    word = lambda: "".join(draw.choices("abcdefghij", k=5))
+    passage = [word() for _ in range(120)]
+    texts = [passage + [word() for _ in range(25)] for _ in range(40)]
+    drift = [word() for _ in range(150)]
+    for _ in range(60):
+        texts.append(list(drift))
+        for _ in range(2):
+            drift[draw.randrange(150)] = word()
+    texts = [" ".join(x) for x in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in s.survivors(docs).collect()} == jaccard_components(texts)
+
+
+def test_prefixes_find_every_link_between_components(spark):
+    draw = random.Random(3)
+    sets = [sorted(draw.sample(range(60), draw.randrange(48, 59))) for _ in range(60)]
+    frame = spark.createDataFrame(list(enumerate(sets)), "fp long, hashes array<long>")
+    met = frame.selectExpr("7L AS key", "fp", "60L AS n", "0L AS centre")
+    want = {(a, b) for b in range(60) for a in range(b) if len(set(sets[a]) & set(sets[b])) >= 0.8 * len(set(sets[a]) | set(sets[b]))}
+    none = frame.selectExpr("fp AS node", "fp AS root").limit(0)
+    got = {tuple(r) for r in s.verified(s.apart(met, none, frame), frame, "test").collect()}
+    assert got == want and want
+    joined = frame.selectExpr("fp AS node", "fp DIV 30 AS root")
+    got = {tuple(r) for r in s.verified(s.apart(met, joined, frame), frame, "test").collect()}
+    assert got == {(a, b) for a, b in want if a // 30 != b // 30}
+    assert s.apart(met, frame.selectExpr("fp AS node", "0L AS root"), frame).count() == 0
+
+
 def test_candidates_grow_with_the_rows(spark):
     keys = spark.range(400).selectExpr("id AS fp", "explode(array(1L, 2L, 1000 + id DIV 4)) AS key")
     met = s.meetings(keys)
     got = {tuple(r) for r in s.candidates(met).collect()}
-    none = s.connected(keys.selectExpr("fp AS a", "fp AS b").limit(0))
-    assert s.apart(met, none).count() < 2 * 400 * s.CHUNK and s.apart(met, s.connected(s.candidates(met))).count() == 0
     assert len(got) <= 2 * 399 + 100 * 6 and all((4 * i + a, 4 * i + b) in got for i in range(100) for a in range(4) for b in range(a + 1, 4))
+
+
+def test_null_and_repeated_ids_in_the_query(spark, tmp_path):
+    rows = [(4, "a b c d"), (4, "a b c d"), (None, "a b c d"), (None, None), (2, ""), (9, "w " * 30_000)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = s.op3_deletion_variants(spark, str(tmp_path)).collect()
+    assert len(got) == 6
+    assert {(r.doc_id, r.component_id) for r in got} == {(4, 4), (None, 4), (None, 2), (2, 2), (9, 9)}
+    assert {r.fingerprint for r in got if r.component_id == 2} == {"0" * 16}
