@@ -2,7 +2,9 @@ import random
 from collections import Counter
 from types import SimpleNamespace
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from boundwright.llm import decontaminate as d
@@ -20,10 +22,10 @@ ITEMS = [(i, sentence(DRAW.randrange(12, 70)) + ". " + sentence(8) + ".") for i
 
 
 def rows_of(items):
-    cut = [(i, text, k, Counter(part)) for i, text in items for k, part in enumerate(d.in_pieces(d.words(text)))]
+    cut = [(i, k, Counter(part)) for i, text in items for k, part in enumerate(d.in_pieces(d.words(text)))]
     df = Counter(t for *_, c in cut for t in c)
-    rows = [SimpleNamespace(item_id=i, text=text, place=i, piece=k, term=t, tf=n, df=df[t]) for i, text, k, c in cut for t, n in c.items()]
-    return rows, len(cut), sum(sum(c.values()) for *_, c in cut) / len(cut)
+    rows = pd.DataFrame([(i, k, t, n, df[t]) for i, k, c in cut for t, n in c.items()], columns=["place", "piece", "term", "tf", "df"])
+    return rows, [SimpleNamespace(place=i, item_id=i, text=text) for i, text in items], len(cut), sum(sum(c.values()) for *_, c in cut) / len(cut)
 
 
 @pytest.fixture(scope="module")
@@ -90,3 +92,35 @@ def test_query_against_containment(spark):
     items = [(r.item_id, plain(r.text)) for r in spark.read.parquet(f"{at}/benchmark.parquet").collect()]
     want = {(r.doc_id, i) for r in spark.read.parquet(f"{at}/documents.parquet").collect() for i, t in items if t in plain(r.text)}
     assert {(r.doc_id, r.item_id) for r in d.op2_benchmark_leaks(spark, at).collect()} == want and want
+
+
+def test_query_against_sql(spark):
+    at = "/root/testdata/sf0.01"
+    with duckdb.connect() as con:
+        for name in ("documents", "benchmark"):
+            con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{at}/{name}.parquet')")
+        want = con.sql(d.ORACLE_SQL["op2_benchmark_leaks"])
+        names = want.columns
+        want = sorted(want.fetchall())
+    assert sorted(map(tuple, d.op2_benchmark_leaks(spark, at).select(names).collect())) == want and want
+
+
+def test_changed_words(index):
+    """The share of items found again with single words replaced."""
+    draw = random.Random(8)
+    found = {}
+    for percent in (0, 5, 10):
+        texts = [" ".join("zzz" if draw.random() < percent / 100 else w for w in text.split()) for _, text in ITEMS]
+        around = [sentence(60) + " " + x + " " + sentence(60) for x in texts]
+        found[percent] = sum(any(leak[0] == i for leak in got) for (i, _), got in zip(ITEMS, index.leaks(around), strict=True)) / len(ITEMS)
+    assert found[0] == 1 and found[5] >= 0.9 and found[10] >= 0.6
+
+
+def test_a_long_item_and_repeats(spark):
+    long = " ".join("".join(DRAW.choices("abcdefghij", k=6)) for _ in range(30_000))
+    items = spark.createDataFrame([(1, long), (1, long), (2, "one two three four five six seven eight. nine ten.")], "item_id long, text string")
+    parts = list(d.indexes(items, shard=1 << 16))
+    assert sum(len(x.items) for x in parts) == 2 and sum(len(x.place_of) for x in parts) == -(-30_000 // d.PIECE) + 1
+    docs = spark.createDataFrame([(7, long[:100_000] + " " + long[100_000:]), (8, "One two three four five six seven eight. Nine ten.")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in d.leaked(docs, items).collect()) == [(7, 1), (8, 2)]
+    assert [r.item_id for r in d.leaked(docs.selectExpr("doc_id", f"'{long}' AS text").limit(1), items).collect()] == [1]
