@@ -2,24 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boundwright.sources.shared import written
+
 
 def kept(df: DataFrame) -> DataFrame:
-    """The frame written to the cluster's shared folder and read again; a folder of our own only where none is set."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + os.path.abspath(tempfile.mkdtemp(prefix="boundwright-"))
-        spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, "graph")
 
 
 def edges(calls: DataFrame) -> DataFrame:
