@@ -6,11 +6,15 @@ keeps its greatest response; a document is described by the greatest and the mea
 responses, which one logistic unit combines into the probability of label 1.
 
 It learns on the driver from a bounded sample: at most SAMPLE_ROWS labelled rows, those of the least
-hash of the id, of at most SAMPLE_BYTES bytes each. Every document is then scored where it lies; nothing
-is shuffled.
-
-Defined results: a null text counts as empty and has a score too; labels other than 0 and 1 are not
-learned from; where fewer than two classes are labelled the score is the smoothed share of label 1.
+hash of the id. Texts of more than SPANS * SPAN characters are learned from in SPANS pieces of SPAN characters each,
+spread evenly from their start to their end, so at most SAMPLE_ROWS * SPANS * SPAN characters come to the
+driver. Every document is then scored whole where it lies; nothing is shuffled.
+
+Defined results: a null text counts as empty and has a score too; texts of any length are scored SLICE chunks at a
+time; labels other than 0 and 1, or without an id, are not learned from; several labels of an id count once, as the least, and of
+several labelled rows with one id one is learned from (any; equal ids should mean equal texts); repeated documents
+score alike; where fewer than two classes are labelled the score is the smoothed share of label 1, without any label a
+half; an empty table gives an empty one; columns other than doc_id and text are not read, and `accepted` returns them all.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from pyspark.sql import functions as F
 
 from boundwright.llm.common import bounded_batches, table
 
-SAMPLE_ROWS, SAMPLE_BYTES = 4_000, 1 << 16
+SAMPLE_ROWS, SPANS, SPAN = 4_000, 16, 1 << 10
 WIDTH, STEP, CHUNK = 8, 2, 512
 DEPTH, FILTERS = 8, 32
 STEPS, BATCH, RATE, SEED = 700, 32, 0.006, 11
@@ -140,12 +144,19 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def learned(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> Network:
+def shortened(text: str | Column) -> Column:
+    """A text of up to SPANS * SPAN characters as it is; of a longer one SPANS pieces, the first at its start, the last at its end."""
+    text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    step = (F.length(text) - SPAN) / F.lit(SPANS - 1)
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(SPANS - 1)), lambda i: F.substring(text, (F.floor(i * step) + 1).cast("int"), F.lit(SPAN)))
+    return F.when(F.length(text) <= SPANS * SPAN, text).otherwise(F.array_join(pieces, ""))
+
+
+def learned(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Network:
     """A network fitted to the bounded sample of labelled documents that are not held out."""
     marked = labels.filter(~held_out() & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    texts = docs.select("doc_id", "text").filter(F.octet_length(F.coalesce("text", F.lit(""))) <= size)
-    sample = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).collect()
+    sample = docs.select("doc_id", shortened("text").alias("text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).collect()
     sample.sort(key=lambda r: r.doc_id)
     return fit([(r.text or "").encode() for r in sample], np.array([r.quality for r in sample], dtype=np.int64))
 

@@ -53,3 +53,37 @@ def test_odd_inputs(spark):
     odd = spark.createDataFrame([(2, None), (3, 7), (None, 1), (2, 1), (2, 0)], "doc_id long, quality int")
     assert q.accepted(docs, q.learned(docs, odd)).columns == docs.columns
     assert q.accepted(docs.limit(0), net).count() == 0
+
+
+def naive_score(net, text):
+    """The score of a text by plain loops over chunks, places and filters."""
+    w = {k: v.astype(np.float64) for k, v in net.w.items()}
+    chunks = range(0, max(1, -(-(len(text) - (q.WIDTH - q.STEP)) // q.HOP)) * q.HOP, q.HOP)
+    seen = []
+    for at in chunks:
+        codes = [text[at + i] if at + i < len(text) else q.PAD for i in range(q.CHUNK)]
+        places = [np.concatenate([w["embed"][c] for c in codes[p : p + q.WIDTH]]) @ w["filters"] for p in range(0, q.CHUNK - q.WIDTH + 1, q.STEP)]
+        seen.append(np.maximum(np.max(places, axis=0) + w["shift"], 0))
+    pooled = np.concatenate([np.max(seen, axis=0), np.mean(seen, axis=0)])
+    return 1 / (1 + np.exp(-(pooled @ w["out"] + w["bias"][0])))
+
+
+def test_against_naive_convolution():
+    net = q.Network(0.3, 7)
+    net.w["shift"] = np.linspace(-0.2, 0.2, q.FILTERS).astype(np.float32)
+    texts = [b"", b"a", b"some words " * 5, bytes(range(256)) * 3, b"x" * (q.HOP + q.WIDTH - q.STEP), b"yz" * 900]
+    assert np.allclose(net.scores(texts), [naive_score(net, x) for x in texts], atol=1e-5)
+
+
+def test_long_texts_are_learned_from_in_pieces_of_the_whole(spark):
+    long = "".join(f"{i:07d} " for i in range(20_000))
+    rows = [(1, None), (2, ""), (3, "é" * q.SPANS * q.SPAN), (4, long)]
+    got = {r.doc_id: r.s for r in spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", q.shortened("text").alias("s")).collect()}
+    assert got[1] == got[2] == "" and got[3] == rows[2][1]
+    assert len(got[4]) == q.SPANS * q.SPAN and got[4].startswith(long[: q.SPAN]) and got[4].endswith(long[-q.SPAN :])
+    assert all(got[4][i : i + q.SPAN] in long for i in range(0, len(got[4]), q.SPAN))
+    docs = spark.createDataFrame([(i, long if i % 2 else f"short {i}") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    assert q.learned(docs.limit(0), labels).scores([b"a"])[0] == 0.5
+    net = q.learned(docs, labels)
+    assert net.scores([long.encode()])[0] > net.scores([b"short 2"])[0]
