@@ -4,17 +4,22 @@ A path's segments are first reduced to their shape (runs of digits to `{n}`, lon
 `{h}`), and pages are added up by host and shape, so what follows works on shapes, not on pages.
 
 * Generalise, from the root down: a segment stays as it is if it has at least LITERAL of its parent's
-  pages, else it becomes `*`. Segments after the LEVELS-th are one `**`.
+  pages, or PRIOR labelled pages that are good more or less often than those of its siblings (as below); else it becomes `*`.
+  What follows the LEVELS-th segment of a deeper path is one more segment, whole.
 * Merge, from the leaves up: a branch whose labelled pages are good about as often as those of its
   siblings taken together (a z-score within SIMILAR, or too few labels to tell) becomes `*` too.
 * Judge: a template's purity is its share of good labelled pages, smoothed by PRIOR pages of the share of
   all; below LEAST the template is rejected.
 
-Everything is DataFrame operations. Sums by host and shape are combined before they are shuffled, so a host
-with a third of all pages is a few rows.
+Everything is DataFrame operations. Sums by host and shape are combined before they are shuffled, so of a host with a
+third of all pages those of one shape are a row; paths of words without digits are as many shapes as pages, dealt out by
+their segments.
 
 Defined results: a null url, or one without `://`, has an empty host and path and the template of such
-pages; labels other than 0 and 1 do not count; several labels of a page count once, as the least.
+pages; a null page_id has no label; labels other than 0 and 1 do not count; several labels of a page count once, as the least;
+repeated pages each get a row and count each; of rules of equal length that fit, which can be only one host and path given twice, the
+later counts; paths of any depth and length keep all their segments; an empty table gives an empty one; columns other
+than page_id and url are not read.
 """
 
 from __future__ import annotations
@@ -49,10 +54,10 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def shape(path: Column) -> Column:
-    """The segments of a path, with digits and long hexadecimal runs replaced; those after the LEVELS-th as one."""
+    """The segments of a path, with digits and long hexadecimal runs replaced; those after the LEVELS-th joined to one."""
     plain = F.regexp_replace(F.regexp_replace(path, "(?i)[0-9a-f]{16,}", "{h}"), "[0-9]+", "{n}")
     some = F.filter(F.split(plain, "/"), lambda x: x != "")
-    return F.when(F.size(some) > LEVELS, F.concat(F.slice(some, 1, LEVELS), F.array(F.lit("**")))).otherwise(some)
+    return F.when(F.size(some) > LEVELS, F.concat(F.slice(some, 1, LEVELS), F.array(F.array_join(F.slice(some, F.lit(LEVELS + 1), F.size(some)), "/")))).otherwise(some)
 
 
 def depth(shapes: DataFrame, name: str) -> int:
@@ -60,14 +65,24 @@ def depth(shapes: DataFrame, name: str) -> int:
     return shapes.agg(F.max(F.size(name))).first()[0] or 0
 
 
+def told_apart() -> Column:
+    """Whether g good of k labelled pages differ from the others among all_g of all_k: a z-score over SIMILAR. False where there are too few labels to tell."""
+    others_k, others_g = F.col("all_k") - F.col("k"), F.col("all_g") - F.col("g")
+    share = F.try_divide("all_g", "all_k")
+    by = F.abs(F.try_divide("g", "k") - F.try_divide(others_g, others_k))
+    z = F.try_divide(by, F.sqrt(share * (1 - share) * (F.try_divide(F.lit(1.0), "k") + F.try_divide(F.lit(1.0), others_k))))
+    return F.coalesce(z > SIMILAR, F.lit(False)) & (share > 0) & (share < 1)
+
+
 def generalised(shapes: DataFrame) -> DataFrame:
     """shapes (host, shape, n, labelled, good) with `template`, an array as long as shape."""
     out = shapes.withColumn("template", F.expr("CAST(array() AS array<string>)"))
     for level in range(1, depth(shapes, "shape") + 1):
         own = F.try_element_at("shape", F.lit(level))
-        children = out.filter(own.isNotNull()).groupBy("host", "template", own.alias("segment")).agg(F.sum("n").alias("m"))
-        parents = children.groupBy("host", "template").agg(F.sum("m").alias("all"))
-        kept = children.join(parents, ["host", "template"]).filter(F.col("m") >= LITERAL * F.col("all")).select("host", "template", "segment", F.lit(True).alias("kept"))
+        children = out.filter(own.isNotNull()).groupBy("host", "template", own.alias("segment")).agg(F.sum("n").alias("m"), F.sum("labelled").alias("k"), F.sum("good").alias("g"))
+        parents = children.groupBy("host", "template").agg(F.sum("m").alias("all"), F.sum("k").alias("all_k"), F.sum("g").alias("all_g"))
+        evident = (F.col("k") >= PRIOR) & told_apart()
+        kept = children.join(parents, ["host", "template"]).filter((F.col("m") >= LITERAL * F.col("all")) | evident).select("host", "template", "segment", F.lit(True).alias("kept"))
         out = out.withColumn("segment", own).join(kept, ["host", "template", "segment"], "left")
         name = F.when(F.col("kept"), F.col("segment")).otherwise(F.lit("*"))
         out = out.withColumn("template", F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat("template", F.array(name)))).drop("segment", "kept")
@@ -83,12 +98,7 @@ def merged(shapes: DataFrame) -> DataFrame:
         rest = F.slice("template", level + 1, LEVELS + 1)
         branch = out.filter(own.isNotNull()).groupBy("host", F.slice("template", 1, level - 1).alias("parent"), own.alias("segment"), rest.alias("rest")).agg(F.sum("labelled").alias("k"), F.sum("good").alias("g"))
         siblings = branch.groupBy("host", "parent", "rest").agg(F.sum("k").alias("all_k"), F.sum("g").alias("all_g"), F.count("*").alias("branches"))
-        others_k, others_g = F.col("all_k") - F.col("k"), F.col("all_g") - F.col("g")
-        share = F.try_divide("all_g", "all_k")
-        apart_by = F.abs(F.try_divide("g", "k") - F.try_divide(others_g, others_k))
-        z = F.try_divide(apart_by, F.sqrt(share * (1 - share) * (F.try_divide(F.lit(1.0), "k") + F.try_divide(F.lit(1.0), others_k))))
-        told = F.coalesce(z > SIMILAR, F.lit(False)) & (share > 0) & (share < 1)
-        apart = branch.join(siblings, ["host", "parent", "rest"]).filter(told | (F.col("branches") == 1)).select("host", "parent", "segment", "rest", F.lit(True).alias("apart"))
+        apart = branch.join(siblings, ["host", "parent", "rest"]).filter(told_apart() | (F.col("branches") == 1)).select("host", "parent", "segment", "rest", F.lit(True).alias("apart"))
         out = out.withColumns({"parent": F.slice("template", 1, level - 1), "segment": own, "rest": rest}).join(apart, ["host", "parent", "segment", "rest"], "left")
         name = F.when(F.coalesce("apart", F.lit(False)), F.col("segment")).otherwise(F.lit("*"))
         out = out.withColumn("template", F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat("parent", F.array(name), "rest"))).drop("parent", "segment", "rest", "apart")
@@ -145,15 +155,17 @@ def oracle() -> str:
         "_n AS (SELECT *, TRY_CAST(regexp_extract(path, '([0-9]{1,18})[^0-9]*$', 1) AS BIGINT) AS doc_id FROM _h)",
         "_y AS (SELECT page_id, min(CASE WHEN quality = 1 AND coalesce(toxic, 0) = 0 THEN 1 ELSE 0 END) AS label FROM _n JOIN labels ON labels.doc_id = _n.doc_id GROUP BY page_id)",
         "_s AS (SELECT page_id, host, path, list_filter(string_split(regexp_replace(regexp_replace(path, '[0-9a-fA-F]{16,}', '{h}', 'g'), '[0-9]+', '{n}', 'g'), '/'), lambda x: x <> '') AS segs FROM _n)",
-        f"_p AS (SELECT _s.page_id, host, path, label, CASE WHEN len(segs) > {LEVELS} THEN list_append(segs[1:{LEVELS}], '**') ELSE segs END AS shape FROM _s LEFT JOIN _y ON _y.page_id = _s.page_id)",
+        f"_p AS (SELECT _s.page_id, host, path, label, CASE WHEN len(segs) > {LEVELS} THEN list_append(segs[1:{LEVELS}], array_to_string(segs[{LEVELS + 1}:], '/')) ELSE segs END AS shape FROM _s LEFT JOIN _y ON _y.page_id = _s.page_id)",
         "_g0 AS (SELECT host, shape, count(*) AS n, count(label) AS labelled, coalesce(sum(label), 0) AS good, CAST([] AS VARCHAR[]) AS template FROM _p GROUP BY host, shape)",
         "_prior AS (SELECT (sum(good) + 1) / (sum(labelled) + 2) AS prior FROM _g0)",
     ]
+    differs = f"CASE WHEN ag > 0 AND ag < ak AND k > 0 AND k < ak THEN abs(g / k - (ag - g) / (ak - k)) / sqrt(ag / ak * (1 - ag / ak) * (1.0 / k + 1.0 / (ak - k))) > {SIMILAR} ELSE false END"
     for k in range(1, LEVELS + 2):
         parts += [
-            f"_c{k} AS (SELECT host, template, shape[{k}] AS segment, sum(n) AS m FROM _g{k - 1} WHERE len(shape) >= {k} GROUP BY ALL)",
-            f"_k{k} AS (SELECT *, sum(m) OVER (PARTITION BY host, template) AS of_all FROM _c{k})",
-            f"_g{k} AS (SELECT g.host, g.shape, n, labelled, good, CASE WHEN len(g.shape) < {k} THEN g.template ELSE list_append(g.template, CASE WHEN k.m >= {LITERAL} * k.of_all THEN k.segment ELSE '*' END) END AS template"
+            f"_c{k} AS (SELECT host, template, shape[{k}] AS segment, sum(n) AS m, sum(labelled) AS k, sum(good) AS g FROM _g{k - 1} WHERE len(shape) >= {k} GROUP BY ALL)",
+            f"_o{k} AS (SELECT *, sum(m) OVER w AS of_all, sum(k) OVER w AS ak, sum(g) OVER w AS ag FROM _c{k} WINDOW w AS (PARTITION BY host, template))",
+            f"_k{k} AS (SELECT *, m >= {LITERAL} * of_all OR (k >= {PRIOR} AND {differs}) AS kept FROM _o{k})",
+            f"_g{k} AS (SELECT g.host, g.shape, n, labelled, good, CASE WHEN len(g.shape) < {k} THEN g.template ELSE list_append(g.template, CASE WHEN k.kept THEN k.segment ELSE '*' END) END AS template"
             f" FROM _g{k - 1} g LEFT JOIN _k{k} k ON k.host = g.host AND k.template = g.template AND k.segment = g.shape[{k}])",
         ]
     last = f"_g{LEVELS + 1}"
@@ -162,7 +174,7 @@ def oracle() -> str:
         parts += [
             f"_b{k} AS (SELECT host, {cut}, sum(labelled) AS k, sum(good) AS g FROM {last} WHERE len(template) >= {k} GROUP BY ALL)",
             f"_w{k} AS (SELECT *, sum(k) OVER w AS ak, sum(g) OVER w AS ag, count(*) OVER w AS branches FROM _b{k} WINDOW w AS (PARTITION BY host, parent, rest))",
-            f"_a{k} AS (SELECT host, parent, segment, rest FROM _w{k} WHERE branches = 1 OR CASE WHEN ag > 0 AND ag < ak AND k > 0 AND k < ak THEN abs(g / k - (ag - g) / (ak - k)) / sqrt(ag / ak * (1 - ag / ak) * (1.0 / k + 1.0 / (ak - k))) > {SIMILAR} ELSE false END)",
+            f"_a{k} AS (SELECT host, parent, segment, rest FROM _w{k} WHERE branches = 1 OR {differs})",
             f"_x{k} AS (SELECT *, {cut} FROM {last})",
             f"_m{k} AS (SELECT x.host, x.shape, n, labelled, good, CASE WHEN len(x.template) < {k} THEN x.template ELSE list_concat(list_append(x.parent, CASE WHEN a.host IS NULL THEN '*' ELSE x.segment END), x.rest) END AS template"
             f" FROM _x{k} x LEFT JOIN _a{k} a ON a.host = x.host AND a.parent = x.parent AND a.segment = x.segment AND a.rest = x.rest)",

@@ -86,7 +86,26 @@ def test_sql_gives_the_same(spark):
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want.fetchall()))
 
 
-def test_deep_paths_end_in_one_wildcard(spark):
-    pages = spark.createDataFrame([(i, "x://d.net/" + "/".join("abcdefghij"[: 4 + i % 6])) for i in range(60)], "page_id long, url string")
-    got = {r.path: r.template for r in u.judged(pages, spark.createDataFrame([], "page_id long, label int")).collect()}
-    assert got["/a/b/c/d/e/f"].count("/") == 6 and got["/a/b/c/d/e/f/g/h"].endswith("/**") and len(got) == 6
+def test_deep_paths_keep_what_labels_tell_apart(spark):
+    rows, labels = [], []
+    for i in range(900):
+        end = "bad" if i % 30 == 0 else f"x{i}"
+        rows.append((i, f"x://d.net/a/b/c/d/e/f/g/{end}/{i}"))
+        labels.append((i, int(end != "bad")))
+    got = {r.page_id: r for r in u.judged(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, label int")).collect()}
+    assert {r.verdict for i, r in got.items() if i % 30 == 0} == {"block"} and {r.verdict for i, r in got.items() if i % 30} == {"allow"}
+    assert got[0].template == "/a/b/c/d/e/f/g/bad/{n}" or got[0].template.endswith("g/bad/{n}")
+
+
+def test_a_rare_bad_branch_of_a_hot_host(spark):
+    """One page in a hundred, far below LITERAL of its parent, with labels that differ."""
+    rows = [(i, f"https://hot.net/{'rare' if i % 100 == 7 else 'sec' + 'abcdefgh'[i % 8]}/{i}") for i in range(6000)]
+    labels = [(i, int(i % 100 != 7)) for i in range(6000)]
+    got = u.judged(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, label int")).collect()
+    assert all(r.verdict == ("block" if r.page_id % 100 == 7 else "allow") for r in got)
+
+
+def test_long_urls_and_repeats(spark):
+    pages = [(1, "x://l.net/" + "a/" * 3_000), (1, "x://l.net/" + "a/" * 3_000), (2, "x://l.net/" + "b" * 200_000), (None, "x://l.net/")]
+    got = u.judged(spark.createDataFrame([(i, x, "z") for i, x in pages], "page_id long, url string, host string"), spark.createDataFrame([(1, 1)], "page_id long, label int")).collect()
+    assert sorted(len(r.path) for r in got) == [1, 6001, 6001, 200_001] and all(r.host == "l.net" for r in got)
