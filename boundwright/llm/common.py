@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from boundwright.sources.shared import released, shared_dir, written
+
+__all__ = ["bounded_batches", "checkpointed", "released", "shared_dir", "table", "written"]
+
 #: Bounds on what a Python worker holds of a table at once.
 BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
 
@@ -16,28 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Hold Arrow batches to so many rows and BATCH_BYTES bytes, so that long texts do not add up."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-
-
-def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new folder's path below the folder that all executors share; where none is set (tests), one of our own."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="boundwright-")
-        spark.sparkContext.setCheckpointDir(base)
-    if "://" not in base and not base.startswith("file:"):
-        base = "file://" + os.path.abspath(base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
+def bounded_batches(spark: SparkSession) -> None:
+    """Hold Arrow batches to BATCH_ROWS rows and BATCH_BYTES bytes, so that long texts do not add up.
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """The frame, written to the shared folder and read again: lineage ends there, and a lost executor costs nothing."""
-    path = f"{shared_dir(df.sparkSession, label)}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    Spark has these bounds for a session only, where they hold for other queries too. All operators set the same ones,
+    and only where they are tighter than what the session has; results do not depend on them.
+    """
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        own = spark.conf.get(f"spark.sql.execution.arrow.{name}").lower().removesuffix("b")
+        if not own.isdigit() or not 0 < int(own) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

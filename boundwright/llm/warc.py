@@ -13,7 +13,11 @@ lines by binary search in it. A second ranged read gets the record.
 Files are written by tasks into the shared folder, under names of their own attempt; what a lost or
 repeated task wrote is never named by the tables that say what there is, so it is never read.
 
-Defined results: a null html is an empty payload; equal rows with the largest page_id are each a response;
+Which payloads are repeated is settled by digests; an html is moved once, with its own capture, so a payload that a third of all
+pages have is no hot key.
+
+Defined results: a null html is an empty payload; equal rows with the largest page_id are each a response; payloads of any
+length are one record each; an empty table has no archive and gives an empty result; columns other than page_id, url and html are not read;
 a null page_id is less than all others and refers to by null; a null url has an empty key; control
 characters of a url are percent-encoded in the record's header.
 """
@@ -89,9 +93,14 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     return fields, payload
 
 
+def system(folder: str):
+    """The file system of a folder and the folder's path in it; Spark's names of S3 are those of Arrow's s3."""
+    return arrow_fs.FileSystem.from_uri(folder.replace("s3a://", "s3://").replace("s3n://", "s3://"))
+
+
 def opened(folder: str):
-    """The file system of a folder and the folder's path in it."""
-    where, path = arrow_fs.FileSystem.from_uri(folder)
+    """As `system`, with the folder made."""
+    where, path = system(folder)
     where.create_dir(path, recursive=True)
     return where, path
 
@@ -106,7 +115,9 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
     payload = F.coalesce("html", F.lit(""))
     size = F.octet_length(payload)
     marked = pages.select("page_id", "url", payload.alias("html"), F.sha1(payload.cast("binary")).alias("sha"), size.alias("size"), capture_key("url", "page_id").alias("key"))
-    heads = written(marked.groupBy("sha", "size").agg(F.max("page_id").alias("head")), "heads")
+    same = ["sha", "size"]
+    heads = written(marked.groupBy(same).agg(F.max("page_id").alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n"), "heads")
+    heads = written(marked.select("key", *same).distinct().join(heads, same), "heads")
 
     def archived(batches):
         where, path = opened(folder)
@@ -131,7 +142,8 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
         if out is not None:
             out.close()
 
-    whole = marked.join(heads, ["sha", "size"]).select(F.col("page_id").cast("string"), "url", "html", "key", F.col("head").cast("string"))
+    head = F.when(F.col("found"), F.col("head")).otherwise(F.col("page_id"))
+    whole = marked.join(heads.withColumn("found", F.lit(True)), ["key", *same], "left").withColumn("head", head).select(F.col("page_id").cast("string"), "url", "html", "key", F.col("head").cast("string"))
     return written(whole.mapInPandas(archived, RECORDS), "records")
 
 
@@ -183,7 +195,7 @@ class Searcher:
     """Lookups of one task; keeps the latest directory and block."""
 
     def __init__(self, index: Index):
-        self.index, self.where = index, arrow_fs.FileSystem.from_uri(index.folder)[0]
+        self.index, self.where = index, system(index.folder)[0]
         self.file = self.at = None
 
     def read(self, file: str, offset: int, size: int) -> bytes:
@@ -230,7 +242,7 @@ def read(found: DataFrame, folder: str) -> DataFrame:
     """What the records say that were found (CAPTURES); a response's digest is made anew and compared with its header."""
 
     def captures(batches):
-        where, name, source = arrow_fs.FileSystem.from_uri(folder)[0], None, None
+        where, name, source = system(folder)[0], None, None
         for pdf in batches:
             rows = []
             for page_id, file, offset, length in zip(pdf["page_id"], pdf["file"], pdf["offset"], pdf["length"], strict=True):
