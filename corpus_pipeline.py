@@ -2,7 +2,8 @@
 
 Each stage is written as Parquet in the shared folder and read again, so a lost executor never costs more
 than the stage it runs. Stages treat null ids and texts as their operators state: a null or empty text
-fails the quality rules; rows with a null id are kept unless a row with an id stands for their group.
+fails the quality rules; rows with a null id are kept unless a row with an id stands for their group; extra columns
+go along to the last stage; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ STAGES = [
     ("byte-level BPE", tokens),
 ]
 
-#: SQL has neither the network nor zstandard nor BM25.
+#: SQL has neither the network nor zstandard nor the vocabulary's merges; tests/llm/test_pipeline.py takes the stages one document at a time.
 ORACLE_SQL = None
 
 
