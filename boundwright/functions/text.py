@@ -14,16 +14,34 @@ def order_id(text: Column) -> Column:
     return F.regexp_replace(F.trim(text), "[ ,]", "").try_cast("bigint")
 
 
+def after(text: Column, sign: str) -> Column:
+    """What follows the first sign of a text; empty if it has none."""
+    at = F.instr(text, sign)
+    return F.when(at > 0, text.substr(at + 1, F.length(text))).otherwise("")
+
+
+def digits(text: Column) -> Column:
+    return F.when(text.rlike("^[0-9]+$"), text.try_cast("bigint"))
+
+
 def location(text: Column) -> dict[str, Column]:
-    """file, line, col_start, col_end, end_line of `file:line.col`, `file:line.col-col` or `file:line.col-line.col`; nulls if it has none."""
-    part = lambda k: F.regexp_extract(text, r"^(.*):([0-9]+)\.([0-9]+)(?:-(?:([0-9]+)\.)?([0-9]+))?$", k)
-    number = lambda k: part(k).try_cast("bigint")
+    """file, line, col_start, col_end, end_line of `file:line.col`, `file:line.col-col` or `file:line.col-line.col`.
+
+    The last colon ends the file. Nulls if the start is no `line.col`; an end, or a part of it, that is no number counts as the start's.
+    """
+    text = F.trim(text)
+    rest = F.substring_index(text, ":", -1)
+    start, end = F.substring_index(rest, "-", 1), after(rest, "-")
+    line, column = digits(F.substring_index(start, ".", 1)), digits(after(start, "."))
+    told = F.contains(text, F.lit(":")) & F.contains(start, F.lit(".")) & line.isNotNull() & column.isNotNull()
+    two = F.contains(end, F.lit("."))
+    if_told = lambda x: F.when(told, x)
     return {
-        "file": F.when(part(2) != "", part(1)),
-        "line": number(2),
-        "col_start": number(3),
-        "end_line": F.coalesce(number(4), number(2)),
-        "col_end": F.coalesce(number(5), number(3)),
+        "file": if_told(F.regexp_extract(text, "(?s)^(.*):", 1)),
+        "line": if_told(line),
+        "col_start": if_told(column),
+        "end_line": if_told(F.coalesce(F.when(two, digits(F.substring_index(end, ".", 1))), line)),
+        "col_end": if_told(F.coalesce(F.when(two, digits(after(end, "."))).otherwise(digits(end)), column)),
     }
 
 
@@ -37,13 +55,18 @@ def root_name(variable: Column) -> Column:
 
 
 def has_token(text: Column, token: str) -> Column:
-    """Whether the token stands in the text, not as a part of a longer identifier."""
-    return text.rlike(rf"(^|[^A-Za-z0-9_]){token}([^A-Za-z0-9_]|$)")
+    """Whether the token stands in the text as it is, not as a part of a longer identifier."""
+    return text.rlike(rf"(?<![\p{{L}}\p{{N}}_])\Q{token}\E(?![\p{{L}}\p{{N}}_])")
 
 
 def int_literal(text: Column) -> Column:
-    """The value of a hexadecimal or decimal C literal with its suffixes; null for anything else."""
-    bare = F.regexp_extract(F.trim(text), "^(0[xX][0-9a-fA-F]+|[0-9]+)(?:[uU]?[lL]{0,2}|[lL]{1,2}[uU])$", 1)
+    """The value of a hexadecimal or decimal C literal with a suffix, in any number of parentheses, blanks left out; null for anything else."""
+    bare = F.regexp_replace(text, r"\s", "")
+    # Pairs of parentheses around the whole: as many as it opens with, if it ends with as many.
+    inside = F.regexp_extract(bare, r"^\(*(.*?)\)*$", 1)
+    opened, closed = F.length(F.regexp_extract(bare, r"^\(*", 0)), F.length(F.regexp_extract(bare, r"\)*$", 0))
+    bare = F.when(opened == closed, inside).otherwise("")
+    bare = F.regexp_extract(bare, "^(0[xX][0-9a-fA-F]+|[0-9]+)(?:[uU]?[lL]{0,2}|[lL]{1,2}[uU])$", 1)
     hexadecimal = F.conv(F.substring(bare, 3, 32), 16, 10).try_cast("bigint")
     return F.when(F.lower(bare).startswith("0x"), hexadecimal).otherwise(bare.try_cast("bigint"))
 

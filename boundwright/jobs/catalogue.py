@@ -15,8 +15,16 @@ from boundwright.sources.projections import view, with_views
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-LOCATION = r"^(.*):([0-9]+)\.([0-9]+)(?:-(?:([0-9]+)\.)?([0-9]+))?$"
-PLACED = f"placed AS (SELECT order_id, TRY_CAST(regexp_extract(location, '{LOCATION}', 2) AS BIGINT) AS line FROM alarms)"
+#: The parts of a location by string functions alone.
+LOCATED = """_t AS (SELECT order_id, trim(location) AS t FROM alarms), _r AS (SELECT *, CASE WHEN contains(t, ':') THEN reverse(split_part(reverse(t), ':', 1)) ELSE '' END AS rest FROM _t),
+    _s AS (SELECT *, split_part(rest, '-', 1) AS s, CASE WHEN contains(rest, '-') THEN substr(rest, strpos(rest, '-') + 1) ELSE '' END AS e FROM _r),
+    _n AS (SELECT *, TRY_CAST(CASE WHEN regexp_full_match(split_part(s, '.', 1), '[0-9]+') THEN split_part(s, '.', 1) END AS BIGINT) AS l,
+      TRY_CAST(CASE WHEN contains(s, '.') AND regexp_full_match(substr(s, strpos(s, '.') + 1), '[0-9]+') THEN substr(s, strpos(s, '.') + 1) END AS BIGINT) AS c,
+      CASE WHEN contains(e, '.') THEN split_part(e, '.', 1) ELSE '' END AS el, CASE WHEN contains(e, '.') THEN substr(e, strpos(e, '.') + 1) ELSE e END AS ec FROM _s),
+    located AS (SELECT order_id, CASE WHEN l IS NOT NULL AND c IS NOT NULL THEN substr(t, 1, length(t) - length(rest) - 1) END AS file, CASE WHEN c IS NOT NULL THEN l END AS line, CASE WHEN l IS NOT NULL THEN c END AS col_start,
+      CASE WHEN l IS NOT NULL AND c IS NOT NULL THEN coalesce(TRY_CAST(CASE WHEN regexp_full_match(el, '[0-9]+') THEN el END AS BIGINT), l) END AS end_line,
+      CASE WHEN l IS NOT NULL AND c IS NOT NULL THEN coalesce(TRY_CAST(CASE WHEN regexp_full_match(ec, '[0-9]+') THEN ec END AS BIGINT), c) END AS col_end FROM _n)"""
+PLACED = f"{LOCATED}, placed AS (SELECT order_id, line FROM located)"
 
 
 def query(sql: str, *views: str):
@@ -31,13 +39,7 @@ def query(sql: str, *views: str):
     return register
 
 
-@query(
-    f"""SELECT order_id, nullif(regexp_extract(location, '{LOCATION}', 1), '') AS file, TRY_CAST(regexp_extract(location, '{LOCATION}', 2) AS BIGINT) AS line,
-    TRY_CAST(regexp_extract(location, '{LOCATION}', 3) AS BIGINT) AS col_start,
-    coalesce(TRY_CAST(regexp_extract(location, '{LOCATION}', 4) AS BIGINT), TRY_CAST(regexp_extract(location, '{LOCATION}', 2) AS BIGINT)) AS end_line,
-    coalesce(TRY_CAST(regexp_extract(location, '{LOCATION}', 5) AS BIGINT), TRY_CAST(regexp_extract(location, '{LOCATION}', 3) AS BIGINT)) AS col_end FROM alarms""",
-    "alarms",
-)
+@query(f"{LOCATED} SELECT order_id, file, line, col_start, end_line, col_end FROM located", "alarms")
 def scan_alarms_parse_location(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = T.location(F.col("location"))
     return view(spark, sf_dir, "alarms").select("order_id", *(c.alias(k) for k, c in where.items()))
@@ -51,15 +53,17 @@ def placed_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""{PLACED}, met AS (SELECT p.order_id, p.line, max(struct_pack(s := f.start_line, i := f.fn_id, n := f.name, e := f.end_line)) AS s
       FROM placed p JOIN functions f ON p.line BETWEEN f.start_line AND f.end_line GROUP BY ALL)
     SELECT p.order_id, p.line, s.n AS function_name, coalesce(s.s, CASE WHEN p.line IS NOT NULL THEN greatest(1, p.line - 20) END) AS window_start,
-      coalesce(s.e, p.line + 20) AS window_end FROM placed p LEFT JOIN met m ON p.order_id = m.order_id""",
+      coalesce(s.e, CASE WHEN p.line IS NOT NULL THEN least((SELECT count(*) * 40 FROM part), p.line + 20) END) AS window_end FROM placed p LEFT JOIN met m ON p.order_id = m.order_id""",
     "alarms",
     "functions",
 )
 def alarm_enclosing_function(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The function around each alarm, or the lines around it where there is none."""
+    """The function around each alarm, or the lines around it, within the file's, where there is none."""
     met = J.enclosing(placed_alarms(spark, sf_dir), view(spark, sf_dir, "functions"))
     around = F.when(F.col("line").isNotNull(), F.greatest(F.lit(1).cast("bigint"), F.col("line") - 20))
-    return met.select("order_id", "line", F.col("name").alias("function_name"), F.coalesce("start_line", around).alias("window_start"), F.coalesce("end_line", F.col("line") + 20).alias("window_end"))
+    length = view(spark, sf_dir, "part").count() * 40
+    last = F.when(F.col("line").isNotNull(), F.least(F.lit(length), F.col("line") + 20))
+    return met.select("order_id", "line", F.col("name").alias("function_name"), F.coalesce("start_line", around).alias("window_start"), F.coalesce("end_line", last).alias("window_end"))
 
 
 @query(
@@ -112,32 +116,36 @@ def global_assign_last_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """_d AS (SELECT DISTINCT callee, caller, line FROM control_flow), _k AS (SELECT *, row_number() OVER (PARTITION BY callee ORDER BY line, caller) AS rank FROM _d QUALIFY rank <= 6)
+    """_d AS (SELECT DISTINCT callee, caller, line FROM control_flow WHERE caller <> ''), _k AS (SELECT *, row_number() OVER (PARTITION BY callee ORDER BY line NULLS LAST, caller) AS rank FROM _d QUALIFY rank <= 6)
     SELECT callee, max(CASE WHEN rank = 1 THEN caller END) AS caller, max(CASE WHEN rank = 1 THEN line END) AS line,
     coalesce(string_agg(caller, ',' ORDER BY rank) FILTER (rank > 1), '') AS extras FROM _k GROUP BY callee""",
     "control_flow",
 )
 def caller_pick_top1_extras(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first call of each function and the callers of the next five."""
-    calls = view(spark, sf_dir, "control_flow").select("callee", "caller", "line").distinct()
-    top = J.first_of(calls, ["callee"], [F.asc("line"), F.asc("caller")], 6)
+    """The first call of each function and the callers of the next five; calls without a caller do not count, those without a line come last."""
+    calls = view(spark, sf_dir, "control_flow").filter("caller <> ''").select("callee", "caller", "line").distinct()
+    top = J.first_of(calls, ["callee"], [F.asc_nulls_last("line"), F.asc("caller")], 6)
     extras = F.array_sort(F.collect_list(F.when(F.col("rank") > 1, F.struct("rank", "caller"))))
     first = lambda c: F.max(F.when(F.col("rank") == 1, F.col(c))).alias(c)
     return top.groupBy("callee").agg(first("caller"), first("line"), F.array_join(F.transform(extras, lambda x: x["caller"]), ",").alias("extras"))
 
 
 @query(
-    """_d AS (SELECT DISTINCT caller, callee FROM control_flow), _k AS (SELECT *, row_number() OVER (PARTITION BY callee ORDER BY caller) AS rank FROM _d QUALIFY rank <= 24)
-    SELECT callee, string_agg(caller, ',' ORDER BY caller) AS callers FROM _k GROUP BY callee""",
+    """_d AS (SELECT DISTINCT caller, callee FROM control_flow WHERE caller <> '' AND callee <> ''), _e AS (SELECT callee AS node, 'caller' AS side, caller AS other FROM _d UNION ALL SELECT caller, 'callee', callee FROM _d),
+    _k AS (SELECT *, row_number() OVER (PARTITION BY node, side ORDER BY other) AS rank FROM _e QUALIFY rank <= 24)
+    SELECT node, coalesce(string_agg(other, ',' ORDER BY other) FILTER (side = 'caller'), '') AS callers, coalesce(string_agg(other, ',' ORDER BY other) FILTER (side = 'callee'), '') AS callees FROM _k GROUP BY node""",
     "control_flow",
 )
 def call_neighbours_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 24 distinct callers of each function."""
-    top = J.first_of(view(spark, sf_dir, "control_flow").select("caller", "callee").distinct(), ["callee"], [F.asc("caller")], 24)
-    return top.groupBy("callee").agg(F.array_join(F.array_sort(F.collect_list("caller")), ",").alias("callers"))
+    """The first 24 distinct callers and callees of each function."""
+    calls = view(spark, sf_dir, "control_flow").filter("caller <> '' AND callee <> ''").select("caller", "callee").distinct()
+    ends = calls.select(F.col("callee").alias("node"), F.lit("caller").alias("side"), F.col("caller").alias("other")).unionAll(calls.select("caller", F.lit("callee"), "callee"))
+    top = J.first_of(ends, ["node", "side"], [F.asc("other")], 24)
+    listed = lambda side: F.array_join(F.array_sort(F.collect_list(F.when(F.col("side") == side, F.col("other")))), ",").alias(f"{side}s")
+    return top.groupBy("node").agg(listed("caller"), listed("callee"))
 
 
-@query("SELECT caller, callee, count(*) AS n_calls, count(DISTINCT line) AS n_sites, min(line) AS first_line FROM control_flow GROUP BY caller, callee", "control_flow")
+@query("SELECT caller, callee, count(*) AS n_calls, count(DISTINCT line) AS n_sites, min(line) AS first_line FROM control_flow WHERE caller <> '' AND callee <> '' GROUP BY caller, callee", "control_flow")
 def callgraph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.edges(view(spark, sf_dir, "control_flow"))
 
@@ -231,13 +239,14 @@ def micro_window_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH t AS (SELECT doc_id, CAST(CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, length(text) // 4) END AS BIGINT) AS tokens, CAST(greatest(1, length(split_part(text, chr(10), 1)) // 4) AS BIGINT) AS window_tokens FROM documents)
-    SELECT doc_id, tokens, window_tokens, CASE WHEN tokens > 0 THEN round(100.0 * (tokens - window_tokens) / tokens, 2) END AS savings_percent FROM t"""
+    SELECT doc_id, tokens, window_tokens, CASE WHEN tokens > 0 THEN round_even(greatest(0.0, least(100.0, 100.0 * (1 - window_tokens / tokens))), 4) ELSE 0.0 END AS savings_percent FROM t"""
 )
 def token_savings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Estimated tokens of a text and of its first line, and what the line saves."""
     first = F.split("text", "\n", 2)[0]
     rows = view(spark, sf_dir, "documents").select("doc_id", T.estimated_tokens(F.col("text")).alias("tokens"), F.greatest(F.lit(1).cast("bigint"), T.estimated_tokens(first)).alias("window_tokens"))
-    return rows.withColumn("savings_percent", F.when(F.col("tokens") > 0, F.round(100.0 * (F.col("tokens") - F.col("window_tokens")) / F.col("tokens"), 2)))
+    saved = F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100.0 * (1 - F.col("window_tokens") / F.col("tokens"))))
+    return rows.withColumn("savings_percent", F.when(F.col("tokens") > 0, F.bround(saved, 4)).otherwise(0.0))
 
 
 @query(
@@ -276,13 +285,13 @@ def dtype_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH t AS (SELECT p_partkey, p_size, CASE p_partkey % 4 WHEN 0 THEN concat('0x', p_partkey % 10, 'Fu') WHEN 1 THEN concat(p_size, 'UL') WHEN 2 THEN concat(' ', p_partkey, ' ') ELSE concat('-', p_size) END AS literal FROM part)
+    """WITH t AS (SELECT p_partkey, p_size, CASE p_partkey % 4 WHEN 0 THEN concat('0x', p_partkey % 10, 'Fu') WHEN 1 THEN concat('( (', p_size, 'UL) )') WHEN 2 THEN concat(' ', p_partkey, ' ') ELSE concat('-', p_size) END AS literal FROM part)
     SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN (p_partkey % 10) * 16 + 15 WHEN 1 THEN CAST(p_size AS BIGINT) WHEN 2 THEN p_partkey END AS value FROM t"""
 )
 def int_literal_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The values of C literals; a negative one has none."""
+    """The values of C literals, in parentheses or not; a negative one has none."""
     key, size, kind = F.col("p_partkey"), F.col("p_size"), F.col("p_partkey") % 4
-    literal = F.when(kind == 0, F.concat(F.lit("0x"), (key % 10).cast("string"), F.lit("Fu"))).when(kind == 1, F.concat(size.cast("string"), F.lit("UL"))).when(kind == 2, F.concat(F.lit(" "), key.cast("string"), F.lit(" "))).otherwise(F.concat(F.lit("-"), size.cast("string")))
+    literal = F.when(kind == 0, F.concat(F.lit("0x"), (key % 10).cast("string"), F.lit("Fu"))).when(kind == 1, F.concat(F.lit("( ("), size.cast("string"), F.lit("UL) )"))).when(kind == 2, F.concat(F.lit(" "), key.cast("string"), F.lit(" "))).otherwise(F.concat(F.lit("-"), size.cast("string")))
     return view(spark, sf_dir, "part").select("p_partkey", T.int_literal(literal).alias("value"))
 
 
@@ -360,7 +369,7 @@ def calibration_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """_l AS (SELECT classification, count(*) AS n, list_sort(list(tokens_used)) AS v, round(sum(tokens_used) / count(*), 2) AS mean FROM verdicts GROUP BY 1)
+    """_l AS (SELECT classification, count(*) AS n, list_sort(list(tokens_used)) AS v, round_even(sum(tokens_used) / count(*), 2) AS mean FROM verdicts GROUP BY 1)
     SELECT classification, n, mean, v[n // 2 + 1] AS median, v[least(n - 1, n * 95 // 100) + 1] AS p95 FROM _l""",
     "verdicts",
 )
@@ -379,11 +388,11 @@ def cluster_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.top_clusters(view(spark, sf_dir, "alarms"), "location", "order_id", 20)
 
 
-@query("SELECT category, classification, count(*) AS n, min(order_id) AS first_seen FROM alarms GROUP BY GROUPING SETS ((category), (classification), (category, classification), ())", "alarms")
+@query("SELECT category, classification, CAST(grouping(category) * 2 + grouping(classification) AS BIGINT) AS level, count(*) AS n, min(order_id) AS first_seen FROM alarms GROUP BY GROUPING SETS ((category), (classification), (category, classification), ())", "alarms")
 def cluster_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts by category, class, both and in all, in one pass."""
+    """Counts by category, class, both and in all, in one pass; level: 1 without the class, 2 without the category, 3 in all."""
     rows = view(spark, sf_dir, "alarms")
-    return rows.cube("category", "classification").agg(F.count("*").alias("n"), F.min("order_id").alias("first_seen"))
+    return rows.cube("category", "classification").agg(F.grouping_id().cast("bigint").alias("level"), F.count("*").alias("n"), F.min("order_id").alias("first_seen"))
 
 
 @query("SELECT classification, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 2) AS percent FROM alarms GROUP BY classification", "alarms")
@@ -424,16 +433,16 @@ def label_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT caller, callee, line, (SELECT min(struct_pack(d := abs(f.start_line - c.line), s := f.start_line)).s FROM functions f WHERE f.name = c.callee) AS nearest_span FROM control_flow c""",
+    """SELECT caller, callee, line, (SELECT min(struct_pack(d := coalesce(abs(f.start_line - c.line), 0), s := f.start_line)).s FROM functions f WHERE f.name = c.callee) AS nearest_span FROM control_flow c""",
     "control_flow",
     "functions",
 )
 def nearest_span_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each call the function of the callee's name that starts nearest."""
+    """For each call the function of the callee's name that starts nearest; the first of that name for a call without a line."""
     calls = view(spark, sf_dir, "control_flow").select("caller", F.col("callee").alias("name"), "line")
     spans = view(spark, sf_dir, "functions").select("name", F.col("start_line").alias("line"))
-    found = J.nearest(calls, spans, "name", "line", width=1 << 16)
-    return found.select("caller", F.col("name").alias("callee"), "line", F.col("found").alias("nearest_span"))
+    found = J.nearest(calls, spans, "name", "line", width=1 << 16).join(spans.groupBy("name").agg(F.min("line").alias("first")), "name", "left")
+    return found.select("caller", F.col("name").alias("callee"), "line", F.when(F.col("line").isNull(), F.col("first")).otherwise(F.col("found")).alias("nearest_span"))
 
 
 @query(
@@ -466,13 +475,15 @@ def dataflow_sites_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH l AS (SELECT page_id, unnest(string_split(html, chr(10))) AS line FROM pages) SELECT page_id, count(*) FILTER (trim(line) <> '') AS n_lines,
-    CAST(min(length(line) - length(ltrim(line, ' '))) FILTER (trim(line) <> '' AND line NOT LIKE '#%') AS BIGINT) AS indent FROM l GROUP BY page_id"""
+    coalesce(CAST(min(length(line) - length(ltrim(line, ' \t'))) FILTER (ltrim(line, ' \t') NOT IN ('', '{', '}') AND ltrim(line, ' \t') NOT LIKE '#%') AS BIGINT), 0) AS indent FROM l GROUP BY page_id"""
 )
 def dedent_min_indent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines that are not blank, and the least indent of those, cut where the text lies."""
+    """Lines that are not blank, and the least indent of those that are no preprocessor line and no bare brace; none: zero."""
     lines = F.filter(F.split("html", "\n", -1), lambda x: F.trim(x) != "")
-    indents = F.transform(F.filter(lines, lambda x: ~x.startswith("#")), lambda x: F.length(x) - F.length(F.ltrim(x)))
-    return view(spark, sf_dir, "pages").select("page_id", F.size(lines).cast("bigint").alias("n_lines"), F.array_min(indents).cast("bigint").alias("indent"))
+    bare = lambda x: F.ltrim(x, F.lit(" \t"))
+    counted = F.filter(lines, lambda x: ~bare(x).isin("", "{", "}") & ~bare(x).startswith("#"))
+    indents = F.transform(counted, lambda x: F.length(x) - F.length(bare(x)))
+    return view(spark, sf_dir, "pages").select("page_id", F.size(lines).cast("bigint").alias("n_lines"), F.coalesce(F.array_min(indents), F.lit(0)).cast("bigint").alias("indent"))
 
 
 @query("SELECT t.order_id, t.human FROM truth t WHERE NOT EXISTS (SELECT 1 FROM tool_events e WHERE e.order_id = t.order_id AND e.tool = 'submit_verdict')", "truth", "tool_events")

@@ -44,7 +44,7 @@ def calibration(rows: DataFrame) -> DataFrame:
     human, own = is_true(F.col("human")), F.col("classification")
     match = F.when(human, own.startswith("true") | (own == "review")).otherwise(own == "false")
     sums = rows.groupBy(F.lower(F.coalesce("confidence", F.lit("unknown"))).alias("confidence")).agg(F.count("*").alias("n"), F.count_if(match).alias("m"), F.count_if(human & (own == "false")).alias("false_on_human_true"))
-    return sums.select("confidence", "n", F.round(F.col("m") / F.col("n"), 6).alias("match_rate"), "false_on_human_true")
+    return sums.select("confidence", "n", F.bround(F.col("m") / F.col("n"), 6).alias("match_rate"), "false_on_human_true")
 
 
 def upper_quantiles(rows: DataFrame, value: str, group: str) -> DataFrame:
@@ -57,7 +57,7 @@ def upper_quantiles(rows: DataFrame, value: str, group: str) -> DataFrame:
     placed = counts.withColumn("upto", F.sum("c").over(upto)).withColumn("n", F.sum("c").over(Window.partitionBy(group)))
     at = lambda place: F.min(F.when(F.col("upto") > place, F.col(value)))
     n = F.col("n")
-    return placed.groupBy(group, "n").agg(F.round(F.sum(F.col(value) * F.col("c")) / n, 2).alias("mean"), at(F.floor(n / 2)).alias("median"), at(F.least(n - 1, F.floor(n * 95 / 100))).alias("p95"))
+    return placed.groupBy(group, "n").agg(F.bround(F.sum(F.col(value) * F.col("c")) / n, 2).alias("mean"), at(F.floor(n / 2)).alias("median"), at(F.least(n - 1, F.floor(n * 95 / 100))).alias("p95"))
 
 
 def recall_violations(rows: DataFrame) -> DataFrame:

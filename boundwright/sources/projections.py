@@ -5,6 +5,8 @@ Each view has its own columns; `view` gives it as a DataFrame and `with_views` a
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 VIEWS = {
@@ -12,6 +14,11 @@ VIEWS = {
         p_partkey * 40 + 1 AS start_line, p_partkey * 40 + p_size AS end_line FROM part""",
     "alarms": """SELECT o_orderkey AS order_id, o_orderpriority AS category,
         CASE WHEN o_orderkey % 97 = 0 THEN 'no-location'
+             WHEN o_orderkey % 89 = 0 THEN concat('src.c:', o_orderkey % 500 + 1, '.3-xyz')
+             WHEN o_orderkey % 83 = 0 THEN concat(' dir:src.c:', o_orderkey % 500 + 1, '.4-')
+             WHEN o_orderkey % 79 = 0 THEN concat('src.c:', o_orderkey % 500 + 1, '.5-9.y')
+             WHEN o_orderkey % 73 = 0 THEN concat('src.c:', o_orderkey % 500 + 1, '.6-', o_orderkey % 500 + 3, '.8 ')
+             WHEN o_orderkey % 71 = 0 THEN concat('src.c:x', o_orderkey, '.7')
              WHEN o_orderkey % 5 = 0 THEN concat('src.c:', (o_orderkey * 37 + 11) % (SELECT count(*) * 40 FROM part) + 1, '.', o_custkey % 80 + 1)
              ELSE concat('src.c:', (o_orderkey * 37 + 11) % (SELECT count(*) * 40 FROM part) + 1, '.', o_custkey % 80 + 1, '-', o_custkey % 80 + 9) END AS location,
         CASE o_orderstatus WHEN 'F' THEN 'false' WHEN 'O' THEN 'true' ELSE 'true (low)' END AS classification FROM orders""",
@@ -19,8 +26,8 @@ VIEWS = {
         concat('v', user_id % 40, CASE WHEN event_id % 4 = 0 THEN '.f' ELSE '' END, CASE WHEN event_id % 3 = 0 THEN concat('@fn_', user_id) ELSE '' END) AS variable,
         concat('fn_', user_id) AS function, CASE WHEN event_type IN ('purchase', 'signup') THEN 'write' ELSE 'read' END AS access,
         (event_id * 13 + 5) % (SELECT count(*) * 40 FROM part) + 1 AS line FROM events""",
-    "control_flow": """SELECT concat('fn_', l_suppkey) AS caller, concat('fn_', l_partkey % 100) AS callee,
-        l_returnflag AS process, l_orderkey * 10 + l_linenumber AS line FROM lineitem""",
+    "control_flow": """SELECT CASE WHEN l_orderkey % 43 <> 0 THEN concat('fn_', l_suppkey) ELSE '' END AS caller, concat('fn_', l_partkey % 100) AS callee,
+        l_returnflag AS process, CASE WHEN l_orderkey % 41 <> 0 THEN l_orderkey * 10 + l_linenumber END AS line FROM lineitem""",
     "sparse_edges": """SELECT concat('fn_', s_suppkey) AS src, concat('fn_', CAST(floor(s_suppkey / 2) AS BIGINT)) AS dst FROM supplier
         UNION SELECT concat('fn_', s_suppkey) AS src, concat('fn_', (s_suppkey * 3 + 1) % (SELECT count(*) FROM supplier)) AS dst FROM supplier""",
     "truth": """SELECT doc_id AS order_id, CASE WHEN quality = 0 THEN 'true' WHEN toxic = 1 THEN 'true (low)' ELSE 'false' END AS human FROM labels""",
@@ -43,12 +50,11 @@ BASE = {
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view as a DataFrame; other names are the driver's own tables."""
+    """A view as a DataFrame; other names are the driver's own tables. The session's own views are left alone."""
     if name not in VIEWS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    for base in BASE[name]:
-        spark.read.parquet(f"{sf_dir}/{base}.parquet").createOrReplaceTempView(base)
-    return spark.sql(VIEWS[name])
+    sql = re.sub(rf"\b({'|'.join(BASE[name])})\b", r"{\1}", VIEWS[name])
+    return spark.sql(sql, **{base: spark.read.parquet(f"{sf_dir}/{base}.parquet") for base in BASE[name]})
 
 
 def with_views(*names: str) -> str:
