@@ -54,3 +54,12 @@ def nearest(left: DataFrame, right: DataFrame, key: str, line: str, width: int =
 def first_of(rows: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
     """The first k rows of each key, with `rank`. Spark cuts each task's rows to k a key before it shuffles them."""
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint")).filter(F.col("rank") <= k)
+
+
+def running_before(left: DataFrame, right: DataFrame, keys: list[str], line: str) -> DataFrame:
+    """left with `before`: how many right rows of its keys have a smaller line. Rows of a line are counted before the window."""
+    counts = right.groupBy(*keys, line).agg(F.count("*").alias("n"))
+    asked = left.select(*keys, line).distinct().withColumn("n", F.lit(0).cast("bigint"))
+    both = asked.unionByName(counts).groupBy(*keys, line).agg(F.sum("n").alias("n"))
+    earlier = Window.partitionBy(*keys).orderBy(line).rowsBetween(Window.unboundedPreceding, -1)
+    return left.join(both.select(*keys, line, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")), [*keys, line], "left")
