@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boundwright.jobs.catalogue import query
+from boundwright.functions import text as T
+from boundwright.jobs.catalogue import LOCATED, placed_alarms, query
+from boundwright.operators import joins as J
 from boundwright.operators import paths as P
+from boundwright.operators.origins import COMMON, HOPS, origin_paths
 from boundwright.sources.projections import view
 
 #: Pairs asked for: of a function itself, of one that no call names, and of functions near and far.
@@ -55,3 +58,38 @@ def callgraph_simple_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The simple paths between pairs of functions, along the calls or else either way."""
     found = P.simple_paths(view(spark, sf_dir, "sparse_edges"), asked(spark, sf_dir))
     return found.select("a", "b", "directed", "rank", "n_nodes", F.array_join("path", ">").alias("path"))
+
+
+@query(
+    f"""{LOCATED}, _a AS (SELECT p.order_id, p.line, o.symbol, (SELECT max(struct_pack(s := f.start_line, i := f.fn_id, n := f.name)).n FROM functions f WHERE p.line BETWEEN f.start_line AND f.end_line) AS fn FROM located p JOIN operands o ON o.order_id = p.order_id),
+    _w AS (SELECT function AS fn, split_part(variable, '@', 1) AS symbol, line, seq FROM data_flow WHERE access = 'write'), _m AS (SELECT fn, symbol, min(line) AS first_write FROM _w GROUP BY fn, symbol),
+    _c AS (SELECT callee, caller, line AS call_line, argument FROM arguments WHERE caller <> '' QUALIFY row_number() OVER (PARTITION BY callee ORDER BY line NULLS LAST, caller, argument NULLS LAST) = 1),
+    _p AS (SELECT fn, symbol FROM parameters),
+    _h AS (SELECT order_id, 0 AS hop, fn, symbol, line, CAST([] AS VARCHAR[]) AS visited FROM _a
+      UNION ALL SELECT h.order_id, h.hop + 1, c.caller, coalesce(c.argument, h.symbol), c.call_line, list_append(h.visited, h.fn) FROM _h h JOIN _p p ON p.fn = h.fn AND p.symbol = h.symbol JOIN _c c ON c.callee = h.fn
+      LEFT JOIN _m m ON m.fn = h.fn AND m.symbol = h.symbol WHERE h.hop < {HOPS - 1} AND NOT coalesce(m.first_write < h.line, false) AND NOT list_contains(h.visited, c.caller) AND c.caller <> h.fn),
+    _k AS (SELECT h.*, c.argument, CASE WHEN h.fn IS NULL THEN 'unresolved' WHEN m.first_write < h.line THEN 'written' WHEN p.fn IS NOT NULL AND c.caller IS NULL THEN 'no_caller' WHEN p.fn IS NOT NULL THEN 'called' ELSE 'other' END AS kind
+      FROM _h h LEFT JOIN _m m ON m.fn = h.fn AND m.symbol = h.symbol LEFT JOIN _p p ON p.fn = h.fn AND p.symbol = h.symbol LEFT JOIN _c c ON c.callee = h.fn),
+    _f AS (SELECT k.*, (SELECT max(struct_pack(l := w.line, s := w.seq, f := w.fn)) FROM _w w WHERE w.symbol = k.symbol AND w.line < k.line AND (k.hop = 0 OR w.fn = k.fn)) AS w FROM _k k),
+    _g AS (SELECT *, CASE WHEN hop = 0 AND kind = 'other' AND length(symbol) > {COMMON} AND w.f <> fn THEN 'global' ELSE kind END AS own FROM _f),
+    _rows AS (SELECT order_id, hop, fn, symbol, CASE WHEN hop > 0 AND own = 'written' THEN w.l ELSE line END AS line, own, argument FROM _g UNION ALL SELECT order_id, 1, w.f, symbol, w.l, own, argument FROM _g WHERE own = 'global')
+    SELECT order_id, row_number() OVER (PARTITION BY order_id ORDER BY hop DESC) AS step,
+    CASE WHEN max(hop) OVER (PARTITION BY order_id) = 0 THEN 'origin_and_alarm' WHEN hop = 0 THEN 'alarm' WHEN hop = max(hop) OVER (PARTITION BY order_id) THEN 'origin' ELSE 'call' END AS role, fn AS function, symbol,
+    CASE WHEN own IN ('called', 'no_caller') THEN 'parameter' WHEN own = 'written' THEN 'local' WHEN own = 'global' THEN 'global' ELSE 'unknown' END AS scope, line,
+    CASE WHEN own = 'unresolved' THEN 'unresolved_function,empty_path' WHEN own = 'no_caller' THEN 'no_caller' WHEN own = 'called' AND argument IS NULL THEN 'arg_extract_failed' WHEN own = 'other' THEN 'missing_df' ELSE '' END AS gap FROM _rows""",
+    "alarms",
+    "operands",
+    "functions",
+    "data_flow",
+    "arguments",
+    "parameters",
+)
+def origin_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The path of each alarm from the origin of its index to itself, through callers, with the gaps that it has."""
+    placed = J.enclosing(placed_alarms(spark, sf_dir), view(spark, sf_dir, "functions")).select("order_id", F.col("name").alias("fn"), "line")
+    alarms = placed.join(view(spark, sf_dir, "operands"), "order_id")
+    flow = view(spark, sf_dir, "data_flow").filter("access = 'write'").select(F.col("function").alias("fn"), T.bare_name(F.col("variable")).alias("symbol"), "line", "seq")
+    calls = view(spark, sf_dir, "arguments").filter("caller <> ''")
+    order = [F.asc_nulls_last("line"), F.asc("caller"), F.asc_nulls_last("argument")]
+    callers = J.first_of(calls, ["callee"], order, 1).select("callee", "caller", F.col("line").alias("call_line"), "argument")
+    return origin_paths(alarms, flow, view(spark, sf_dir, "parameters"), callers)

@@ -30,6 +30,11 @@ VIEWS = {
         l_returnflag AS process, CASE WHEN l_orderkey % 41 <> 0 THEN l_orderkey * 10 + l_linenumber END AS line FROM lineitem""",
     "sparse_edges": """SELECT concat('fn_', s_suppkey) AS src, concat('fn_', CAST(floor(s_suppkey / 2) AS BIGINT)) AS dst FROM supplier
         UNION SELECT concat('fn_', s_suppkey) AS src, concat('fn_', (s_suppkey * 3 + 1) % (SELECT count(*) FROM supplier)) AS dst FROM supplier""",
+    "operands": """SELECT o_orderkey AS order_id, concat('v', o_custkey % 40) AS symbol FROM orders""",
+    "parameters": """SELECT DISTINCT concat('fn_', p_partkey % 1500) AS fn, concat('v', (p_partkey % 1500 + 4 * p_size) % 40) AS symbol FROM part""",
+    "arguments": """SELECT CASE WHEN l_orderkey % 43 <> 0 THEN concat('fn_', l_suppkey) ELSE '' END AS caller, concat('fn_', l_partkey % 100) AS callee,
+        CASE WHEN l_orderkey % 41 <> 0 THEN l_orderkey * 10 + l_linenumber END AS line,
+        CASE WHEN l_linenumber % 2 = 0 THEN concat('v', l_suppkey % 40) WHEN l_linenumber <> 5 THEN concat('v', (l_orderkey + l_linenumber * 7) % 40) END AS argument FROM lineitem""",
     "truth": """SELECT doc_id AS order_id, CASE WHEN quality = 0 THEN 'true' WHEN toxic = 1 THEN 'true (low)' ELSE 'false' END AS human FROM labels""",
     "verdicts": """SELECT doc_id AS order_id,
         CASE n_chars % 5 WHEN 0 THEN 'false' WHEN 1 THEN 'true' WHEN 2 THEN 'true (low)' WHEN 3 THEN 'review' ELSE 'undecided' END AS classification,
@@ -44,7 +49,7 @@ VIEWS = {
           ELSE concat('s->buf[v', user_id % 40, ' & ', event_id % 16, 'u] = Get(v', user_id % 40, ');') END AS text FROM events""",
 }
 BASE = {
-    "functions": ("part",), "alarms": ("orders", "part"), "data_flow": ("events", "part"), "control_flow": ("lineitem",), "sparse_edges": ("supplier",),
+    "functions": ("part",), "alarms": ("orders", "part"), "data_flow": ("events", "part"), "control_flow": ("lineitem",), "operands": ("orders",), "parameters": ("part",), "arguments": ("lineitem",), "sparse_edges": ("supplier",),
     "truth": ("labels",), "verdicts": ("documents",), "tool_events": ("conversations",), "c_lines": ("events",),
 }
 
