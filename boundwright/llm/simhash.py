@@ -233,7 +233,9 @@ def apart(met: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
     reach = size - F.ceil(F.lit(SIMILAR) * size - F.lit(1e-9)) + 1
     prefix = rarest.select("fp", "root", size.alias("size"), F.posexplode(F.slice("all", F.lit(1), reach.cast("int"))).alias("place", "s"))
     prefix = written(prefix.filter("s.many > 1").select("fp", "root", "size", "place", F.col("s.shingle").alias("shingle")), "prefixes")
+    # A table, so that the join below is dealt out anew and a frequent shingle can be split.
     largest = prefix.groupBy("shingle", "root").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.max(F.struct("n", "root")).getField("root").alias("largest"))
+    largest = written(largest, "largest")
     outside = written(prefix.join(largest, "shingle").filter("root != largest").drop("largest"), "outside")
     other = prefix.select("shingle", *(F.col(c).alias(f"other_{c}") for c in ("fp", "root", "size", "place")))
     left = F.least(F.col("size") - F.col("place"), F.col("other_size") - F.col("other_place"))
