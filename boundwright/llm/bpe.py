@@ -8,10 +8,13 @@ each a point update of logarithmic cost. Pre-tokens of one size class are merged
 array each; longer ones take the same tree one at a time.
 
 Spark deals out the documents; nothing is shuffled. A worker keeps the ids of the chunks it met, in a
-dictionary of bounded size.
+dictionary of bounded size. Texts are cut into chunks where no match of the pattern CUTTABLE spans the cut; with any other
+pattern a whole text is one chunk.
 
 Defined results: a null text has no ids (as an empty one); decoding a null or empty list gives no bytes;
-ids outside the vocabulary make decoding fail with a KeyError.
+ids outside the vocabulary make decoding fail with a KeyError; texts of any length are encoded whole, and long
+chunks are not remembered; repeated rows each get their row; an empty table gives an empty one; `encoded` refuses
+to overwrite columns, whose names are parameters; `digests` reads doc_id and text alone.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ from boundwright.llm.common import bounded_batches, table
 CACHE = 700_000
 #: Pre-tokens up to this many bytes are merged many at a time.
 WIDEST = 64
+#: The pattern that `chunks` is made for.
+CUTTABLE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NONE = np.int64(1) << 62
 
 
@@ -44,7 +49,7 @@ class Vocabulary:
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.bytes_of = {i: b for b, i in self.ranks.items()}
-        self.pattern = regex.compile(pattern)
+        self.pattern, self.cuttable = regex.compile(pattern), pattern == CUTTABLE
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int64)
         self.cache: dict[str, bytes] = {}
         pairs = {}
@@ -168,9 +173,9 @@ class Vocabulary:
         if len(cache) > CACHE:
             for key in list(islice(cache, CACHE // 2, None)):
                 del cache[key]
-        chunked = [chunks(x) for x in texts]
+        chunked = [chunks(x) if self.cuttable else [x] if x else [] for x in texts]
         new = set(chain.from_iterable(chunked)).difference(cache)
-        words = {c for c in new if c[0] == " " and c[1:].isalpha()}  # one match each, without a search
+        words = {c for c in new if self.cuttable and c[0] == " " and c[1:].isalpha()}  # one match each, without a search
         split = {c: self.pattern.findall(c) for c in new.difference(words)}
         self.merge(words.union(chain.from_iterable(split.values())).difference(cache))
         cache.update((c, b"".join([cache[x] for x in some])) for c, some in split.items() if len(some) > 1)
@@ -236,11 +241,13 @@ def decode(ids: str | Column, path: str, pattern: str) -> Column:
     return whole(ids)
 
 
-def encoded(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """The documents with their ids (array<int>) and the bytes those decode to, in columns `ids` and `decoded`."""
+def encoded(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """The documents with their ids (array<int>) and the bytes those decode to, in two new columns."""
+    if clash := {ids.lower(), decoded.lower()} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"the table has columns named {', '.join(sorted(clash))}; name others")
     bounded_batches(docs.sparkSession)
-    with_ids = docs.withColumn("ids", encode(text, path, pattern))
-    return with_ids.withColumn("decoded", decode("ids", path, pattern))
+    with_ids = docs.withColumn(ids, encode(text, path, pattern))
+    return with_ids.withColumn(decoded, decode(ids, path, pattern))
 
 
 def public() -> tuple[str, str]:

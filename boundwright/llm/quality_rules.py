@@ -8,7 +8,9 @@ piece carries the format's overhead and shares less with itself.
 Everything is per document, so nothing is shuffled.
 
 Defined results: a null or empty text has no words, all counts 0, ratios 0, fails the base rules and is
-not kept. Repeated rows each get their row.
+not kept. Repeated rows each get their row; texts of any length are taken whole, in chunks of CHUNK bytes; a ratio on a
+band's edge is within it; an empty table gives an empty one; `kept` returns the columns it was given, and the
+query reads doc_id and text alone.
 """
 
 from __future__ import annotations

@@ -13,7 +13,9 @@ into, again BUCKETS at a time, until the bracket is one capacity and its cuts ar
 
 Defined results: a null text has no bytes, size 1, and is equal to the empty text; rows with a null
 doc_id come last in their group's order; repeated rows each get a slot. With fewer groups than shards the
-last shards are empty. A group greater than an even share makes its shard that large.
+last shards are empty; an empty table gives an empty one. A group greater than an even share makes its shard that
+large. Texts of any length count by their bytes and move as digests. Columns other than doc_id and text are not read. Rows that
+are equal in text and in doc_id, or have none, have one place in the order and are dealt to one task, a few dozen bytes each.
 """
 
 from __future__ import annotations

@@ -15,7 +15,9 @@ Tokens whose character lies in no section count under section -1 (by `share`, th
 Sections are (start, end) in characters, end excluded. Where none are given, they are the text's lines, each
 with its line break. Defined results: a null text counts as empty and has one empty line; sections that are
 null, empty or turned around have no tokens; of overlapping sections the one that starts last has the
-token. Every section has its row, with or without tokens; section -1 only with some.
+token. Every section has its row, with or without tokens; section -1 only with some. Repeated documents each get their
+rows; texts of any length are encoded whole; equal shares go to the earliest section; an empty table gives an empty
+one; the columns returned are this operator's own, so none can clash.
 """
 
 from __future__ import annotations

@@ -60,3 +60,17 @@ def test_nulls_empties_and_clashing_columns(spark):
     nothing = hashlib.sha256(b"").hexdigest()
     assert [r.n_tokens for r in got] == [0, 0, 2, 2] and got[0].ids_sha256 == nothing == got[1].ids_sha256
     assert bpe.digests(docs.limit(0)).collect() == []
+
+
+def test_names_and_other_patterns(spark):
+    docs = spark.createDataFrame([(1, "a b", "own")], "doc_id long, text string, IDS string")
+    with pytest.raises(ValueError):
+        bpe.encoded(docs, PATH, P.PATTERN)
+    row = bpe.encoded(docs, PATH, P.PATTERN, ids="n", decoded="back").first()
+    assert row.IDS == "own" and bytes(row.back) == b"a b" and len(row.n) == 2
+    assert bpe.CUTTABLE == P.PATTERN
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}
+    other = "[a-z]+ ?|[^a-z]+"
+    want = tiktoken.Encoding("other", pat_str=other, mergeable_ranks=ranks, special_tokens={})
+    for x in ("the end of it. Yes,  no", "", "A b c. d, e"):
+        assert np.frombuffer(bpe.Vocabulary(PATH, other).encode([x])[0], dtype=np.int32).tolist() == want.encode_ordinary(x)

@@ -62,3 +62,32 @@ def test_query(spark, sf_dir):
     for r in got[:60]:
         if len(docs[r.doc_id]) < 3000:
             assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute(docs[r.doc_id])
+
+
+def brute_bands(text):
+    """Ratios and the bands' verdict, piece by piece from the definition."""
+    import zstandard
+
+    data = (text or "").encode()
+    if not data:
+        return 0.0, 0.0, 0.0, True
+    ratio = lambda x: len(x) / len(zstandard.compress(x, q.LEVEL))
+    pieces = [data[i * q.CHUNK : (i + 1) * q.CHUNK] for i in range(-(-len(data) // q.CHUNK))]
+    ratios = [ratio(x) for x in pieces] if len(pieces) > 1 else [ratio(data)]
+    fits = True
+    for x, r in [(data, ratio(data)), *zip(pieces, ratios)]:
+        band = [b for b in q.BANDS if len(x) <= b[0]][0]
+        fits = fits and band[1] <= r <= band[2]
+    return ratio(data), min(ratios), max(ratios), fits
+
+
+def test_bands_against_brute_force(spark):
+    """Every document's ratios and verdict, with long, repeated and null rows."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    docs += [(9001, words(400_000, 3)), (9001, words(400_000, 3)), (9002, None), (None, words(80, 4)), (9003, "x" * 3_000_000)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = frame.select("doc_id", q.verdict("text").alias("v")).select("doc_id", "v.*").collect()
+    want = sorted((str(i), *brute_bands(x)[:3]) for i, x in docs)
+    assert sorted((str(r.doc_id), r.ratio, r.low_chunk, r.high_chunk) for r in got) == want
+    fits = {(str(i), brute_bands(x)[0]): brute_bands(x)[3] for i, x in docs}
+    assert all(r.kept == (fits[str(r.doc_id), r.ratio] and not r.base_failed) for r in got) and any(r.kept for r in got)
