@@ -151,12 +151,13 @@ def callgraph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """_e AS (SELECT src AS node, 1 AS o, 0 AS i FROM sparse_edges UNION ALL SELECT dst, 0, 1 FROM sparse_edges), _s AS (SELECT node, CAST(sum(i) AS BIGINT) AS n_in, CAST(sum(o) AS BIGINT) AS n_out FROM _e GROUP BY node)
+    """_e AS (SELECT src AS node, 1 AS o, 0 AS i FROM call_edges UNION ALL SELECT dst, 0, 1 FROM call_edges), _s AS (SELECT node, CAST(sum(i) AS BIGINT) AS n_in, CAST(sum(o) AS BIGINT) AS n_out FROM _e GROUP BY node)
     SELECT node, n_in, n_out, round(1.6 + least(6.0, sqrt(n_in + n_out)), 2) AS size FROM _s""",
-    "sparse_edges",
+    "call_edges",
 )
 def callgraph_degree_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.degrees(view(spark, sf_dir, "sparse_edges"))
+    """Degrees and drawn sizes over the distinct edges of all calls."""
+    return G.degrees(view(spark, sf_dir, "call_edges"))
 
 
 @query(

@@ -28,6 +28,7 @@ VIEWS = {
         (event_id * 13 + 5) % (SELECT count(*) * 40 FROM part) + 1 AS line FROM events""",
     "control_flow": """SELECT CASE WHEN l_orderkey % 43 <> 0 THEN concat('fn_', l_suppkey) ELSE '' END AS caller, concat('fn_', l_partkey % 100) AS callee,
         l_returnflag AS process, CASE WHEN l_orderkey % 41 <> 0 THEN l_orderkey * 10 + l_linenumber END AS line FROM lineitem""",
+    "call_edges": """SELECT DISTINCT concat('fn_', l_suppkey) AS src, concat('fn_', l_partkey % 100) AS dst FROM lineitem WHERE l_orderkey % 43 <> 0""",
     "sparse_edges": """SELECT concat('fn_', s_suppkey) AS src, concat('fn_', CAST(floor(s_suppkey / 2) AS BIGINT)) AS dst FROM supplier
         UNION SELECT concat('fn_', s_suppkey) AS src, concat('fn_', (s_suppkey * 3 + 1) % (SELECT count(*) FROM supplier)) AS dst FROM supplier""",
     "operands": """SELECT o_orderkey AS order_id, concat('v', o_custkey % 40) AS symbol FROM orders""",
@@ -49,7 +50,7 @@ VIEWS = {
           ELSE concat('s->buf[v', user_id % 40, ' & ', event_id % 16, 'u] = Get(v', user_id % 40, ');') END AS text FROM events""",
 }
 BASE = {
-    "functions": ("part",), "alarms": ("orders", "part"), "data_flow": ("events", "part"), "control_flow": ("lineitem",), "operands": ("orders",), "parameters": ("part",), "arguments": ("lineitem",), "sparse_edges": ("supplier",),
+    "functions": ("part",), "alarms": ("orders", "part"), "data_flow": ("events", "part"), "control_flow": ("lineitem",), "operands": ("orders",), "parameters": ("part",), "arguments": ("lineitem",), "call_edges": ("lineitem",), "sparse_edges": ("supplier",),
     "truth": ("labels",), "verdicts": ("documents",), "tool_events": ("conversations",), "c_lines": ("events",),
 }
 
