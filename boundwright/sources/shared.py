@@ -37,9 +37,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def released(spark: SparkSession, keep: int = 0) -> int:
-    """Delete the intermediate tables written after the first `keep`, once no result needs them; how many are left."""
-    while len(WRITTEN) > keep:
-        path = spark._jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+def released(spark: SparkSession, first: int = 0, last: int = 0) -> int:
+    """Delete the intermediate tables that were written after the first so many and before the last so many, once no result needs them; how many are left."""
+    upto = max(first, len(WRITTEN) - last)
+    for folder in WRITTEN[first:upto]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    del WRITTEN[first:upto]
     return len(WRITTEN)
