@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from boundwright.llm import bpe, decontaminate, quality_model, quality_rules, simhash
-from boundwright.llm.common import table, written
+from boundwright.llm.common import released, table, written
+from boundwright.sources.shared import WRITTEN
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,10 +53,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to `documents`."""
+    """The stages applied to `documents`. What a stage wrote on the way is deleted once its result is written."""
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
+        before = len(WRITTEN)
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = written(docs, name.replace(" ", "-"))
+            released(spark, before, 1)
     return docs
