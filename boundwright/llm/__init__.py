@@ -19,6 +19,7 @@ MODULES = (
     "quality_rules",
     "quality_model",
     "bpe",
+    "conversation_repair",
 )
 
 
