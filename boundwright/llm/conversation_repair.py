@@ -146,7 +146,7 @@ def folded(blocks: list[list[dict]]) -> tuple[int, list[str]]:
 
 
 def fold(moves: pd.Series) -> pd.DataFrame:
-    """folded() of the moves of each conversation's blocks, in order; `block` is their place."""
+    """folded() of the moves of each conversation's blocks, in order; `block` tells them apart."""
     return pd.DataFrame([folded([list(b) for _, b in groupby(m, itemgetter("block"))]) for m in moves], columns=["cost", "audits"])
 
 
@@ -211,38 +211,36 @@ def audited(blocks: DataFrame) -> DataFrame:
 
 
 def plans(rows: DataFrame) -> DataFrame:
-    """For each conversation of rows (conv_id, turn, role, text; no null role or text): counts, cost, and `blocks`: of (turn, digest, n) and audit."""
+    """For each conversation of rows (conv_id, turn, role, text; no null role or text): counts, cost, and of its blocks `rows` (turn, digest, n) and `audits`."""
     blocks = written(blocks_of(symbols(rows)), "blocks")
     ends = blocks.groupBy("conv_id").agg(F.min("block").alias("b0"), F.max("block").alias("b1"))
     marked = null_safe(blocks, ends, ["conv_id"]).withColumns({"first": F.col("block") == F.col("b0"), "last": F.col("block") == F.col("b1")}).drop("b0", "b1")
-    solved = marked.join(written(audited(marked), "audits"), ["signature", "first", "last"])
+    solved = marked.join(written(audited(marked), "audits"), ["signature", "first", "last"]).withColumn("moves", F.transform("moves", lambda m: m.withField("block", F.col("block"))))
     one = F.array_sort(F.collect_list(F.struct("block", "of", "moves", "starts", "stops")))
     sums = [F.sum(c).alias(c) for c in ("blank", "duplicate", "truncated", "illegal", "again")]
     conversation = solved.groupBy("conv_id").agg(one.alias("b"), *sums)
     pairs = F.transform(F.sequence(F.lit(1), F.size("b") - 1), lambda i: F.concat(F.col("b")[i - 1]["stops"], F.col("b")[i]["starts"]))
     between = F.when(F.size("b") > 1, F.size(F.filter(pairs, lambda p: ~p.isin("su", "ua", "au")))).otherwise(0)
-    flat = F.flatten(F.transform("b", lambda x, i: F.transform(x["moves"], lambda m: m.withField("block", i))))
-    conversation = conversation.withColumn("illegal", F.col("illegal") + between).withColumn("plan", F.pandas_udf(fold, "cost long, audits array<string>")(flat))
-    taken = F.zip_with("b", "plan.audits", lambda x, audit: F.struct(x["of"].alias("of"), audit.alias("audit")))
-    return conversation.select("conv_id", "blank", "duplicate", "truncated", "illegal", (F.col("plan.cost") + DELETE * F.col("again")).alias("cost"), taken.alias("blocks"))
+    conversation = conversation.withColumn("illegal", F.col("illegal") + between).withColumn("plan", F.pandas_udf(fold, "cost long, audits array<string>")(F.flatten("b.moves")))
+    return conversation.select("conv_id", "blank", "duplicate", "truncated", "illegal", (F.col("plan.cost") + DELETE * F.col("again")).alias("cost"), F.transform("b", lambda x: x["of"]).alias("rows"), "plan.audits")
 
 
-def audit_of(blocks: Column | str) -> Column:
+def audit_of(rows: Column | str, audits: Column | str) -> Column:
     """The initials of all edits: of each row's own and a deletion for each of its repeats."""
 
-    def one(block: Column) -> Column:
-        edits = F.split(block["audit"], ",")
-        own = F.transform(block["of"], lambda x, i: F.concat(F.get(edits, i), F.repeat(F.lit("D"), (x["n"] - 1).cast("int"))))
+    def one(block: Column, audit: Column) -> Column:
+        edits = F.split(audit, ",")
+        own = F.transform(block, lambda x, i: F.concat(F.get(edits, i), F.repeat(F.lit("D"), (x["n"] - 1).cast("int"))))
         return F.concat(F.array_join(own, ""), F.element_at(edits, -1))
 
-    return F.array_join(F.transform(blocks, one), "")
+    return F.array_join(F.zip_with(rows, audits, one), "")
 
 
 def edits_of(planned: DataFrame) -> DataFrame:
     """conv_id, last, turn, digest, edits: those of each row of a plan, and with `last` those at the conversation's end."""
-    each = planned.select("conv_id", F.explode("blocks").alias("b")).select("conv_id", "b.of", F.split("b.audit", ",").alias("edits"))
-    rows = each.select("conv_id", "edits", F.posexplode("of").alias("i", "x")).select("conv_id", F.lit(False).alias("last"), "x.turn", "x.digest", F.get("edits", F.col("i")).alias("edits"))
-    tail = planned.select("conv_id", F.lit(True).alias("last"), F.lit(None).cast("long").alias("turn"), F.lit(None).cast("binary").alias("digest"), F.element_at(F.split(F.element_at("blocks", -1)["audit"], ","), -1).alias("edits"))
+    each = planned.select("conv_id", F.explode(F.arrays_zip("rows", "audits")).alias("b")).select("conv_id", "b.rows", F.split("b.audits", ",").alias("edits"))
+    rows = each.select("conv_id", "edits", F.posexplode("rows").alias("i", "x")).select("conv_id", F.lit(False).alias("last"), "x.turn", "x.digest", F.get("edits", F.col("i")).alias("edits"))
+    tail = planned.select("conv_id", F.lit(True).alias("last"), F.lit(None).cast("long").alias("turn"), F.lit(None).cast("binary").alias("digest"), F.element_at(F.split(F.element_at("audits", -1), ","), -1).alias("edits"))
     return rows.union(tail)
 
 
@@ -293,7 +291,7 @@ def repairs(rows: DataFrame) -> DataFrame:
     """conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256 of each conversation of rows."""
     bounded_batches(rows.sparkSession)
     planned = written(plans(rows), "plans")
-    counted = planned.select("conv_id", "blank", "duplicate", "truncated", "illegal", "cost", audit_of("blocks").alias("audit"))
+    counted = planned.select("conv_id", "blank", "duplicate", "truncated", "illegal", "cost", audit_of("rows", "audits").alias("audit"))
     return null_safe(null_safe(counted, gaps(rows), ["conv_id"]), hashed(rows, planned), ["conv_id"])
 
 
