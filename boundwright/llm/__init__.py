@@ -20,6 +20,8 @@ MODULES = (
     "quality_model",
     "bpe",
     "conversation_repair",
+    "prefix_trie",
+    "ngram_join",
 )
 
 
