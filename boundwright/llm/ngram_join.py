@@ -5,15 +5,15 @@ SHARE times their union. In a set of n tokens at most n // 10 are missing from a
 one order of all tokens share a token among the first n // 10 + 1 of each.
 
 1. Equal sets are one, however many documents have them.
-2. Those first tokens in order of their hashes, which needs no count of all tokens, are the keys of a first meeting.
-   Up to PAIRED sets of a key are paired; of more, each is paired with one of them, the least in a random order of all sets.
-3. The sets of large keys that do not all lie in one component by then are indexed anew, with their tokens
-   from the rarest to the commonest of these sets. Tokens that up to RARE of them have are indexed alone. Commoner ones are
-   dealt to classes, for which combinations of k = 2 tokens are indexed, or of 3 beyond OFTEN. A class with m tokens in
-   the prefix counts m - k + 1 of them, as k - 1 may be shared without a combination to meet at, and the prefix is extended until n // 10 + 1 are counted.
-   The number of classes follows the size of a set; sets of two neighbouring ranges of sizes meet in the classes of the lower.
-   Of a key, sets outside of its largest component are paired with those of others.
-4. A candidate is dropped where the first tokens show too many that the other lacks; the rest are verified on whole sets.
+2. Tokens are taken in order of their hashes, which needs no count of all tokens, and counted where they are among the first of
+   a set. Tokens that up to RARE sets have are indexed alone. Commoner ones are dealt to classes, for which combinations of
+   k = 2 tokens are indexed, or of 3 beyond OFTEN. A class with m tokens in the prefix counts m - k + 1 of them, as
+   k - 1 may be shared without a combination to meet at, and the prefix is extended until n // 10 + 1 are counted. The number of
+   classes follows the size of a set; sets of two neighbouring ranges of sizes meet in the classes of the lower.
+3. Up to PAIRED sets of a key are paired; of more, each is paired with one of them, the least in a random order of all sets.
+4. The sets of large keys that do not all lie in one component by then are indexed anew in the same way, with their
+   tokens from the rarest to the commonest of these sets. Of a key, sets outside of its largest component are paired with those of others.
+5. A candidate is dropped where the first tokens show too many that the other lacks; the rest are verified on whole sets.
 
 So no link between different sets of different components is lost, and pairs do not grow with the square of a group of near copies.
 
@@ -40,7 +40,7 @@ from boundwright.llm.simhash import PAIRED, SEED, candidates, components, connec
 #: Words of a shingle, and hundredths of the union that linked sets share at least.
 WIDTH, SHARE = 3, 90
 #: Sets of an index that have a token: up to RARE it stands alone, up to OFTEN in pairs, beyond in threes.
-RARE, OFTEN = 16, 1024
+RARE, OFTEN = 8, 64
 
 
 def spare(n: int) -> int:
@@ -54,6 +54,17 @@ while LOWS[-1] < 1 << 40:
     LOWS.append(LOWS[-1] * 100 // SHARE + 1)
 
 
+def classes(low: int) -> dict[int, int]:
+    """Classes of tokens in pairs and in threes, for sets of `low` tokens or more. They may leave k - 1 tokens each uncounted: fewer than such a set has."""
+    return {2: max(1, (spare(low) + 1) // 3), 3: max(1, (spare(low) + 1) // 6)}
+
+
+def reach(n: int) -> int:
+    """Tokens at most in an extended prefix of a set of n tokens."""
+    deal = classes(LOWS[bisect_right(LOWS, n) - 1])
+    return spare(n) + 1 + deal[2] + 2 * deal[3]
+
+
 def token_set(text: str | None) -> np.ndarray:
     """The hashes of a text's shingles, each once and in order."""
     joined, spans = shingles(text, WIDTH)
@@ -64,9 +75,9 @@ def token_set(text: str | None) -> np.ndarray:
 
 
 def leads(texts: pd.Series) -> pd.DataFrame:
-    """n: tokens of each set; key: equal for equal sets; lead: the tokens that one of a linked set's is among."""
+    """n: tokens of each set; key: equal for equal sets; lead: the tokens of its extended prefix."""
     sets = [token_set(x) for x in texts]
-    return pd.DataFrame({"n": [len(x) for x in sets], "key": [xxhash.xxh3_128_digest(x.tobytes()) for x in sets], "lead": [x[: spare(len(x)) + 1].view("<i8") for x in sets]})
+    return pd.DataFrame({"n": [len(x) for x in sets], "key": [xxhash.xxh3_128_digest(x.tobytes()) for x in sets], "lead": [x[: reach(max(len(x), 1))].view("<i8") for x in sets]})
 
 
 def hashed(texts: pd.Series) -> pd.Series:
@@ -107,53 +118,59 @@ def verified(pairs: DataFrame, sets: DataFrame, label: str) -> DataFrame:
     return written(both.filter(fits(F.size("x"), F.size("y"), shared)).select("a", "b"), label)
 
 
-def meetings(own: DataFrame) -> DataFrame:
-    """(key, fp, n, centre) of the sets (fp, lead) whose key n > 1 of them have; centre: the first of those in an order of all sets."""
-    keys = own.select("fp", F.explode("lead").alias("key"))
-    first = F.min(F.struct(F.xxhash64("fp").alias("order"), "fp")).getField("fp").alias("centre")
-    shared = written(keys.groupBy("key").agg(F.count("*").alias("n"), first).filter("n > 1"), "shared")
-    return written(keys.join(shared, "key"), "met")
+def keys_of(tokens: list[tuple[int, int, int]], size: int) -> dict[int, int]:
+    """Index keys of a set of `size` tokens, each with how many may be shared by sets that meet there first.
 
-
-def keys_of(tokens: list[tuple[int, int]]) -> dict[int, int]:
-    """Index keys of a set of (sets that have it, token), the rarest first, each with the tokens that may be shared from there on."""
-    size, out = len(tokens), {}
-    rare = sum(many <= RARE for many, _ in tokens)
-    own = bisect_right(LOWS, size) - 1
+    tokens: (place, sets that have it, token), in order of places; what stands at other places no other set has. Of two
+    sets that meet at a rare token, those rare ones before it are not shared, and of two that meet at a combination and at
+    no rare token, those before its last token.
+    """
+    out, own = {}, bisect_right(LOWS, size) - 1
     for level in {own, max(own - 1, 0)}:
-        low = LOWS[level]
-        # In all, classes may leave (k - 1) tokens each uncounted: fewer than a set of this range can do without.
-        classes = {2: max(1, (spare(low) + 1) // 3), 3: max(1, (spare(low) + 1) // 6)}
-        held, counted = defaultdict(list), 0
-        for place, (many, token) in enumerate(tokens):
+        deal = classes(LOWS[level])
+        held, counted, rare, last = defaultdict(list), 0, 0, -1
+        for place, many, token in tokens:
+            counted, rare, last = counted + place - last - 1, rare + place - last - 1, place
             if counted > spare(size):
                 break
             if many <= RARE:
-                counted += 1
                 if many > 1:
-                    out[token] = size - place
+                    out[token] = size - rare
+                counted, rare = counted + 1, rare + 1
                 continue
-            k = 2 if many <= OFTEN or low < 10 else 3
-            members = held[k, token % classes[k]]
+            k = 2 if many <= OFTEN or LOWS[level] < 10 else 3
+            members = held[k, token % deal[k]]
             for others in combinations(members, k - 1):
-                name = np.array([level, *others, token], dtype="<i8").tobytes()
-                key = xxhash.xxh64_intdigest(name, SEED) - (1 << 63)
+                key = xxhash.xxh64_intdigest(np.array([level, *others, token], dtype="<i8").tobytes(), SEED) - (1 << 63)
                 out[key] = max(out.get(key, 0), size - rare)
             members.append(token)
             counted += len(members) >= k
     return out
 
 
-def index_keys(sets: pd.Series) -> pd.Series:
-    return pd.Series([[{"key": k, "left": n} for k, n in keys_of([(t["many"], t["token"]) for t in s]).items()] for s in sets])
+def index_keys(sets: pd.Series, sizes: pd.Series) -> pd.Series:
+    return pd.Series([[{"key": k, "left": n} for k, n in keys_of([(t["place"], t["many"], t["token"]) for t in s], size).items()] for s, size in zip(sets, sizes, strict=True)])
 
 
-def apart(met: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b), a < b: candidates for all links between sets (fp, tokens) of one large key that roots (node, root) do not join.
+def indexed(sets: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns, key and left of each set (size, tokens: place, many, token in order)."""
+    keys = F.pandas_udf(index_keys, "array<struct<key: long, left: int>>")("tokens", "size")
+    return sets.select(*columns, "size", F.explode(keys).alias("k")).select(*columns, "size", "k.*")
 
-    Rare tokens come first, so two sets that share one meet at the first of those; `left` bounds what they share from
-    there. Sets that meet at a combination share, if no rare token, only tokens after those.
-    """
+
+def meetings(own: DataFrame) -> DataFrame:
+    """(key, fp, n, centre) of the sets (fp, n, lead) whose key n > 1 of them have; centre: the first of those in an order of all sets."""
+    tokens = own.select("fp", F.col("n").alias("size"), F.posexplode("lead").alias("place", "token"))
+    counts = written(tokens.groupBy("token").agg(F.count("*").alias("many")).filter("many > 1"), "counts")
+    met = tokens.join(counts, "token").groupBy("fp", "size").agg(F.sort_array(F.collect_list(F.struct("place", "many", "token"))).alias("tokens"))
+    index = written(indexed(met, ["fp"]).select("fp", "key"), "keys")
+    first = F.min(F.struct(F.xxhash64("fp").alias("order"), "fp")).getField("fp").alias("centre")
+    shared = written(index.groupBy("key").agg(F.count("*").alias("n"), first).filter("n > 1"), "shared")
+    return written(index.join(shared, "key"), "met")
+
+
+def apart(met: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b), a < b: candidates for all links between sets (fp, tokens) of one large key that roots (node, root) do not join."""
     many = met.filter(F.col("n") > PAIRED).select("key", "fp").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     many = written(many, "many")
     unsettled = many.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("key")
@@ -161,8 +178,9 @@ def apart(met: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
     token = written(sets.join(members, "fp").select("fp", "root", F.explode("tokens").alias("token")), "tokens")
     counts = written(token.groupBy("token").agg(F.count("*").alias("many")), "counts")
     ordered = token.join(counts, "token").groupBy("fp", "root").agg(F.sort_array(F.collect_list(F.struct("many", "token"))).alias("all"))
-    keyed = ordered.select("fp", "root", F.size("all").alias("size"), F.explode(F.pandas_udf(index_keys, "array<struct<key: long, left: int>>")("all")).alias("k"))
-    index = written(keyed.select("fp", "root", "size", "k.*"), "index")
+    placed = F.transform("all", lambda t, i: F.struct(i.alias("place"), t["many"].alias("many"), t["token"].alias("token")))
+    ordered = ordered.select("fp", "root", F.size("all").alias("size"), F.filter(placed, lambda t: t["many"] > 1).alias("tokens"))
+    index = written(indexed(ordered, ["fp", "root"]), "index")
     largest = index.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).getField("root").alias("largest"), F.count("*").alias("roots"))
     largest = written(largest.filter("roots > 1").drop("roots"), "largest")
     outside = written(index.join(largest, "key").filter("root != largest").drop("largest"), "outside")

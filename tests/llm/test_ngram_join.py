@@ -81,13 +81,19 @@ def test_large_groups_of_near_copies(spark, tmp_path, seed):
     assert run(spark, tmp_path, rows) == brute(rows)
 
 
-def test_keys_meet(monkeypatch):
-    """Linked sets share a key, whatever the counts of their tokens; rare tokens first."""
+@pytest.mark.parametrize("rarest_first", [True, False])
+def test_keys_meet(monkeypatch, rarest_first):
+    """Linked sets share a key that lets them pass, whatever the order and the counts of their tokens, and within the extended prefix."""
     rng = np.random.default_rng(3)
     monkeypatch.setattr(N, "RARE", 2)
     monkeypatch.setattr(N, "OFTEN", 6)
     many = {t: int(rng.integers(2, 12)) for t in range(3000)}
-    ordered = lambda s: sorted((many[t], t) for t in s)
+
+    def keys(s, twin):
+        order = sorted(s, key=lambda t: (many[t], t) if rarest_first else t)
+        tokens = [(i, many[t], t) for i, t in enumerate(order) if t in twin or many[t] > 2]
+        return N.keys_of(tokens[: N.reach(len(s))] if len(tokens) == len(s) else tokens, len(s))
+
     linked = 0
     for _ in range(3000):
         size = int(rng.choice([2, 3, 9, 10, 11, 20, 33, 100, 400]))
@@ -98,7 +104,7 @@ def test_keys_meet(monkeypatch):
         y |= set(rng.choice(3000, int(rng.integers(0, size // 9 + 2))).tolist())
         if y and 100 * len(x & y) >= 90 * len(x | y):
             linked += x != y
-            a, b = N.keys_of(ordered(x)), N.keys_of(ordered(y))
+            a, b = keys(x, y), keys(y, x)
             need = 90 * (len(x) + len(y))
             assert x == y or any(190 * min(a[k], b[k]) >= need for k in a.keys() & b.keys())
     assert linked > 500
