@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boundwright.llm.common import bounded_batches, table, written
-from boundwright.llm.simhash import PAIRED, SEED, candidates, components, connected, shingles
+from boundwright.llm.simhash import PAIRED, SEED, components, connected, shingles
 
 #: Words of a shingle, and hundredths of the union that linked sets share at least.
 WIDTH, SHARE = 3, 90
@@ -159,16 +159,26 @@ def indexed(sets: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def meetings(own: DataFrame) -> DataFrame:
-    """(key, fp, n, centre) of the sets (fp, n, lead) whose key n > 1 of them have; centre: the first of those in an order of all sets."""
+    """(key, fp, size, left, n, centre) of the sets (fp, n, lead) whose key n > 1 of them have; centre (fp, size, left): the first of those in an order of all sets."""
     tokens = own.select("fp", F.col("n").alias("size"), F.posexplode("lead").alias("place", "token"))
     counts = written(tokens.groupBy("token").agg(F.count("*").alias("many")).filter("many > 1"), "counts")
     met = tokens.join(counts, "token").groupBy("fp", "size").agg(F.sort_array(F.collect_list(F.struct("place", "many", "token"))).alias("tokens"))
-    index = written(indexed(met, ["fp"]).select("fp", "key"), "keys")
-    first = F.min(F.struct(F.xxhash64("fp").alias("order"), "fp")).getField("fp").alias("centre")
+    index = written(indexed(met, ["fp"]), "keys")
+    first = F.min(F.struct(F.xxhash64("fp").alias("order"), "fp", "size", "left")).alias("centre")
     shared = written(index.groupBy("key").agg(F.count("*").alias("n"), first).filter("n > 1"), "shared")
     return written(index.join(shared, "key"), "met")
 
 
+def candidates(met: DataFrame) -> DataFrame:
+    """(a, b), a < b: the pairs of small keys, and each set of a large one with its centre, that may link as far as their keys tell."""
+    few = met.filter(F.col("n") <= PAIRED).select("key", "fp", "size", "left")
+    other = few.select("key", *(F.col(c).alias(f"other_{c}") for c in ("fp", "size", "left")))
+    pairs = few.join(other, "key").filter("fp < other_fp").drop("key")
+    many = met.filter((F.col("n") > PAIRED) & (F.col("fp") != F.col("centre.fp"))).select("fp", "size", "left", *(F.col(f"centre.{c}").alias(f"other_{c}") for c in ("fp", "size", "left")))
+    near = pairs.unionByName(many).filter(fits(F.col("size"), F.col("other_size"), F.least("left", "other_left")))
+    return near.select(F.least("fp", "other_fp").alias("a"), F.greatest("fp", "other_fp").alias("b")).distinct()
+
+
 def apart(met: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b), a < b: candidates for all links between sets (fp, tokens) of one large key that roots (node, root) do not join."""
     many = met.filter(F.col("n") > PAIRED).select("key", "fp").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
