@@ -119,30 +119,30 @@ def verified(pairs: DataFrame, sets: DataFrame, label: str) -> DataFrame:
 
 
 def keys_of(tokens: list[tuple[int, int, int]], size: int) -> dict[int, int]:
-    """Index keys of a set of `size` tokens, each with how many may be shared by sets that meet there first.
+    """Index keys of a set of `size` tokens, each with how many may be shared by sets that need that key to meet.
 
-    tokens: (place, sets that have it, token), in order of places; what stands at other places no other set has. Of two
-    sets that meet at a rare token, those rare ones before it are not shared, and of two that meet at a combination and at
-    no rare token, those before its last token.
+    tokens: (place, sets that have it, token), in order of places; what stands at other places no other set has. A set that
+    lacks e of this one's tokens meets it before e + 1 tokens are counted, so a key made after c were counted is needed by those
+    that share `size` - c at most.
     """
     out, own = {}, bisect_right(LOWS, size) - 1
     for level in {own, max(own - 1, 0)}:
         deal = classes(LOWS[level])
-        held, counted, rare, last = defaultdict(list), 0, 0, -1
+        held, counted, last = defaultdict(list), 0, -1
         for place, many, token in tokens:
-            counted, rare, last = counted + place - last - 1, rare + place - last - 1, place
+            counted, last = counted + place - last - 1, place
             if counted > spare(size):
                 break
             if many <= RARE:
                 if many > 1:
-                    out[token] = size - rare
-                counted, rare = counted + 1, rare + 1
+                    out[token] = max(out.get(token, 0), size - counted)
+                counted += 1
                 continue
             k = 2 if many <= OFTEN or LOWS[level] < 10 else 3
             members = held[k, token % deal[k]]
             for others in combinations(members, k - 1):
                 key = xxhash.xxh64_intdigest(np.array([level, *others, token], dtype="<i8").tobytes(), SEED) - (1 << 63)
-                out[key] = max(out.get(key, 0), size - rare)
+                out[key] = max(out.get(key, 0), size - counted)
             members.append(token)
             counted += len(members) >= k
     return out
