@@ -48,10 +48,24 @@ VIEWS = {
           WHEN 0 THEN concat('arr', event_id % 9, '[v', user_id % 40, ' & 0x0', event_id % 8, '] = tab', event_id % 5, '[', event_id % 13, 'u];')
           WHEN 1 THEN concat('if (v', user_id % 40, ' < ', user_id, 'u) arr', event_id % 9, '[v', user_id % 40, '] = 0;')
           ELSE concat('s->buf[v', user_id % 40, ' & ', event_id % 16, 'u] = Get(v', user_id % 40, ');') END AS text FROM events""",
+    "declarations": """SELECT l_orderkey * 8 + l_linenumber AS seq,
+        CASE l_partkey % 5 WHEN 0 THEN concat('arr', l_partkey, '_', l_linenumber) WHEN 1 THEN concat('obj', l_partkey, '.f', l_linenumber) WHEN 2 THEN concat('T', l_partkey, '.f', l_linenumber)
+          WHEN 3 THEN concat('f', l_linenumber, CASE WHEN l_partkey % 3 = 0 THEN '' ELSE concat('x', l_partkey) END) ELSE concat('obj', l_partkey, CASE WHEN l_linenumber = 2 THEN '.a.f6' ELSE '' END) END AS name,
+        CASE WHEN l_partkey % 5 = 4 OR l_quantity < 20 THEN CASE WHEN l_partkey % 10 = 4 AND l_quantity > 45 THEN CAST(l_quantity AS BIGINT) END WHEN l_quantity < 32 THEN 0 ELSE CAST(l_quantity AS BIGINT) END AS size,
+        l_suppkey % 5 < 3 AS noted, l_partkey % 3 = 1 AS pointer FROM lineitem""",
+    "object_types": """SELECT concat('obj', p_partkey) AS object, concat('T', p_partkey - p_partkey % 5 + CASE WHEN p_partkey % 2 = 0 THEN 2 ELSE 3 END) AS type FROM part WHERE p_partkey % 5 IN (1, 4) AND p_partkey % 7 <> 0""",
+    "type_fields": """SELECT concat('T', l_partkey) AS type, concat('f', l_linenumber) AS field, min(l_orderkey * 8 + l_linenumber) AS seq, max(CASE WHEN l_quantity > 45 THEN CAST(l_quantity AS BIGINT) END) AS size,
+        l_linenumber = 5 AS pointer FROM lineitem WHERE l_partkey % 5 = 2 AND l_linenumber % 2 = 1 GROUP BY l_partkey, l_linenumber""",
+    "object_uses": """SELECT concat('obj', l_partkey, '.u', l_linenumber, CASE WHEN l_linenumber = 3 THEN '.f8' ELSE '' END) AS name FROM lineitem WHERE l_partkey % 4 <> 2""",
+    "asked_objects": """SELECT o_orderkey AS order_id, CASE o_orderkey % 11 WHEN 0 THEN concat('arr', o_custkey, '_', o_orderkey % 7 + 1) WHEN 1 THEN concat('obj', o_custkey, '.f', o_orderkey % 9 + 1)
+        WHEN 2 THEN concat('obj', o_custkey) WHEN 3 THEN concat('obj', o_custkey, '.a.f', o_orderkey % 9 + 1) WHEN 4 THEN concat('f', o_orderkey % 9 + 1, 'x', o_custkey) WHEN 5 THEN concat('obj', o_custkey, '.u', o_orderkey % 8)
+        WHEN 6 THEN CASE WHEN o_custkey % 2 = 0 THEN '*()' ELSE '' END WHEN 7 THEN concat('none', o_custkey, '.q') WHEN 8 THEN concat('arr', o_custkey, '_', o_orderkey % 7 + 1, '.q') WHEN 9 THEN concat('s.f', o_orderkey % 9 + 1, 'x', o_custkey)
+        ELSE concat('obj', o_custkey, '.u3.f', o_orderkey % 9 + 1) END AS key FROM orders""",
 }
 BASE = {
     "functions": ("part",), "alarms": ("orders", "part"), "data_flow": ("events", "part"), "control_flow": ("lineitem",), "operands": ("orders",), "parameters": ("part",), "arguments": ("lineitem",), "call_edges": ("lineitem",), "sparse_edges": ("supplier",),
     "truth": ("labels",), "verdicts": ("documents",), "tool_events": ("conversations",), "c_lines": ("events",),
+    "declarations": ("lineitem",), "object_types": ("part",), "type_fields": ("lineitem",), "object_uses": ("lineitem",), "asked_objects": ("orders",),
 }
 
 
