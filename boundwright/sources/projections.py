@@ -53,6 +53,10 @@ VIEWS = {
           WHEN 3 THEN concat('f', l_linenumber, CASE WHEN l_partkey % 3 = 0 THEN '' ELSE concat('x', l_partkey) END) ELSE concat('obj', l_partkey, CASE WHEN l_linenumber = 2 THEN '.a.f6' ELSE '' END) END AS name,
         CASE WHEN l_partkey % 5 = 4 OR l_quantity < 20 THEN CASE WHEN l_partkey % 10 = 4 AND l_quantity > 45 THEN CAST(l_quantity AS BIGINT) END WHEN l_quantity < 32 THEN 0 ELSE CAST(l_quantity AS BIGINT) END AS size,
         l_suppkey % 5 < 3 AS noted, l_partkey % 3 = 1 AS pointer FROM lineitem""",
+    "calls": """SELECT concat('fn_', CASE WHEN l_partkey % 3 = 0 THEN l_partkey % 7 ELSE l_partkey % 1500 END) AS callee, l_orderkey * 8 + l_linenumber AS seq,
+        CASE WHEN l_orderkey % 41 <> 0 THEN (l_orderkey * 29 + l_linenumber * 401) % (SELECT count(*) * 40 FROM part) + 1 END AS line FROM lineitem""",
+    "guards": """SELECT event_id AS seq, (event_id * 13 + 5) % (SELECT count(*) * 40 FROM part) + 1 AS line, CASE event_id % 4 WHEN 0 THEN 'while' WHEN 1 THEN 'for' ELSE 'if' END AS kind,
+        CASE event_id % 4 WHEN 1 THEN concat('for (v', user_id % 12, ' = 0; i; i++)') WHEN 2 THEN concat('v', user_id % 12, '.n <= ', event_id % 5, 'u') WHEN 3 THEN concat('ready(v', user_id % 12, ')') ELSE concat(event_id % 7, ' > v', user_id % 12) END AS condition FROM events""",
     "object_types": """SELECT concat('obj', p_partkey) AS object, concat('T', p_partkey - p_partkey % 5 + CASE WHEN p_partkey % 2 = 0 THEN 2 ELSE 3 END) AS type FROM part WHERE p_partkey % 5 IN (1, 4) AND p_partkey % 7 <> 0""",
     "type_fields": """SELECT concat('T', l_partkey) AS type, concat('f', l_linenumber) AS field, min(l_orderkey * 8 + l_linenumber) AS seq, max(CASE WHEN l_quantity > 45 THEN CAST(l_quantity AS BIGINT) END) AS size,
         l_linenumber = 5 AS pointer FROM lineitem WHERE l_partkey % 5 = 2 AND l_linenumber % 2 = 1 GROUP BY l_partkey, l_linenumber""",
@@ -65,7 +69,7 @@ VIEWS = {
 BASE = {
     "functions": ("part",), "alarms": ("orders", "part"), "data_flow": ("events", "part"), "control_flow": ("lineitem",), "operands": ("orders",), "parameters": ("part",), "arguments": ("lineitem",), "call_edges": ("lineitem",), "sparse_edges": ("supplier",),
     "truth": ("labels",), "verdicts": ("documents",), "tool_events": ("conversations",), "c_lines": ("events",),
-    "declarations": ("lineitem",), "object_types": ("part",), "type_fields": ("lineitem",), "object_uses": ("lineitem",), "asked_objects": ("orders",),
+    "calls": ("lineitem", "part"), "guards": ("events", "part"), "declarations": ("lineitem",), "object_types": ("part",), "type_fields": ("lineitem",), "object_uses": ("lineitem",), "asked_objects": ("orders",),
 }
 
 
