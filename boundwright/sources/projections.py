@@ -57,6 +57,11 @@ VIEWS = {
         CASE WHEN l_orderkey % 41 <> 0 THEN (l_orderkey * 29 + l_linenumber * 401) % (SELECT count(*) * 40 FROM part) + 1 END AS line FROM lineitem""",
     "guards": """SELECT event_id AS seq, (event_id * 13 + 5) % (SELECT count(*) * 40 FROM part) + 1 AS line, CASE event_id % 4 WHEN 0 THEN 'while' WHEN 1 THEN 'for' ELSE 'if' END AS kind,
         CASE event_id % 4 WHEN 1 THEN concat('for (v', user_id % 12, ' = 0; i; i++)') WHEN 2 THEN concat('v', user_id % 12, '.n <= ', event_id % 5, 'u') WHEN 3 THEN concat('ready(v', user_id % 12, ')') ELSE concat(event_id % 7, ' > v', user_id % 12) END AS condition FROM events""",
+    "session_events": """SELECT conv_id AS order_id, turn AS seq, 1 + conv_id % 6 AS n_steps, CASE WHEN (conv_id + turn) % 3 = 0 THEN 'get_micro_window' ELSE 'move_window' END AS tool,
+        CASE (conv_id * 3 + turn) % 10 WHEN 0 THEN 'prev' WHEN 1 THEN ' Back' WHEN 2 THEN 'sideways' WHEN 3 THEN 'callee' WHEN 4 THEN '' WHEN 5 THEN 'toward_alarm' WHEN 6 THEN 'CALLER' WHEN 7 THEN 'previous' WHEN 8 THEN 'forward' END AS direction,
+        CASE WHEN (conv_id + 2 * turn) % 7 = 0 THEN turn * 3 - 4 WHEN (conv_id + turn) % 5 = 0 THEN 0 END AS step FROM conversations""",
+    "sibling_cases": """SELECT o_orderkey AS order_id, concat(o_orderpriority, '|', o_custkey % 100) AS fingerprint, o_orderkey * 7919 % 10007 AS finished,
+        CASE WHEN o_orderkey % 5 < 3 THEN 'false' WHEN o_orderstatus = 'O' THEN 'true' ELSE 'true (low)' END AS classification, CASE o_orderkey % 7 WHEN 0 THEN 'A1968' WHEN 1 THEN 'e' ELSE '' END AS tag FROM orders""",
     "object_types": """SELECT concat('obj', p_partkey) AS object, concat('T', p_partkey - p_partkey % 5 + CASE WHEN p_partkey % 2 = 0 THEN 2 ELSE 3 END) AS type FROM part WHERE p_partkey % 5 IN (1, 4) AND p_partkey % 7 <> 0""",
     "type_fields": """SELECT concat('T', l_partkey) AS type, concat('f', l_linenumber) AS field, min(l_orderkey * 8 + l_linenumber) AS seq, max(CASE WHEN l_quantity > 45 THEN CAST(l_quantity AS BIGINT) END) AS size,
         l_linenumber = 5 AS pointer FROM lineitem WHERE l_partkey % 5 = 2 AND l_linenumber % 2 = 1 GROUP BY l_partkey, l_linenumber""",
@@ -69,7 +74,7 @@ VIEWS = {
 BASE = {
     "functions": ("part",), "alarms": ("orders", "part"), "data_flow": ("events", "part"), "control_flow": ("lineitem",), "operands": ("orders",), "parameters": ("part",), "arguments": ("lineitem",), "call_edges": ("lineitem",), "sparse_edges": ("supplier",),
     "truth": ("labels",), "verdicts": ("documents",), "tool_events": ("conversations",), "c_lines": ("events",),
-    "calls": ("lineitem", "part"), "guards": ("events", "part"), "declarations": ("lineitem",), "object_types": ("part",), "type_fields": ("lineitem",), "object_uses": ("lineitem",), "asked_objects": ("orders",),
+    "session_events": ("conversations",), "sibling_cases": ("orders",), "calls": ("lineitem", "part"), "guards": ("events", "part"), "declarations": ("lineitem",), "object_types": ("part",), "type_fields": ("lineitem",), "object_uses": ("lineitem",), "asked_objects": ("orders",),
 }
 
 
