@@ -12,7 +12,8 @@ one order of all tokens share a token among the first n // 10 + 1 of each.
    classes follows the size of a set; sets of two neighbouring ranges of sizes meet in the classes of the lower.
 3. Up to PAIRED sets of a key are paired; of more, each is paired with one of them, the least in a random order of all sets.
 4. The sets of large keys that do not all lie in one component by then are indexed anew in the same way, with their
-   tokens from the rarest to the commonest of these sets. Of a key, sets outside of its largest component are paired with those of others.
+   tokens from the rarest to the commonest of these sets. Of a key, sets outside of its largest component are paired with those of others,
+   unless the parities of their tokens differ in more bits than linked sets may differ in tokens.
 5. A candidate is dropped where the first tokens show too many that the other lacks; the rest are verified on whole sets.
 
 So no link between different sets of different components is lost, and pairs do not grow with the square of a group of near copies.
@@ -48,6 +49,10 @@ def spare(n: int) -> int:
     return n - -(-SHARE * n // 100)
 
 
+#: Longs of a set's parities.
+PARITIES = 8
+
+
 #: The least sizes of ranges such that the larger of two linked sets lies in the range of the smaller or in the next.
 LOWS = [1]
 while LOWS[-1] < 1 << 40:
@@ -152,6 +157,13 @@ def index_keys(sets: pd.Series, sizes: pd.Series) -> pd.Series:
     return pd.Series([[{"key": k, "left": n} for k, n in keys_of([(t["place"], t["many"], t["token"]) for t in s], size).items()] for s, size in zip(sets, sizes, strict=True)])
 
 
+def parities(sets: pd.Series) -> pd.DataFrame:
+    """64 * PARITIES bits of each set, in longs: whether an odd number of its tokens falls there. Two sets differ in as many tokens as in bits at least."""
+    bits = [np.bincount(np.asarray(x).view("<u8") % np.uint64(64 * PARITIES), minlength=64 * PARITIES) & 1 for x in sets]
+    longs = np.array([np.packbits(b, bitorder="little").view("<i8") for b in bits]).reshape(-1, PARITIES)
+    return pd.DataFrame(longs, columns=[f"b{i}" for i in range(PARITIES)])
+
+
 def indexed(sets: DataFrame, columns: list[str]) -> DataFrame:
     """The columns, key and left of each set (size, tokens: place, many, token in order)."""
     keys = F.pandas_udf(index_keys, "array<struct<key: long, left: int>>")("tokens", "size")
@@ -185,17 +197,22 @@ def apart(met: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
     many = written(many, "many")
     unsettled = many.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("key")
     members = written(many.join(unsettled, "key", "left_semi").select("fp", "root").distinct(), "members")
+    bits = [f"b{i}" for i in range(PARITIES)]
+    odd = F.pandas_udf(parities, ", ".join(f"{b} long" for b in bits))("tokens").alias("p")
+    parity = written(sets.join(members, "fp").select("fp", odd).select("fp", "p.*"), "parities")
     token = written(sets.join(members, "fp").select("fp", "root", F.explode("tokens").alias("token")), "tokens")
     counts = written(token.groupBy("token").agg(F.count("*").alias("many")), "counts")
     ordered = token.join(counts, "token").groupBy("fp", "root").agg(F.sort_array(F.collect_list(F.struct("many", "token"))).alias("all"))
     placed = F.transform("all", lambda t, i: F.struct(i.alias("place"), t["many"].alias("many"), t["token"].alias("token")))
     ordered = ordered.select("fp", "root", F.size("all").alias("size"), F.filter(placed, lambda t: t["many"] > 1).alias("tokens"))
-    index = written(indexed(ordered, ["fp", "root"]), "index")
+    index = written(indexed(ordered, ["fp", "root"]).join(parity, "fp"), "index")
     largest = index.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).getField("root").alias("largest"), F.count("*").alias("roots"))
     largest = written(largest.filter("roots > 1").drop("roots"), "largest")
     outside = written(index.join(largest, "key").filter("root != largest").drop("largest"), "outside")
-    other = index.select("key", *(F.col(c).alias(f"other_{c}") for c in ("fp", "root", "size", "left")))
-    near = outside.join(other, "key").filter((F.col("root") != F.col("other_root")) & fits(F.col("size"), F.col("other_size"), F.least("left", "other_left")))
+    other = index.select("key", *(F.col(c).alias(f"other_{c}") for c in ("fp", "root", "size", "left", *bits)))
+    differ = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"other_{b}"))) for b in bits), F.lit(0))
+    alike = (100 + SHARE) * differ <= (100 - SHARE) * (F.col("size") + F.col("other_size"))
+    near = outside.join(other, "key").filter((F.col("root") != F.col("other_root")) & fits(F.col("size"), F.col("other_size"), F.least("left", "other_left")) & alike)
     return near.select(F.least("fp", "other_fp").alias("a"), F.greatest("fp", "other_fp").alias("b")).distinct()
 
 

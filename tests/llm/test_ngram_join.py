@@ -110,5 +110,14 @@ def test_keys_meet(monkeypatch, rarest_first):
     assert linked > 500
 
 
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(9)
+    for _ in range(200):
+        x = set(rng.integers(-(1 << 63), 1 << 63, int(rng.integers(1, 300))).tolist())
+        y = set(list(x)[: int(rng.integers(0, len(x) + 1))]) | set(rng.integers(-(1 << 63), 1 << 63, 20).tolist())
+        a, b = N.parities([np.array(sorted(s), dtype="<i8") for s in (x, y)]).to_numpy().view("<u8")
+        assert sum(int(v).bit_count() for v in a ^ b) <= len(x ^ y)
+
+
 def test_empty(spark, tmp_path):
     assert run(spark, tmp_path, []) == []
