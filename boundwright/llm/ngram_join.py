@@ -12,7 +12,7 @@ one order of all tokens share a token among the first n // 10 + 1 of each.
    classes follows the size of a set; sets of two neighbouring ranges of sizes meet in the classes of the lower.
 3. Up to PAIRED sets of a key are paired; of more, each is paired with one of them, the least in a random order of all sets.
 4. The sets of large keys that do not all lie in one component by then are indexed anew in the same way, with their
-   tokens from the rarest to the commonest of these sets. Of a key, sets outside of its largest component are paired with those of others,
+   tokens from the rarest to the commonest of these sets. One drawn for each key meets the others; then, of a key, sets outside of its largest component are paired with those of others,
    unless the parities of their tokens differ in more bits than linked sets may differ in tokens.
 5. A candidate is dropped where the first tokens show too many that the other lacks; the rest are verified on whole sets.
 
@@ -191,10 +191,25 @@ def candidates(met: DataFrame) -> DataFrame:
     return near.select(F.least("fp", "other_fp").alias("a"), F.greatest("fp", "other_fp").alias("b")).distinct()
 
 
-def apart(met: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b), a < b: candidates for all links between sets (fp, tokens) of one large key that roots (node, root) do not join."""
-    many = met.filter(F.col("n") > PAIRED).select("key", "fp").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    many = written(many, "many")
+def rooted(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows (fp) with the root of the component that the links found put each set in."""
+    return rows.join(connected(found).toDF("fp", "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def alike(bits: list[str]) -> Column:
+    """Whether a pair of index rows (size, left, parities; the second's as other_...) may link."""
+    differ = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"other_{b}"))) for b in bits), F.lit(0))
+    near = (100 + SHARE) * differ <= (100 - SHARE) * (F.col("size") + F.col("other_size"))
+    return (F.col("root") != F.col("other_root")) & fits(F.col("size"), F.col("other_size"), F.least("left", "other_left")) & near
+
+
+def apart(met: DataFrame, near: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b), and candidates for all further links, between sets (fp, tokens) of large keys that the links in near do not join.
+
+    In the new index each set of a key first meets one of them, drawn anew for each key, and what that links joins
+    components: a true pair would meet at every key that it shares.
+    """
+    many = written(rooted(met.filter(F.col("n") > PAIRED).select("key", "fp"), near), "many")
     unsettled = many.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("key")
     members = written(many.join(unsettled, "key", "left_semi").select("fp", "root").distinct(), "members")
     bits = [f"b{i}" for i in range(PARITIES)]
@@ -206,14 +221,17 @@ def apart(met: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
     placed = F.transform("all", lambda t, i: F.struct(i.alias("place"), t["many"].alias("many"), t["token"].alias("token")))
     ordered = ordered.select("fp", "root", F.size("all").alias("size"), F.filter(placed, lambda t: t["many"] > 1).alias("tokens"))
     index = written(indexed(ordered, ["fp", "root"]).join(parity, "fp"), "index")
+    own = ("fp", "root", "size", "left", *bits)
+    drawn = F.min(F.struct(F.xxhash64("fp", "key").alias("order"), *own)).alias("c")
+    centre = written(index.groupBy("key").agg(drawn, F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("key", *(F.col(f"c.{c}").alias(f"other_{c}") for c in own)), "centres")
+    pair = (F.least("fp", "other_fp").alias("a"), F.greatest("fp", "other_fp").alias("b"))
+    starred = verified(index.join(centre, "key").filter(alike(bits)).select(*pair).distinct(), sets, "links-centre")
+    index = written(rooted(index.drop("root"), near.union(starred)), "rerooted")
     largest = index.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).getField("root").alias("largest"), F.count("*").alias("roots"))
     largest = written(largest.filter("roots > 1").drop("roots"), "largest")
     outside = written(index.join(largest, "key").filter("root != largest").drop("largest"), "outside")
-    other = index.select("key", *(F.col(c).alias(f"other_{c}") for c in ("fp", "root", "size", "left", *bits)))
-    differ = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"other_{b}"))) for b in bits), F.lit(0))
-    alike = (100 + SHARE) * differ <= (100 - SHARE) * (F.col("size") + F.col("other_size"))
-    near = outside.join(other, "key").filter((F.col("root") != F.col("other_root")) & fits(F.col("size"), F.col("other_size"), F.least("left", "other_left")) & alike)
-    return near.select(F.least("fp", "other_fp").alias("a"), F.greatest("fp", "other_fp").alias("b")).distinct()
+    other = index.select("key", *(F.col(c).alias(f"other_{c}") for c in own))
+    return starred, outside.join(other, "key").filter(alike(bits)).select(*pair).distinct()
 
 
 def links(own: DataFrame, texts: DataFrame) -> DataFrame:
@@ -223,7 +241,8 @@ def links(own: DataFrame, texts: DataFrame) -> DataFrame:
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("fp")).union(met.filter(F.col("n") > PAIRED).select("fp")).distinct()
     sets = written(texts.join(nodes, "fp").select("fp", F.pandas_udf(hashed, "array<long>")("text").alias("tokens")), "sets")
     near = verified(pairs, sets, "links-near")
-    return near.union(verified(pruned(apart(met, connected(near), sets), own, "candidates"), sets, "links-apart"))
+    starred, rest = apart(met, near, sets)
+    return near.union(starred).union(verified(pruned(rest, own, "candidates"), sets, "links-apart"))
 
 
 def linked(docs: DataFrame) -> DataFrame:
