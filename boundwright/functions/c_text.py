@@ -61,6 +61,34 @@ def symbols(names: Column, called: Column) -> Column:
     return F.filter(names, lambda x: ~x.isin(*NO_SYMBOLS) & ~F.array_contains(called, x) & ~x.endswith("Type") & ~placeholder(x))
 
 
+def arguments(text: Column, opened: Column) -> Column:
+    """The arguments of the call whose parenthesis opens at a position (from 1): cut at commas in no inner bracket, string or character.
+
+    They end with the call, or with the text where it doesn't end there. One pass over the letters keeps the depth and the cuts only.
+    """
+    rest = F.substring(text, opened, F.length(text))
+    letters = F.transform(F.split(rest, ""), lambda x, i: F.struct(x.alias("x"), (i + 1).alias("i")))
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("quote"), F.lit(False).alias("escaped"), F.lit(False).alias("ended"), F.array().cast("array<int>").alias("cuts"))
+
+    def step(s: Column, letter: Column) -> Column:
+        x, plain = letter["x"], (s["quote"] == "") & ~s["ended"]
+        depth = s["depth"] + F.when(plain & x.isin("(", "[", "{"), 1).when(plain & x.isin(")", "]", "}"), -1).otherwise(0)
+        ended = s["ended"] | (depth == 0)
+        cut = plain & ((letter["i"] == 1) | ended | ((x == ",") & (s["depth"] == 1)))
+        quote = F.when(s["escaped"], s["quote"]).when((s["quote"] == "") & x.isin('"', "'"), x).when(x == s["quote"], "").otherwise(s["quote"])
+        cuts = F.when(cut, F.array_append(s["cuts"], letter["i"])).otherwise(s["cuts"])
+        return F.struct(depth.alias("depth"), quote.alias("quote"), ((s["quote"] != "") & ~s["escaped"] & (x == "\\")).alias("escaped"), ended.alias("ended"), cuts.alias("cuts"))
+
+    cuts = F.aggregate(letters, start, step, lambda s: F.when(s["ended"], s["cuts"]).otherwise(F.array_append(s["cuts"], F.length(rest) + 1)))
+    parts = F.transform(F.slice(F.arrays_zip(cuts.alias("a"), F.slice(cuts, 2, F.size(cuts)).alias("b")), 1, F.greatest(F.size(cuts) - 1, F.lit(0))), lambda c: F.trim(F.substring(rest, c["a"] + 1, c["b"] - c["a"] - 1)))
+    return F.when((F.size(parts) == 1) & (F.get(parts, 0) == ""), F.array().cast("array<string>")).otherwise(parts)
+
+
+def last_member(text: Column) -> Column:
+    """The last name of a member access, blanks left out: `f` of `a -> b . f`."""
+    return F.substring_index(F.replace(F.regexp_replace(text, r"\s", ""), F.lit("->"), F.lit(".")), ".", -1)
+
+
 def made_location(tag: Column, line: Column, column: Column) -> Column:
     """`tag:line.1-column`, the column at least 1; empty without a line."""
     return F.when(line.isNull(), "").otherwise(F.concat(tag, F.lit(":"), line.cast("string"), F.lit(".1-"), F.greatest(F.lit(1), F.coalesce(column, F.lit(1))).cast("string")))

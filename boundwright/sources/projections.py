@@ -62,6 +62,16 @@ VIEWS = {
         CASE WHEN (conv_id + 2 * turn) % 7 = 0 THEN turn * 3 - 4 WHEN (conv_id + turn) % 5 = 0 THEN 0 END AS step FROM conversations""",
     "sibling_cases": """SELECT o_orderkey AS order_id, concat(o_orderpriority, '|', o_custkey % 100) AS fingerprint, o_orderkey * 7919 % 10007 AS finished,
         CASE WHEN o_orderkey % 5 < 3 THEN 'false' WHEN o_orderstatus = 'O' THEN 'true' ELSE 'true (low)' END AS classification, CASE o_orderkey % 7 WHEN 0 THEN 'A1968' WHEN 1 THEN 'e' ELSE '' END AS tag FROM orders""",
+    "member_flow": """SELECT event_id AS seq, concat(CASE event_id % 8 WHEN 4 THEN 'f' WHEN 5 THEN concat('"v', user_id % 40, '"') ELSE concat('v', user_id % 40, CASE event_id % 8 WHEN 0 THEN '.f' ELSE '' END) END,
+        CASE event_id % 3 WHEN 0 THEN concat('@fn_', user_id) ELSE '' END) AS variable, concat('fn_', CASE WHEN event_id % 9 = 0 THEN 9999 ELSE user_id END) AS function,
+        CASE WHEN event_type = 'click' THEN 'read' ELSE 'Write' END AS access, (event_id * 13 + 5) % (SELECT count(*) FROM events) + 1 AS line FROM events""",
+    "source_text": """SELECT (event_id * 13 + 5) % (SELECT count(*) FROM events) + 1 AS line, CASE event_id % 7 WHEN 0 THEN concat('  v', user_id % 40, '.f = ', event_id, ';') WHEN 1 THEN concat('s->v', user_id % 40, ' = f;')
+        WHEN 2 THEN '  break;' WHEN 3 THEN concat('v', user_id % 40, '++;') WHEN 4 THEN concat('v', user_id % 40, '->f--;') WHEN 5 THEN concat('if (v', user_id % 40, '.ff < 3)') ELSE concat(' g(v', user_id % 40, '); /* f */ ') END AS text FROM events""",
+    "assignments": """SELECT event_id AS seq, (event_id * 13 + 5) % (SELECT count(*) FROM events) + 1 AS line, CAST(floor((event_id * 13 + 5) % (SELECT count(*) FROM events) / 40) AS BIGINT) % 1500 % 40 AS k, event_id % 5 AS kind FROM events""",
+    "source_calls": """SELECT l_orderkey * 8 + l_linenumber AS seq, (l_orderkey * 29 + l_linenumber * 401) % (SELECT count(*) * 40 FROM part) + 1 AS line,
+        CASE l_linenumber % 5 WHEN 0 THEN concat('table[', l_partkey % 5, ']') WHEN 1 THEN concat('s->fn_', l_partkey % 7) WHEN 2 THEN concat('fn_', l_partkey % 7, '_wrap') ELSE concat('fn_', l_partkey % 7) END AS target,
+        CASE l_suppkey % 4 WHEN 0 THEN concat('Get(v', l_suppkey % 9, ', 2)') WHEN 1 THEN concat('m[v', l_suppkey % 9, ']') WHEN 2 THEN concat('&v', CAST(floor((l_orderkey * 29 + l_linenumber * 401) % (SELECT count(*) * 40 FROM part) / 40) AS BIGINT) % 1500 % 40) END AS first,
+        CASE WHEN l_suppkey % 4 <> 3 AND l_quantity > 20 THEN concat('v', l_partkey % 11, ' & 7u') END AS second FROM lineitem""",
     "object_types": """SELECT concat('obj', p_partkey) AS object, concat('T', p_partkey - p_partkey % 5 + CASE WHEN p_partkey % 2 = 0 THEN 2 ELSE 3 END) AS type FROM part WHERE p_partkey % 5 IN (1, 4) AND p_partkey % 7 <> 0""",
     "type_fields": """SELECT concat('T', l_partkey) AS type, concat('f', l_linenumber) AS field, min(l_orderkey * 8 + l_linenumber) AS seq, max(CASE WHEN l_quantity > 45 THEN CAST(l_quantity AS BIGINT) END) AS size,
         l_linenumber = 5 AS pointer FROM lineitem WHERE l_partkey % 5 = 2 AND l_linenumber % 2 = 1 GROUP BY l_partkey, l_linenumber""",
@@ -73,6 +83,7 @@ VIEWS = {
 }
 BASE = {
     "functions": ("part",), "alarms": ("orders", "part"), "data_flow": ("events", "part"), "control_flow": ("lineitem",), "operands": ("orders",), "parameters": ("part",), "arguments": ("lineitem",), "call_edges": ("lineitem",), "sparse_edges": ("supplier",),
+    "member_flow": ("events",), "source_text": ("events",), "assignments": ("events",), "source_calls": ("lineitem", "part"),
     "truth": ("labels",), "verdicts": ("documents",), "tool_events": ("conversations",), "c_lines": ("events",),
     "session_events": ("conversations",), "sibling_cases": ("orders",), "calls": ("lineitem", "part"), "guards": ("events", "part"), "declarations": ("lineitem",), "object_types": ("part",), "type_fields": ("lineitem",), "object_uses": ("lineitem",), "asked_objects": ("orders",),
 }

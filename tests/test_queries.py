@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from boundwright.jobs import batches, catalogue, declared, exported, expressions, guarded, investigated, paths  # noqa: F401
+from boundwright.jobs import batches, catalogue, declared, exported, expressions, guarded, investigated, paths, probed  # noqa: F401
 
 
 def plain(row):
