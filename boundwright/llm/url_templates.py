@@ -5,7 +5,7 @@ A path's segments are first reduced to their shape (runs of digits to `{n}`, lon
 
 * Generalise, from the root down: a segment stays as it is if it has at least LITERAL of its parent's
   pages, or PRIOR labelled pages that are good more or less often than those of its siblings (as below); else it becomes `*`.
-  What follows the LEVELS-th segment of a deeper path is one more segment, whole.
+  Where only one shape of a host goes on below a segment, the rest of its path stays as it is, so rounds end where paths part for the last time.
 * Merge, from the leaves up: a branch whose labelled pages are good about as often as those of its
   siblings taken together (a z-score within SIMILAR, or too few labels to tell) becomes `*` too.
 * Judge: a template's purity is its share of good labelled pages, smoothed by PRIOR pages of the share of
@@ -18,18 +18,20 @@ their segments.
 Defined results: a null url, or one without `://`, has an empty host and path and the template of such
 pages; a null page_id has no label; labels other than 0 and 1 do not count; several labels of a page count once, as the least;
 repeated pages each get a row and count each; of rules of equal length that fit, which can be only one host and path given twice, the
-later counts; paths of any depth and length keep all their segments; an empty table gives an empty one; columns other
+later counts; paths of any depth and length keep all their segments, and branches that part at any depth are told apart; an empty table gives an empty one; columns other
 than page_id and url are not read.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boundwright.llm.common import table, written
 
-LEVELS, LITERAL, SIMILAR, PRIOR, LEAST = 6, 0.02, 2.0, 10.0, 0.5
+LITERAL, SIMILAR, PRIOR, LEAST = 0.02, 2.0, 10.0, 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (host, path, verdict) of the registered query.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -54,15 +56,9 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def shape(path: Column) -> Column:
-    """The segments of a path, with digits and long hexadecimal runs replaced; those after the LEVELS-th joined to one."""
+    """The segments of a path, with digits and long hexadecimal runs replaced."""
     plain = F.regexp_replace(F.regexp_replace(path, "(?i)[0-9a-f]{16,}", "{h}"), "[0-9]+", "{n}")
-    some = F.filter(F.split(plain, "/"), lambda x: x != "")
-    return F.when(F.size(some) > LEVELS, F.concat(F.slice(some, 1, LEVELS), F.array(F.array_join(F.slice(some, F.lit(LEVELS + 1), F.size(some)), "/")))).otherwise(some)
-
-
-def depth(shapes: DataFrame, name: str) -> int:
-    """The longest array of a column, at most LEVELS + 1."""
-    return shapes.agg(F.max(F.size(name))).first()[0] or 0
+    return F.filter(F.split(plain, "/"), lambda x: x != "")
 
 
 def told_apart() -> Column:
@@ -74,28 +70,38 @@ def told_apart() -> Column:
     return F.coalesce(z > SIMILAR, F.lit(False)) & (share > 0) & (share < 1)
 
 
-def generalised(shapes: DataFrame) -> DataFrame:
-    """shapes (host, shape, n, labelled, good) with `template`, an array as long as shape."""
-    out = shapes.withColumn("template", F.expr("CAST(array() AS array<string>)"))
-    for level in range(1, depth(shapes, "shape") + 1):
+def generalised(shapes: DataFrame) -> tuple[DataFrame, int]:
+    """shapes (host, shape, n, labelled, good) with `template`, an array as long as shape; and the last level at which paths part.
+
+    A round is a level. Paths that end, and those that go on alone from their node (they would stay as they are), leave the rounds.
+    """
+    names = ["host", "shape", "n", "labelled", "good", "template"]
+    left, done, level = shapes.withColumn("template", F.expr("CAST(array() AS array<string>)")), [], 0
+    while True:
+        level += 1
         own = F.try_element_at("shape", F.lit(level))
-        children = out.filter(own.isNotNull()).groupBy("host", "template", own.alias("segment")).agg(F.sum("n").alias("m"), F.sum("labelled").alias("k"), F.sum("good").alias("g"))
-        parents = children.groupBy("host", "template").agg(F.sum("m").alias("all"), F.sum("k").alias("all_k"), F.sum("g").alias("all_g"))
+        children = left.filter(own.isNotNull()).groupBy("host", "template", own.alias("segment")).agg(F.sum("n").alias("m"), F.sum("labelled").alias("k"), F.sum("good").alias("g"), F.count("*").alias("shapes"))
+        parents = children.groupBy("host", "template").agg(F.sum("m").alias("all"), F.sum("k").alias("all_k"), F.sum("g").alias("all_g"), F.sum("shapes").alias("all_shapes"))
         evident = (F.col("k") >= PRIOR) & told_apart()
-        kept = children.join(parents, ["host", "template"]).filter((F.col("m") >= LITERAL * F.col("all")) | evident).select("host", "template", "segment", F.lit(True).alias("kept"))
-        out = out.withColumn("segment", own).join(kept, ["host", "template", "segment"], "left")
-        name = F.when(F.col("kept"), F.col("segment")).otherwise(F.lit("*"))
-        out = out.withColumn("template", F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat("template", F.array(name)))).drop("segment", "kept")
-        out = written(out, f"level-{level}")
-    return out
-
-
-def merged(shapes: DataFrame) -> DataFrame:
-    """shapes with templates, each segment of which became `*` where the labels of its branch are like its siblings'."""
+        kept = children.join(parents, ["host", "template"])
+        kept = kept.select("host", "template", "segment", F.coalesce((F.col("m") >= LITERAL * F.col("all")) | evident, F.lit(False)).alias("kept"), (F.col("all_shapes") == 1).alias("alone"))
+        met = left.withColumn("segment", own).join(kept, ["host", "template", "segment"], "left")
+        added = F.when(F.col("alone"), F.slice("shape", F.lit(level), F.size("shape"))).otherwise(F.array(F.when(F.col("kept"), F.col("segment")).otherwise("*")))
+        template = F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat("template", added))
+        is_open = F.col("segment").isNotNull() & ~F.coalesce("alone", F.lit(True))
+        met = written(met.select(*names[:-1], template.alias("template"), is_open.alias("open")), f"level-{level}")
+        done.append(met.filter("NOT open").select(names))
+        left = met.filter("open").select(names)
+        if left.isEmpty():
+            return reduce(DataFrame.union, done), level
+
+
+def merged(shapes: DataFrame, levels: int) -> DataFrame:
+    """shapes with templates, each segment of which became `*` where the labels of its branch are like its siblings'. Below the last level no branch has siblings."""
     out = shapes
-    for level in range(depth(shapes, "template"), 0, -1):
+    for level in range(levels, 0, -1):
         own = F.try_element_at("template", F.lit(level))
-        rest = F.slice("template", level + 1, LEVELS + 1)
+        rest = F.slice("template", F.lit(level + 1), F.size("template"))
         branch = out.filter(own.isNotNull()).groupBy("host", F.slice("template", 1, level - 1).alias("parent"), own.alias("segment"), rest.alias("rest")).agg(F.sum("labelled").alias("k"), F.sum("good").alias("g"))
         siblings = branch.groupBy("host", "parent", "rest").agg(F.sum("k").alias("all_k"), F.sum("g").alias("all_g"), F.count("*").alias("branches"))
         apart = branch.join(siblings, ["host", "parent", "rest"]).filter(told_apart() | (F.col("branches") == 1)).select("host", "parent", "segment", "rest", F.lit(True).alias("apart"))
@@ -112,7 +118,7 @@ def templates(pages: DataFrame) -> DataFrame:
     shapes = written(pages.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count(good).alias("labelled"), F.coalesce(F.sum(good), F.lit(0)).alias("good")), "shapes")
     whole = shapes.agg(F.sum("labelled").alias("k"), F.sum("good").alias("g")).first()
     prior = (whole.g + 1) / (whole.k + 2) if whole.k is not None else 0.5
-    tree = merged(generalised(shapes))
+    tree = merged(*generalised(shapes))
     sums = tree.groupBy("host", "template").agg(F.sum("labelled").alias("k"), F.sum("good").alias("g"))
     judged = sums.withColumn("purity", (F.col("g") + F.lit(PRIOR * prior)) / (F.col("k") + F.lit(PRIOR))).withColumn("rejected", F.col("purity") < LEAST)
     return tree.select("host", "shape", "template").join(judged.drop("k", "g"), ["host", "template"]).select("host", "shape", "template", "purity", "rejected")
@@ -145,7 +151,7 @@ QUERIES = {"op9_path_templates": op9_path_templates}
 
 
 def oracle() -> str:
-    """The same in DuckDB's SQL, level by level."""
+    """The same in DuckDB's SQL: one recursion down the paths, one up."""
     rules = sorted(RULES, key=lambda r: -len(r[0] + r[1]))
     fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
     case = lambda what: "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{what(h, p, v)}'" for h, p, v in rules) + " END"
@@ -155,37 +161,28 @@ def oracle() -> str:
         "_n AS (SELECT *, TRY_CAST(regexp_extract(path, '([0-9]{1,18})[^0-9]*$', 1) AS BIGINT) AS doc_id FROM _h)",
         "_y AS (SELECT page_id, min(CASE WHEN quality = 1 AND coalesce(toxic, 0) = 0 THEN 1 ELSE 0 END) AS label FROM _n JOIN labels ON labels.doc_id = _n.doc_id GROUP BY page_id)",
         "_s AS (SELECT page_id, host, path, list_filter(string_split(regexp_replace(regexp_replace(path, '[0-9a-fA-F]{16,}', '{h}', 'g'), '[0-9]+', '{n}', 'g'), '/'), lambda x: x <> '') AS segs FROM _n)",
-        f"_p AS (SELECT _s.page_id, host, path, label, CASE WHEN len(segs) > {LEVELS} THEN list_append(segs[1:{LEVELS}], array_to_string(segs[{LEVELS + 1}:], '/')) ELSE segs END AS shape FROM _s LEFT JOIN _y ON _y.page_id = _s.page_id)",
+        "_p AS (SELECT _s.page_id, host, path, label, segs AS shape FROM _s LEFT JOIN _y ON _y.page_id = _s.page_id)",
         "_g0 AS (SELECT host, shape, count(*) AS n, count(label) AS labelled, coalesce(sum(label), 0) AS good, CAST([] AS VARCHAR[]) AS template FROM _p GROUP BY host, shape)",
-        "_prior AS (SELECT (sum(good) + 1) / (sum(labelled) + 2) AS prior FROM _g0)",
+        "_prior AS (SELECT (sum(good) + 1) / (sum(labelled) + 2) AS prior, max(len(shape)) AS deepest FROM _g0)",
     ]
     differs = f"CASE WHEN ag > 0 AND ag < ak AND k > 0 AND k < ak THEN abs(g / k - (ag - g) / (ak - k)) / sqrt(ag / ak * (1 - ag / ak) * (1.0 / k + 1.0 / (ak - k))) > {SIMILAR} ELSE false END"
-    for k in range(1, LEVELS + 2):
-        parts += [
-            f"_c{k} AS (SELECT host, template, shape[{k}] AS segment, sum(n) AS m, sum(labelled) AS k, sum(good) AS g FROM _g{k - 1} WHERE len(shape) >= {k} GROUP BY ALL)",
-            f"_o{k} AS (SELECT *, sum(m) OVER w AS of_all, sum(k) OVER w AS ak, sum(g) OVER w AS ag FROM _c{k} WINDOW w AS (PARTITION BY host, template))",
-            f"_k{k} AS (SELECT *, m >= {LITERAL} * of_all OR (k >= {PRIOR} AND {differs}) AS kept FROM _o{k})",
-            f"_g{k} AS (SELECT g.host, g.shape, n, labelled, good, CASE WHEN len(g.shape) < {k} THEN g.template ELSE list_append(g.template, CASE WHEN k.kept THEN k.segment ELSE '*' END) END AS template"
-            f" FROM _g{k - 1} g LEFT JOIN _k{k} k ON k.host = g.host AND k.template = g.template AND k.segment = g.shape[{k}])",
-        ]
-    last = f"_g{LEVELS + 1}"
-    for k in range(LEVELS + 1, 0, -1):
-        cut = f"template[1:{k - 1}] AS parent, template[{k}] AS segment, template[{k + 1}:] AS rest"
-        parts += [
-            f"_b{k} AS (SELECT host, {cut}, sum(labelled) AS k, sum(good) AS g FROM {last} WHERE len(template) >= {k} GROUP BY ALL)",
-            f"_w{k} AS (SELECT *, sum(k) OVER w AS ak, sum(g) OVER w AS ag, count(*) OVER w AS branches FROM _b{k} WINDOW w AS (PARTITION BY host, parent, rest))",
-            f"_a{k} AS (SELECT host, parent, segment, rest FROM _w{k} WHERE branches = 1 OR {differs})",
-            f"_x{k} AS (SELECT *, {cut} FROM {last})",
-            f"_m{k} AS (SELECT x.host, x.shape, n, labelled, good, CASE WHEN len(x.template) < {k} THEN x.template ELSE list_concat(list_append(x.parent, CASE WHEN a.host IS NULL THEN '*' ELSE x.segment END), x.rest) END AS template"
-            f" FROM _x{k} x LEFT JOIN _a{k} a ON a.host = x.host AND a.parent = x.parent AND a.segment = x.segment AND a.rest = x.rest)",
-        ]
-        last = f"_m{k}"
+    sums = "sum(labelled) OVER c AS k, sum(good) OVER c AS g, sum(labelled) OVER w AS ak, sum(good) OVER w AS ag"
+    windows = "WINDOW c AS (PARTITION BY host, {0}, segment), w AS (PARTITION BY host, {0}, segment IS NULL)"
+    parts += [
+        "_g AS (SELECT 0 AS level, host, shape, n, labelled, good, template FROM _g0 UNION ALL"
+        f" SELECT level + 1, host, shape, n, labelled, good, CASE WHEN segment IS NULL THEN template ELSE list_append(template, CASE WHEN m >= {LITERAL} * of_all OR (k >= {PRIOR} AND {differs}) THEN segment ELSE '*' END) END"
+        f" FROM (SELECT *, sum(n) OVER c AS m, sum(n) OVER w AS of_all, {sums} FROM (SELECT _g.*, shape[level + 1] AS segment FROM _g, _prior WHERE level < deepest) {windows.format('template')}))",
+        "_m AS (SELECT level, host, shape, n, labelled, good, template FROM _g, _prior WHERE level = deepest UNION ALL"
+        f" SELECT level - 1, host, shape, n, labelled, good, CASE WHEN segment IS NULL THEN template ELSE list_concat(list_append(parent, CASE WHEN lone OR {differs} THEN segment ELSE '*' END), rest) END"
+        f" FROM (SELECT *, min(segment) OVER w = max(segment) OVER w AS lone, {sums} FROM (SELECT *, template[1:level - 1] AS parent, template[level] AS segment, template[level + 1:] AS rest FROM _m WHERE level > 0) {windows.format('parent, rest')}))",
+        "_l AS (SELECT * FROM _m WHERE level = 0)",
+    ]
     parts += [
-        f"_t AS (SELECT host, template, (sum(good) + {PRIOR} * any_value(prior)) / (sum(labelled) + {PRIOR}) AS purity FROM {last}, _prior GROUP BY host, template)",
-        f"_j AS (SELECT m.host, m.shape, m.template, purity FROM {last} m JOIN _t ON _t.host = m.host AND _t.template = m.template)",
+        f"_t AS (SELECT host, template, (sum(good) + {PRIOR} * any_value(prior)) / (sum(labelled) + {PRIOR}) AS purity FROM _l, _prior GROUP BY host, template)",
+        "_j AS (SELECT m.host, m.shape, m.template, purity FROM _l m JOIN _t ON _t.host = m.host AND _t.template = m.template)",
     ]
     return (
-        f"WITH {', '.join(parts)} SELECT page_id, _p.host, path, {case(lambda h, p, v: h + p).replace('host', '_p.host')} AS rule,"
+        f"WITH RECURSIVE {', '.join(parts)} SELECT page_id, _p.host, path, {case(lambda h, p, v: h + p).replace('host', '_p.host')} AS rule,"
         f" coalesce({case(lambda h, p, v: v).replace('host', '_p.host')}, CASE WHEN purity < {LEAST} THEN 'block' ELSE 'allow' END) AS verdict,"
         " concat('/', array_to_string(template, '/')) AS template, round(purity, 9) AS purity FROM _p JOIN _j ON _j.host = _p.host AND _j.shape = _p.shape"
     )

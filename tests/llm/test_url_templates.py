@@ -109,3 +109,21 @@ def test_long_urls_and_repeats(spark):
     pages = [(1, "x://l.net/" + "a/" * 3_000), (1, "x://l.net/" + "a/" * 3_000), (2, "x://l.net/" + "b" * 200_000), (None, "x://l.net/")]
     got = u.judged(spark.createDataFrame([(i, x, "z") for i, x in pages], "page_id long, url string, host string"), spark.createDataFrame([(1, 1)], "page_id long, label int")).collect()
     assert sorted(len(r.path) for r in got) == [1, 6001, 6001, 200_001] and all(r.host == "l.net" for r in got)
+
+
+def test_variable_segments_below_the_sixth_level(spark):
+    """The same paths below prefixes of any depth: bad pages are blocked, good ones stay."""
+    word = lambda i: "".join("abcdefghij"[int(c)] for c in str(i))
+    for before in (3, 6, 9):
+        rows, labels = [], []
+        for i in range(1200):
+            good = i % 3 > 0
+            rows.append((i, f"x://deep.net{'/p' * before}/{word(i)}/{'good' if good else 'bad'}"))
+            if i % 2:
+                labels.append((i, int(good)))
+        rows.append((5000, "x://deep.net" + "/q" * 60))
+        got = u.judged(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, label int"), rules=()).collect()
+        assert len(got) == 1201
+        assert all((r.verdict == "allow") == (r.page_id % 3 > 0) for r in got if r.page_id < 1200)
+        # Its first segment is rare at the root; below it the path goes on alone.
+        assert {r.template for r in got if r.page_id == 5000} == {"/*" + "/q" * 59}
