@@ -12,6 +12,7 @@ from boundwright.operators import joins as J
 from boundwright.operators import sessions as S
 from boundwright.sources.exports import scrubbed
 from boundwright.sources.projections import view, with_views
+from boundwright.sources.shared import written
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -59,7 +60,8 @@ def placed_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def alarm_enclosing_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The function around each alarm, or the lines around it, within the file's, where there is none."""
-    met = J.enclosing(placed_alarms(spark, sf_dir), view(spark, sf_dir, "functions"))
+    # Parsed once: the join would repeat the parsing of locations for each use of a line.
+    met = J.enclosing(written(placed_alarms(spark, sf_dir), "placed"), view(spark, sf_dir, "functions"))
     around = F.when(F.col("line").isNotNull(), F.greatest(F.lit(1).cast("bigint"), F.col("line") - 20))
     length = view(spark, sf_dir, "part").count() * 40
     last = F.when(F.col("line").isNotNull(), F.least(F.lit(length), F.col("line") + 20))

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from boundwright.functions import c_text as C
 from boundwright.functions import text as T
-from boundwright.jobs.catalogue import LOCATED, query
+from boundwright.jobs.catalogue import LOCATED, placed_alarms, query
 from boundwright.operators import joins as J
 from boundwright.sources.projections import view
+from boundwright.sources.shared import written
 
 SKIPPED = ", ".join(f"'{x}'" for x in C.NO_SYMBOLS)
 ORDERED = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
@@ -127,7 +128,7 @@ def report_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def alarm_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each alarm with its enclosing function and the names of the data flow at its line."""
-    placed = view(spark, sf_dir, "alarms").select("order_id", T.location(F.col("location"))["line"].alias("line"))
+    placed = written(placed_alarms(spark, sf_dir), "placed")
     names = view(spark, sf_dir, "data_flow").groupBy(F.col("line").alias("at")).agg(F.array_join(F.array_sort(F.collect_set(T.bare_name(F.col("variable")))), ",").alias("names"))
     met = J.enclosing(placed, view(spark, sf_dir, "functions"))
     return met.join(names, met["line"] == names["at"], "left").select("order_id", "line", F.col("name").alias("function_name"), F.coalesce("names", F.lit("")).alias("names"))
