@@ -15,11 +15,10 @@ A document is covered by windows of STRIDE positions that each see CONTEXT posit
 windows overlap and each id is scored once; windows are scored many at a time. Base scores, counts and log
 shares come from all training documents.
 
-The weights are learned from the windows of all training documents whose hash (of doc_id, text and place) falls
-into one LEARN_OF-th of all values, a share that is the same at every size of corpus: learning from all takes about
-LEARN_OF times as long (see the README). The hash also deals them to ROUNDS rounds of Adam and, in each, to learners of about
-LEARNER_WINDOWS windows, which take them in the order of the hash; the changes of all learners are averaged
-by their windows. So the layout of the input decides nothing.
+The weights are learned from every window of all training documents, once each. Windows move in blocks of up to BLOCK
+neighbours, whose ids overlap and are sent once. A hash (of doc_id, text and place) deals the blocks to ROUNDS rounds
+of Adam and, in each, to learners of about LEARNER_WINDOWS windows, which take them in the order of the hash; the
+changes of all learners are averaged by their windows. So the layout of the input decides nothing.
 
 Word counts are a shuffle that grows with the corpus. The commonest words, at most FREQUENT, are broadcast and scored
 where the documents lie: those above a count that a histogram of counts gives. The other words of each document
@@ -54,13 +53,13 @@ from boundwright.llm.common import bounded_batches, table, written
 HEAD, CLASS, TAIL, SHARED, DEPTH = 1024, 32, 256, 128, 24
 CONTEXT, STRIDE = 8, 24
 ROUNDS, BATCH, RATE, SEED = 6, 48, 0.05, 5
-#: The share of the training windows that weights are learned from, one in so many, and the windows of a learner in a round.
-LEARN_OF, LEARNER_WINDOWS = 6, 1 << 16
+#: Windows of a learner in a round, and of a block.
+LEARNER_WINDOWS, BLOCK = 1 << 16, 8
 FREQUENT = 1 << 16
 #: Parts of a doubling in the histogram of word counts.
 STEPS = 8
-#: Windows scored at a time, windows put in order at a time, entries of a dictionary of words, and models averaged in one task.
-SLICE, ORDERED, KEPT_WORDS, FAN = 512, 4_096, 300_000, 32
+#: Windows scored at a time, blocks put in order at a time, entries of a dictionary of words, and models averaged in one task.
+SLICE, ORDERED, KEPT_WORDS, FAN = 512, 512, 300_000, 32
 #: Documents that a worker holds at once, and words whose ids it remembers.
 ROWS_HELD, REMEMBERED = 400, 300_000
 PAD = -1
@@ -133,13 +132,18 @@ def split(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def windows(ids: np.ndarray, end: int) -> np.ndarray:
-    """The windows of a document: rows of SPAN + 1 ids. The last STRIDE are to be predicted, each from those before it."""
+def laid(ids: np.ndarray, end: int) -> np.ndarray:
+    """A document's ids after padding and the end id, padded to whole windows."""
     n = -(-len(ids) // STRIDE)
     line = np.full(CONTEXT + 1 + n * STRIDE, PAD, dtype=np.int32)
     line[CONTEXT] = end
     line[CONTEXT + 1 : CONTEXT + 1 + len(ids)] = ids
-    return np.lib.stride_tricks.sliding_window_view(line, SPAN + 1)[::STRIDE]
+    return line
+
+
+def windows(ids: np.ndarray, end: int) -> np.ndarray:
+    """The windows of a document: rows of SPAN + 1 ids. The last STRIDE are to be predicted, each from those before it."""
+    return np.lib.stride_tricks.sliding_window_view(laid(ids, end), SPAN + 1)[::STRIDE]
 
 
 @dataclass
@@ -477,62 +481,72 @@ def unpacked(some: list[bytes], kind: np.dtype) -> np.ndarray:
 
 
 def numbers(of: int, n: int) -> np.ndarray:
-    """A hash for each of n windows of a document with the hash `of`."""
+    """A hash for each of n blocks of a document with the hash `of`."""
     x = np.uint64(of & (1 << 64) - 1) + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for bits, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         x = (x ^ (x >> np.uint64(bits))) * np.uint64(factor)
     return x ^ (x >> np.uint64(31))
 
 
-def sampled_windows(docs: DataFrame, end: int, every: int = 1) -> DataFrame:
-    """(number, line): one in `every` of all windows of documents (number, ids), each with a hash of its own."""
+def blocks(docs: DataFrame, end: int, k: int) -> DataFrame:
+    """(number, block): the ids of all blocks of windows of documents (number, ids) that are dealt to round k, each with a hash of its own."""
     kind = packing(end)
 
     def cut(batches):
         for pdf in batches:
             found, lines = [], []
             for of, ids in zip(pdf["number"], pdf["ids"], strict=True):
-                own = windows(unpacked([ids], kind), end)
-                number = numbers(int(of), len(own))
-                some = np.flatnonzero(number % np.uint64(every) == 0)
-                found.append(number[some] // np.uint64(every))
-                lines.append(own[some].astype(kind))
-            flat, size = np.concatenate(lines).tobytes() if lines else b"", (SPAN + 1) * kind.itemsize
-            number = np.concatenate([np.empty(0, dtype=np.uint64), *found])
-            yield pd.DataFrame({"number": (number >> np.uint64(1)).astype(np.int64), "line": [flat[i : i + size] for i in range(0, len(flat), size)]})
+                n = -(-len(ids) // (STRIDE * kind.itemsize))
+                number = numbers(int(of), -(-n // BLOCK)) >> np.uint64(1)
+                some = np.flatnonzero(number % np.uint64(ROUNDS) == k)
+                if not len(some):
+                    continue
+                line = laid(unpacked([ids], kind), end).astype(kind)
+                found.append(number[some])
+                lines += [line[i * BLOCK * STRIDE : (i + 1) * BLOCK * STRIDE + CONTEXT + 1].tobytes() for i in some.tolist()]
+            yield pd.DataFrame({"number": np.concatenate([np.empty(0, dtype=np.uint64), *found]).astype(np.int64), "block": lines})
+
+    return docs.select("number", "ids").mapInPandas(cut, "number long, block binary")
+
 
-    return docs.select("number", "ids").mapInPandas(cut, "number long, line binary")
+def opened(some: list[bytes], kind: np.dtype) -> np.ndarray:
+    """The windows of blocks."""
+    sizes = np.fromiter(map(len, some), dtype=np.int64, count=len(some)) // kind.itemsize
+    many = (sizes - CONTEXT - 1) // STRIDE
+    ends = np.cumsum(many)
+    first = np.repeat(np.cumsum(sizes) - sizes, many) + STRIDE * (np.arange(many.sum()) - np.repeat(ends - many, many))
+    return unpacked(some, kind)[first[:, None] + np.arange(SPAN + 1)]
 
 
 def ordered(batches, kind: np.dtype):
-    """(learner, windows) of batches sorted by learner: ORDERED windows at a time, whatever the batches are; fewer at a learner's end."""
-    rows = ((k, x) for pdf in batches for k, x in zip(pdf["learner"], pdf["line"], strict=True))
+    """(learner, windows) of batches sorted by learner: ORDERED blocks at a time, whatever the batches are; fewer at a learner's end."""
+    rows = ((k, x) for pdf in batches for k, x in zip(pdf["learner"], pdf["block"], strict=True))
     for learner, own in groupby(rows, key=lambda r: r[0]):
         while some := [x for _, x in islice(own, ORDERED)]:
-            yield learner, unpacked(some, kind).reshape(-1, SPAN + 1)
+            yield learner, opened(some, kind)
 
 
 #: What learners change of a model.
 PARTS = ("w", "memory")
 
 
-def taught(lines: DataFrame, model: Model, k: int, learners: int = 1) -> DataFrame:
-    """(part, n, w): of each learner, what has changed of the model after all its n windows (number, line) of round k."""
-    start, rate = lines.sparkSession.sparkContext.broadcast(model), RATE * (1 - 0.85 * (k + 0.5) / ROUNDS)
+def taught(docs: DataFrame, model: Model, k: int, learners: int = 1) -> DataFrame:
+    """(part, n, w): of each learner, what has changed of the model after all its n windows of documents (number, ids) in round k."""
+    start, rate = docs.sparkSession.sparkContext.broadcast(model), RATE * (1 - 0.85 * (k + 0.5) / ROUNDS)
     kind = packing(model.end)
 
     def learn(batches):
         model = start.value
-        for part, blocks in groupby(ordered(batches, kind), key=lambda x: x[0]):
+        for part, slices in groupby(ordered(batches, kind), key=lambda x: x[0]):
             own = replace(model, **{x: {k: v.copy() for k, v in getattr(model, x).items()} for x in PARTS})
-            n = own.learn((some for _, some in blocks), SEED + 1000 * k + int(part), rate)
+            n = own.learn((some for _, some in slices), SEED + 1000 * k + int(part), rate)
             changed = {(x, k): v - getattr(model, x).get(k, 0) for x in PARTS for k, v in getattr(own, x).items()}
             yield pd.DataFrame({"part": [part], "n": [n], "w": [pickle.dumps({k: v for k, v in changed.items() if v.any()})]})
 
     learner = F.pmod(F.floor(F.col("number") / ROUNDS), F.lit(learners)).cast("int").alias("learner")
-    some = lines.filter(F.pmod("number", F.lit(ROUNDS)) == k).select(learner, "number", "line")
-    dealt = some.repartitionById(learners, F.col("learner")).sortWithinPartitions("learner", "number", "line")
-    return dealt.select("learner", "line").mapInPandas(learn, "part int, n long, w binary")
+    some = blocks(docs, model.end, k).select(learner, "number", "block")
+    dealt = some.repartitionById(learners, F.col("learner")).sortWithinPartitions("learner", "number", "block")
+    return dealt.select("learner", "block").mapInPandas(learn, "part int, n long, w binary")
 
 
 def averaged(some: DataFrame) -> DataFrame:
@@ -554,11 +568,12 @@ def averaged(some: DataFrame) -> DataFrame:
 
 
 def trained(docs: DataFrame, model: Model) -> Model:
-    """The model after ROUNDS rounds over the learned share of the windows of documents (number, ids); in each, all learners start from the same model and what they changed is averaged."""
-    lines = written(sampled_windows(docs, model.end, LEARN_OF), "windows")
-    learners = max(1, -(-lines.count() // (ROUNDS * LEARNER_WINDOWS)))
+    """The model after ROUNDS rounds over all windows of documents (number, ids); in each, all learners start from the same model and what they changed is averaged."""
+    size = STRIDE * packing(model.end).itemsize
+    windows = docs.agg(F.sum(F.ceil(F.octet_length("ids") / size))).first()[0] or 0
+    learners = max(1, -(-windows // (ROUNDS * LEARNER_WINDOWS)))
     for k in range(ROUNDS):
-        if last := averaged(written(taught(lines, model, k, learners), "learned")).first():
+        if last := averaged(written(taught(docs, model, k, learners), "learned")).first():
             for (x, name), v in pickle.loads(last.w).items():
                 getattr(model, x)[name] = getattr(model, x).get(name, 0) + v
     return model
