@@ -52,7 +52,7 @@ from boundwright.llm.common import bounded_batches, table, written
 
 HEAD, CLASS, TAIL, SHARED, DEPTH = 1024, 32, 256, 128, 24
 CONTEXT, STRIDE = 8, 24
-ROUNDS, BATCH, RATE, SEED = 6, 48, 0.05, 5
+ROUNDS, BATCH, RATE, SEED = 6, 256, 0.05, 5
 #: Windows of a learner in a round, and of a block.
 LEARNER_WINDOWS, BLOCK = 1 << 16, 8
 FREQUENT = 1 << 16
