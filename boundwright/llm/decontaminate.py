@@ -15,6 +15,9 @@ shingles of the item's question and ANSWER of those of its answer (of three word
 be there. A changed word breaks five shingles, so half of them are left where one word in eight was changed. The answer
 is what follows the last line break, else the last sentence; an item of one sentence is all question.
 
+A batch's words are expanded to postings in runs of passages with at most EXPANDED postings (or one passage), so what
+a worker holds grows neither with the text of a batch times the benchmark nor with one long document.
+
 The index goes to the executors by broadcast, in shards of about SHARD bytes of item text or one longer item; a larger
 benchmark is searched shard by shard, with the document frequencies of the whole. The driver gets a shard's postings
 with numbers for pieces, and each text once. Documents are dealt out as they lie and never shuffled.
@@ -48,6 +51,8 @@ HALF = PASSAGE // 2
 THRESHOLD, QUESTION, ANSWER = 0.6, 0.5, 0.5
 K1, B = 1.2, 0.75
 COMMON, BLOCK = 0.35, 16
+#: Postings of rarer words that are looked at side by side.
+EXPANDED = 1 << 20
 SHARD = 8 << 20
 WORD = re.compile(r"\w+")
 LEAKS = "array<struct<item_id: long, score: double, question_overlap: double, answer_overlap: double>>"
@@ -178,19 +183,31 @@ class Index:
         half = np.concatenate([np.empty(0, dtype=np.int64), *(np.arange(len(x)) // HALF + a for x, a in zip(ids, at.tolist(), strict=False))])
         use = self.rare[term]
         term, half = term[use], half[use]
+        load = np.cumsum(np.r_[0, np.bincount(half, self.begin[term + 1] - self.begin[term], at[-1])])
+        hot, a = [np.empty(0, dtype=np.int64)], 0
+        while a < at[-1]:
+            b = max(a + 1, int(np.searchsorted(load, load[a] + EXPANDED, "right")) - 1)
+            some = slice(*np.searchsorted(half, (a, b + 1)))
+            hot.append(self.open_between(term[some], half[some], at, a, b))
+            a = b
+        hot = np.concatenate(hot)
+        cuts = np.searchsorted(hot, at)
+        return [hot[a:b] - s for a, b, s in zip(cuts, cuts[1:], at.tolist(), strict=False)]
+
+    def open_between(self, term: np.ndarray, half: np.ndarray, at: np.ndarray, a: int, b: int) -> np.ndarray:
+        """The open windows from a to before b, ascending; term, half: the rare terms of halves a to b; at: first halves of documents."""
         many = self.begin[term + 1] - self.begin[term]
         posting = np.repeat(self.begin[term] - np.cumsum(many) + many, many) + np.arange(many.sum())
         piece, impact, half = self.flat_piece[posting], self.flat_impact[posting], np.repeat(half, many)
-        inner = ~np.isin(half, at)  # a document's first half ends no window
-        key = np.r_[half, half[inner] - 1] * len(self.need) + np.r_[piece, piece[inner]]
+        own, inner = half < b, (half > a) & ~np.isin(half, at)  # a document's first half ends no window
+        key = np.r_[half[own], half[inner] - 1] * len(self.need) + np.r_[piece[own], piece[inner]]
+        if not len(key):
+            return key
         order = np.argsort(key)
-        key, impact = key[order], np.r_[impact, impact[inner]][order]
-        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, dtype=np.int64)
-        total = np.add.reduceat(impact, starts) if len(key) else impact
+        key, impact = key[order], np.r_[impact[own], impact[inner]][order]
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         window, piece = np.divmod(key[starts], len(self.need))
-        hot = np.unique(window[total >= self.need[piece]])
-        cuts = np.searchsorted(hot, at)
-        return [hot[a:b] - s for a, b, s in zip(cuts, cuts[1:], at.tolist(), strict=False)]
+        return np.unique(window[np.add.reduceat(impact, starts) >= self.need[piece]])
 
     def leaks(self, texts: list[str | None]) -> list[list[tuple]]:
         """For each text, (item_id, score, question_overlap, answer_overlap) of every verified item; score: of its best piece."""

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 from collections import Counter
 from types import SimpleNamespace
 
@@ -61,6 +62,29 @@ def test_bounds_leave_every_hit_open(index):
                 assert k in open_
 
 
+def test_runs_of_passages_agree(index, monkeypatch):
+    docs = [sentence(DRAW.randrange(0, 200)) + " " + DRAW.choice(ITEMS)[1] + " " + sentence(DRAW.randrange(0, 90)) for _ in range(30)] + ["", "the"]
+    ids = [np.array([index.terms.get(w, len(index.terms)) for w in d.words(x)], dtype=np.int64) for x in docs]
+    whole = [x.tolist() for x in index.open_windows(ids)]
+    for most in (1, 40, 1000):
+        monkeypatch.setattr(d, "EXPANDED", most)
+        assert [x.tolist() for x in index.open_windows(ids)] == whole and any(whole)
+
+
+def test_memory_of_a_large_benchmark_is_bounded():
+    draw = np.random.default_rng(5)
+    names = [f"w{i}" for i in range(30_000)]
+    spoken = lambda n: " ".join(names[i] for i in np.minimum(draw.zipf(1.15, n) - 1, len(names) - 1).tolist())
+    large = d.Index(*rows_of([(i, spoken(45)) for i in range(20_000)]))
+    ids = [np.array([large.terms.get(w, len(large.terms)) for w in d.words(spoken(n))], dtype=np.int64) for n in (30_000, 10, 0, 9_000)]
+    postings = sum(len(large.pieces[t]) for x in ids for t in x.tolist() if large.rare[t])
+    tracemalloc.start()
+    large.open_windows(ids)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert postings > 3 * d.EXPANDED and peak < 300 << 20
+
+
 def test_planted_items_are_found_and_others_left(spark):
     items = spark.createDataFrame([*ITEMS, (900, None), (901, ""), (902, "Was it?\nyes")], "item_id long, text string")
     held = {100 + i: sentence(90) + "\n" + text.upper() + " " + sentence(50) for i, text in ITEMS}
