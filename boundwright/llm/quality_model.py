@@ -5,14 +5,13 @@ step, so every place of a filter over the whole document lies in some chunk. In
 keeps its greatest response; a document is described by the greatest and the mean of its chunks'
 responses, which one logistic unit combines into the probability of label 1.
 
-It learns on the driver from a bounded sample: at most SAMPLE_ROWS labelled rows, those of the least
-hash of the id. Texts of more than SPANS * SPAN characters are learned from in SPANS pieces of SPAN characters each,
-spread evenly from their start to their end, so at most SAMPLE_ROWS * SPANS * SPAN characters come to the
-driver. Every document is then scored whole where it lies; nothing is shuffled.
+It learns on the driver from a bounded sample of labelled rows, each with its whole text: in order of a hash of the id,
+at most SAMPLE_ROWS rows, up to the one with which their texts reach SAMPLE_BYTES bytes. Every document is then
+scored whole where it lies; nothing is shuffled.
 
 Defined results: a null text counts as empty and has a score too; texts of any length are scored SLICE chunks at a
 time; labels other than 0 and 1, or without an id, are not learned from; several labels of an id count once, as the least, and of
-several labelled rows with one id one is learned from (any; equal ids should mean equal texts); repeated documents
+several labelled rows with one id the one with the least text is learned from; repeated documents
 score alike; where fewer than two classes are labelled the score is the smoothed share of label 1, without any label a
 half; an empty table gives an empty one; columns other than doc_id and text are not read, and `accepted` returns them all.
 """
@@ -21,12 +20,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boundwright.llm.common import bounded_batches, table
 
-SAMPLE_ROWS, SPANS, SPAN = 4_000, 16, 1 << 10
+SAMPLE_ROWS, SAMPLE_BYTES = 4_000, 32 << 20
 WIDTH, STEP, CHUNK = 8, 2, 512
 DEPTH, FILTERS = 8, 32
 STEPS, BATCH, RATE, SEED = 700, 32, 0.006, 11
@@ -103,14 +102,18 @@ class Network:
         top /= np.maximum(np.add.reduceat(top, first[:-1], axis=0)[of], 1)
         back = off[of, None] * (top * self.w["out"][:FILTERS] + self.w["out"][FILTERS:] / np.diff(first)[of, None])
         back[chunk <= 0] = 0
-        seen = rows[np.arange(len(rows))[:, None, None], (place * STEP)[:, :, None] + np.arange(WIDTH)]
-        inputs = self.w["embed"][seen].reshape(len(rows), FILTERS, -1)
-        to_inputs = (back[:, :, None] * self.w["filters"].T).reshape(-1, DEPTH)
-        embed = np.stack([np.bincount(seen.ravel(), to_inputs[:, k], PAD + 1) for k in range(DEPTH)], axis=1)
+        embed, filters = np.zeros((PAD + 1, DEPTH)), np.zeros(self.w["filters"].shape)
+        for at in range(0, len(rows), SLICE):
+            some = slice(at, at + SLICE)
+            n = len(rows[some])
+            seen = rows[some][np.arange(n)[:, None, None], (place[some] * STEP)[:, :, None] + np.arange(WIDTH)]
+            filters += np.einsum("rfi,rf->if", self.w["embed"][seen].reshape(n, FILTERS, -1), back[some], optimize=True)
+            to_inputs = (back[some][:, :, None] * self.w["filters"].T).reshape(-1, DEPTH)
+            embed += np.stack([np.bincount(seen.ravel(), to_inputs[:, k], PAD + 1) for k in range(DEPTH)], axis=1)
         embed[PAD] = 0
         return {
             "embed": embed,
-            "filters": np.einsum("rfi,rf->if", inputs, back, optimize=True),
+            "filters": filters,
             "shift": back.sum(0),
             "out": pooled.T @ off,
             "bias": off.sum(keepdims=True),
@@ -144,21 +147,15 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def shortened(text: str | Column) -> Column:
-    """A text of up to SPANS * SPAN characters as it is; of a longer one SPANS pieces, the first at its start, the last at its end."""
-    text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-    step = (F.length(text) - SPAN) / F.lit(SPANS - 1)
-    pieces = F.transform(F.sequence(F.lit(0), F.lit(SPANS - 1)), lambda i: F.substring(text, (F.floor(i * step) + 1).cast("int"), F.lit(SPAN)))
-    return F.when(F.length(text) <= SPANS * SPAN, text).otherwise(F.array_join(pieces, ""))
-
-
-def learned(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Network:
+def learned(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> Network:
     """A network fitted to the bounded sample of labelled documents that are not held out."""
     marked = labels.filter(~held_out() & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    sample = docs.select("doc_id", shortened("text").alias("text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).collect()
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.coalesce(F.min("text"), F.lit("")).alias("text"))
+    before = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1))  # of `rows` rows
+    sample = texts.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < size).collect()
     sample.sort(key=lambda r: r.doc_id)
-    return fit([(r.text or "").encode() for r in sample], np.array([r.quality for r in sample], dtype=np.int64))
+    return fit([r.text.encode() for r in sample], np.array([r.quality for r in sample], dtype=np.int64))
 
 
 def score(text: str | Column, net: Network) -> Column:

@@ -75,15 +75,20 @@ def test_against_naive_convolution():
     assert np.allclose(net.scores(texts), [naive_score(net, x) for x in texts], atol=1e-5)
 
 
-def test_long_texts_are_learned_from_in_pieces_of_the_whole(spark):
-    long = "".join(f"{i:07d} " for i in range(20_000))
-    rows = [(1, None), (2, ""), (3, "é" * q.SPANS * q.SPAN), (4, long)]
-    got = {r.doc_id: r.s for r in spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", q.shortened("text").alias("s")).collect()}
-    assert got[1] == got[2] == "" and got[3] == rows[2][1]
-    assert len(got[4]) == q.SPANS * q.SPAN and got[4].startswith(long[: q.SPAN]) and got[4].endswith(long[-q.SPAN :])
-    assert all(got[4][i : i + q.SPAN] in long for i in range(0, len(got[4]), q.SPAN))
-    docs = spark.createDataFrame([(i, long if i % 2 else f"short {i}") for i in range(40)], "doc_id long, text string")
+def test_long_texts_are_learned_from_whole_within_a_budget(spark, monkeypatch):
+    long = "".join(f"{i:07d} " for i in range(2_500))
+    docs = spark.createDataFrame([(i, long + str(i) if i % 2 else f"short {i}") for i in range(40)] + [(3, "a least text"), (5, None)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
     assert q.learned(docs.limit(0), labels).scores([b"a"])[0] == 0.5
     net = q.learned(docs, labels)
     assert net.scores([long.encode()])[0] > net.scores([b"short 2"])[0]
+    met = []
+    monkeypatch.setattr(q, "fit", lambda texts, marks: met.append(dict(zip(texts, marks.tolist(), strict=True))))
+    q.learned(docs, labels)
+    taught = [i for i in range(40) if zlib.crc32(str(i).encode()) % 3 != 1]
+    text = lambda i: "short " + str(i) if i % 2 == 0 else min(long + str(i), "a least text") if i == 3 else long + str(i)
+    assert met[0] == {text(i).encode(): i % 2 for i in taught}
+    q.learned(docs, labels, size=30_000)  # two long texts reach it
+    assert set(met[1]) < set(met[0]) and sum(map(len, met[1])) >= 30_000 > sum(map(len, met[1])) - max(map(len, met[1]))
+    q.learned(docs, labels, rows=5)
+    assert len(met[2]) == 5 and set(met[2]) < set(met[0])
