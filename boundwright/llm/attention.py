@@ -11,6 +11,10 @@ vocabulary; an end id closes each document and stands before its first id. The m
 * what the state says is added to log shares: of classes and their ids after the latest id, from the counts of
   all words of the training documents; of tail classes and their ids, from the counts of all their ids.
 
+A word's probability is a mixture: that of its ids by the steps above and, with the weight WORD_WEIGHT, its share of all training
+words if it is one of the FREQUENT commonest. So a word known from training never costs much more than in the base, however
+little there was to learn from; one that is not is spelt by its ids.
+
 A document is covered by windows of STRIDE positions that each see CONTEXT positions before them, so
 windows overlap and each id is scored once; windows are scored many at a time. Base scores, counts and log
 shares come from all training documents.
@@ -53,6 +57,8 @@ from boundwright.llm.common import bounded_batches, table, written
 HEAD, CLASS, TAIL, SHARED, DEPTH = 1024, 32, 256, 128, 24
 CONTEXT, STRIDE = 8, 24
 ROUNDS, BATCH, RATE, SEED = 6, 256, 0.05, 5
+#: Small tables are learned from in smaller batches, as many as LEAST_BATCHES and of LEAST_BATCH windows at least.
+LEAST_BATCHES, LEAST_BATCH = 256, 8
 #: Windows of a learner in a round, and of a block.
 LEARNER_WINDOWS, BLOCK = 1 << 16, 8
 FREQUENT = 1 << 16
@@ -63,8 +69,10 @@ SLICE, ORDERED, KEPT_WORDS, FAN = 512, 512, 300_000, 32
 #: Documents that a worker holds at once, and words whose ids it remembers.
 ROWS_HELD, REMEMBERED = 400, 300_000
 PAD = -1
-#: Logits end here, so that their exponentials do not overflow.
+#: Logits of rows whose greatest is farther from zero are shifted, so that their exponentials neither overflow nor vanish together.
 TOP = np.float32(60)
+#: The weight of a word's share in its probability.
+WORD_WEIGHT = 0.3
 CLASSES, ROWS = HEAD // CLASS + 1, HEAD + SHARED + 1
 SPAN = CONTEXT + STRIDE
 DISTANCE = CONTEXT + np.arange(STRIDE)[:, None] - np.arange(SPAN)
@@ -146,6 +154,40 @@ def windows(ids: np.ndarray, end: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(laid(ids, end), SPAN + 1)[::STRIDE]
 
 
+@dataclass
+class Words:
+    """Natural log shares of words by the hashes of their ids, in order; starts: whether an id starts a word, the end id included."""
+
+    starts: np.ndarray
+    known: np.ndarray
+    share: np.ndarray
+
+    @classmethod
+    def of(cls, own: Subwords, words: list[bytes], shares: list[float], end_share: float) -> Words:
+        ids, sizes = own.flat(words)
+        first = np.cumsum(np.r_[sizes, 1]) - np.r_[sizes, 1]
+        keys = hashes(np.r_[ids, np.int32(own.end)], first)
+        order = np.argsort(keys)
+        return cls(np.r_[own.starts, True], keys[order], np.r_[shares, end_share][order] * np.log(10))
+
+    def mixed(self, ids: np.ndarray, each: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the words of documents' ids start, and their log probabilities; each: those of the ids."""
+        first = np.flatnonzero(self.starts[ids])
+        keys = hashes(ids, first)
+        at = np.minimum(np.searchsorted(self.known, keys), len(self.known) - 1)
+        share = np.where(self.known[at] == keys, self.share[at] + np.log(WORD_WEIGHT), -np.inf)
+        return first, np.logaddexp(np.add.reduceat(each, first) + np.log(1 - WORD_WEIGHT), share)
+
+
+def hashes(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A hash of each run of ids that begins at one of `first`."""
+    place = np.arange(len(ids)) - np.repeat(first, np.diff(np.r_[first, len(ids)]))
+    x = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + place.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
+    for bits, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(bits))) * np.uint64(factor)
+    return np.add.reduceat(x ^ (x >> np.uint64(31)), first)
+
+
 @dataclass
 class Model:
     """Tables and output weights `w`; `row`: the table row of each id, `slot`: its place among the head ids, those of the tail after them."""
@@ -162,6 +204,7 @@ class Model:
     tails: np.ndarray
     #: Adam's running means, and how many steps it has made.
     memory: dict[str, np.ndarray] = field(default_factory=dict)
+    words: Words | None = None
     scale: float = field(default=float(1 / np.sqrt(DEPTH)))
 
     @classmethod
@@ -275,8 +318,15 @@ class Model:
         cut = [windows(x, self.end) for x in docs]
         lines = np.concatenate(cut) if cut else np.empty((0, SPAN + 1), dtype=np.int32)
         tables = self.biased()
-        total = np.concatenate([np.empty(0), *(self.log_probabilities(lines[i : i + SLICE], tables).sum(1, dtype=np.float64) for i in range(0, len(lines), SLICE))])
-        return np.add.reduceat(total, np.cumsum([0, *map(len, cut)])[:-1]) if docs else total
+        some = [self.log_probabilities(lines[i : i + SLICE], tables) for i in range(0, len(lines), SLICE)]
+        if not docs:
+            return np.empty(0)
+        if self.words is None:
+            total = np.concatenate([x.sum(1, dtype=np.float64) for x in some])
+            return np.add.reduceat(total, np.cumsum([0, *map(len, cut)])[:-1])
+        each = np.concatenate(some).ravel()[lines[:, CONTEXT + 1 :].ravel() != PAD].astype(np.float64)
+        first, total = self.words.mixed(np.concatenate(docs), each)
+        return np.add.reduceat(total, np.searchsorted(first, np.cumsum([0, *map(len, docs)])[:-1]))
 
     def slopes(self, lines: np.ndarray) -> dict[str, np.ndarray]:
         """The gradient of the mean loss of the ids to be predicted; of the tail's members, that of the classes met."""
@@ -330,7 +380,7 @@ class Model:
             g[name] = np.bincount(place, slope.ravel(), w[name].size).astype(np.float32).reshape(w[name].shape)
         return g
 
-    def learn(self, slices: Iterable[np.ndarray], seed: int, rate: float) -> int:
+    def learn(self, slices: Iterable[np.ndarray], seed: int, rate: float, batch: int = BATCH) -> int:
         """One pass of Adam, from what `memory` holds, over the windows of all slices, each in an order that the seed gives; how many they were.
 
         What a batch does not touch, as most classes of the tail, is left alone.
@@ -340,10 +390,10 @@ class Model:
         for lines in slices:
             order = draw.permutation(len(lines))
             seen += len(lines)
-            for at in range(0, len(order), BATCH):
+            for at in range(0, len(order), batch):
                 step += 1
                 pace = np.float32(rate * (1 - 0.99**step) ** 0.5 / (1 - 0.9**step))
-                for k, g in self.slopes(lines[order[at : at + BATCH]]).items():
+                for k, g in self.slopes(lines[order[at : at + batch]]).items():
                     if f"first {k}" not in memory:
                         memory |= {f"first {k}": np.zeros_like(g), f"second {k}": np.zeros_like(g)}
                     m, v = memory[f"first {k}"], memory[f"second {k}"]
@@ -362,9 +412,11 @@ class Model:
 
 
 def exponentials(z: np.ndarray) -> np.ndarray:
-    """e to the logits, in place; a logit over TOP counts as TOP."""
-    if z.size and z.max() > TOP:
-        np.minimum(z, TOP, out=z)
+    """e to the logits of each row, in place, up to a factor of the row's own."""
+    if z.size:
+        top = z.max(-1, keepdims=True)
+        if top.max() > TOP or top.min() < -TOP:
+            z -= top
     return np.exp(z, out=z)
 
 
@@ -530,7 +582,7 @@ def ordered(batches, kind: np.dtype):
 PARTS = ("w", "memory")
 
 
-def taught(docs: DataFrame, model: Model, k: int, learners: int = 1) -> DataFrame:
+def taught(docs: DataFrame, model: Model, k: int, learners: int = 1, batch: int = BATCH) -> DataFrame:
     """(part, n, w): of each learner, what has changed of the model after all its n windows of documents (number, ids) in round k."""
     start, rate = docs.sparkSession.sparkContext.broadcast(model), RATE * (1 - 0.85 * (k + 0.5) / ROUNDS)
     kind = packing(model.end)
@@ -539,7 +591,7 @@ def taught(docs: DataFrame, model: Model, k: int, learners: int = 1) -> DataFram
         model = start.value
         for part, slices in groupby(ordered(batches, kind), key=lambda x: x[0]):
             own = replace(model, **{x: {k: v.copy() for k, v in getattr(model, x).items()} for x in PARTS})
-            n = own.learn((some for _, some in slices), SEED + 1000 * k + int(part), rate)
+            n = own.learn((some for _, some in slices), SEED + 1000 * k + int(part), rate, batch)
             changed = {(x, k): v - getattr(model, x).get(k, 0) for x in PARTS for k, v in getattr(own, x).items()}
             yield pd.DataFrame({"part": [part], "n": [n], "w": [pickle.dumps({k: v for k, v in changed.items() if v.any()})]})
 
@@ -572,8 +624,9 @@ def trained(docs: DataFrame, model: Model) -> Model:
     size = STRIDE * packing(model.end).itemsize
     windows = docs.agg(F.sum(F.ceil(F.octet_length("ids") / size))).first()[0] or 0
     learners = max(1, -(-windows // (ROUNDS * LEARNER_WINDOWS)))
+    batch = min(BATCH, max(LEAST_BATCH, windows // LEAST_BATCHES))
     for k in range(ROUNDS):
-        if last := averaged(written(taught(docs, model, k, learners), "learned")).first():
+        if last := averaged(written(taught(docs, model, k, learners, batch), "learned")).first():
             for (x, name), v in pickle.loads(last.w).items():
                 getattr(model, x)[name] = getattr(model, x).get(name, 0) + v
     return model
@@ -608,7 +661,9 @@ def scored(docs: DataFrame, tokens: tuple[str, str]) -> DataFrame:
     share = lambda c: log10((c + 0.1) / floor)
     end, spelt = subwords(*tokens).end, written(encoded(words, tokens), "spelt")
     model = Model.fresh(id_counts(spelt, ends, end), end, lambda row, slot: pair_counts(spelt, row, slot))
-    sent = spark.sparkContext.broadcast({bytes(r.word): (r.n, share(r.n)) for r in commonest(words).collect()})
+    common = {bytes(r.word): (r.n, share(r.n)) for r in commonest(words).collect()}
+    spelt_words = Words.of(subwords(*tokens), list(common), [x for _, x in common.values()], share(ends))
+    sent = spark.sparkContext.broadcast(common)
 
     @F.pandas_udf(READ)
     def take(texts: pd.Series) -> pd.DataFrame:
@@ -629,7 +684,7 @@ def scored(docs: DataFrame, tokens: tuple[str, str]) -> DataFrame:
 
     judged = own.select("doc_id", "held_out", F.xxhash64("doc_id", "text").alias("number"), take("text").alias("j")).select("doc_id", "held_out", "number", "j.*")
     judged = written(judged.withColumn("at", F.monotonically_increasing_id()), "judged")
-    model = spark.sparkContext.broadcast(replace(trained(judged.filter("NOT held_out"), model), memory={}))
+    model = spark.sparkContext.broadcast(replace(trained(judged.filter("NOT held_out"), model), memory={}, words=spelt_words))
 
     @F.pandas_udf("double")
     def probability(ids: pd.Series) -> pd.Series:

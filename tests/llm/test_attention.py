@@ -191,3 +191,25 @@ def test_commonest_words(spark):
     words = spark.createDataFrame([(b"a", 9), (b"b", 9), (b"c", 2), (b"d", 1), (b"e", 1)], "word binary, n long")
     for most, want in ((5, 5), (4, 3), (3, 3), (2, 2), (1, 0)):
         assert a.commonest(words, most).count() == want
+
+
+def test_logits_far_below_zero_stay_finite():
+    z = np.array([[-200.0, -201.0, -300.0], [100.0, 0.0, 99.0]], dtype=np.float32)
+    got = a.softmax_at(z, np.array([1, 2]))
+    assert np.allclose(got, np.log(1 / (1 + np.e)), atol=1e-4)
+
+
+def test_known_words_cost_their_share_at_most(model):
+    own = a.subwords(*TOKENS)
+    words = [b"zymurgy", b"the", b"qq!!xx", b"antidisestablishmentarianism"]
+    both = a.replace(model, words=a.Words.of(own, words, [-1.0, -2.0, -1.5, -0.7], -1.2))
+    docs = own.ids([words, [], [b"the", b"unseen-word"]])
+    got, alone = both.score(docs), model.score(docs)
+    assert got[0] > np.log(10) * -6.4 + 5 * np.log(a.WORD_WEIGHT) > alone[0]
+    assert got[1] > np.log(10) * -1.2 + np.log(a.WORD_WEIGHT)
+    assert np.isfinite(got).all() and got[2] > alone[2] + 3 * np.log(1 - a.WORD_WEIGHT)
+
+
+def test_little_to_learn_from(spark, sf_dir):
+    new = [r for r in a.op6_attention(spark, sf_dir).collect() if r.held_out]
+    assert new and sum(r.score for r in new) > 1.07 * sum(r.base_score for r in new)
