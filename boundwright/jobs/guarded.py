@@ -36,16 +36,16 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written(placed.withColumn("token", F.expr("concat('v', order_id % 12)")), "alarms")
 
 
-def found(spark: SparkSession, sf_dir: str, alarms: DataFrame) -> DataFrame:
+def found(spark: SparkSession, sf_dir: str, search) -> DataFrame:
     calls, spans, guards = (written(view(spark, sf_dir, name), name) for name in ("calls", "functions", "guards"))
     length = view(spark, sf_dir, "part").count() * 40
-    return G.searched(alarms.select("order_id", "line", F.array("token").alias("tokens")), calls, spans, guards, length)
+    return search(asked(spark, sf_dir).select("order_id", "line", F.array("token").alias("tokens")), calls, spans, guards, length)
 
 
 @query(f"{SEARCH} SELECT order_id, pos, depth, fn, line, kind, condition, truncated FROM _found", *VIEWS)
 def guard_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first conditions on each alarm's operand, its callers' included."""
-    return found(spark, sf_dir, asked(spark, sf_dir))
+    return found(spark, sf_dir, G.searched)
 
 
 @query(
@@ -56,6 +56,4 @@ def guard_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def guard_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labels of the conditions that bound each alarm's operand."""
-    alarms = asked(spark, sf_dir)
-    out = G.labels(found(spark, sf_dir, alarms), alarms.select("order_id", F.col("line").alias("at"), "token"))
-    return out.withColumn("labels", F.array_join("labels", " | "))
+    return G.labels(found(spark, sf_dir, G.listed)).withColumn("labels", F.array_join("labels", " | "))
