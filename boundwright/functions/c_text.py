@@ -12,6 +12,9 @@ NO_SYMBOLS = (
     "if", "for", "while", "return", "sizeof", "void", "uint8", "uint16", "uint32", "uint8_t", "uint16_t", "uint32_t", "int", "const", "static", "null", "true",
     "false", "else", "switch", "case", "break", "continue", "unsigned", "signed", "struct", "enum", "typedef", "volatile", "NULL", "TRUE", "FALSE",
 )
+#: Letters outside brackets, strings and characters, with and without commas; a string or character.
+ANY, NO_COMMA = r"[^()\[\]{}\"']", r"[^(),\[\]{}\"']"
+QUOTED = r"""\"(?:[^\"\\]++|\\.)*+\"|'(?:[^'\\]++|\\.)*+'"""
 #: What an error of each kind says, lower-cased.
 ERRORS = {
     "timeout": ("timed out", "timeout"),
@@ -61,12 +64,30 @@ def symbols(names: Column, called: Column) -> Column:
     return F.filter(names, lambda x: ~x.isin(*NO_SYMBOLS) & ~F.array_contains(called, x) & ~x.endswith("Type") & ~placeholder(x))
 
 
+def balanced(unit: str) -> str:
+    """A pattern of units, strings, characters and brackets around them, to four levels; possessive, so it takes linear time and no stack."""
+    inner = ""
+    for _ in range(4):
+        inner = rf"|[(\[{{](?:[^()\[\]{{}}\"']++|{QUOTED}{inner})*+[)\]}}]"
+    return f"(?:{unit}++|{QUOTED}{inner})*+"
+
+
 def arguments(text: Column, opened: Column) -> Column:
     """The arguments of the call whose parenthesis opens at a position (from 1): cut at commas in no inner bracket, string or character.
 
-    They end with the call, or with the text where it doesn't end there. One pass over the letters keeps the depth and the cuts only.
+    They end with the call, or with the text where it doesn't end there. Two patterns cut calls that end and are at most five brackets deep; a fold over the letters cuts all others.
     """
     rest = F.substring(text, opened, F.length(text))
+    call = F.regexp_extract(rest, rf"(?s)^[(\[{{]{balanced(ANY)}[)\]}}]", 0)
+    inside = F.substring(call, F.lit(2), F.length(call) - 2)
+    cut = F.regexp_extract_all(F.concat(F.lit(","), inside), F.lit(f"(?s),({balanced(NO_COMMA)})"), F.lit(1))
+    none = F.array().cast("array<string>")
+    rarer = F.get(F.transform(F.array(folded_arguments(rest)), lambda parts: F.when(parts == F.array(F.lit("")), none).otherwise(parts)), 0)
+    return F.when(call == "", rarer).when(F.trim(inside) == "", none).otherwise(F.transform(cut, lambda x: F.trim(x)))
+
+
+def folded_arguments(rest: Column) -> Column:
+    """The arguments of a text that starts with a call's parenthesis; an empty one where there is none. One pass over the letters keeps the depth and the cuts only."""
     letters = F.transform(F.split(rest, ""), lambda x, i: F.struct(x.alias("x"), (i + 1).alias("i")))
     start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("quote"), F.lit(False).alias("escaped"), F.lit(False).alias("ended"), F.array().cast("array<int>").alias("cuts"))
 
@@ -79,9 +100,12 @@ def arguments(text: Column, opened: Column) -> Column:
         cuts = F.when(cut, F.array_append(s["cuts"], letter["i"])).otherwise(s["cuts"])
         return F.struct(depth.alias("depth"), quote.alias("quote"), ((s["quote"] != "") & ~s["escaped"] & (x == "\\")).alias("escaped"), ended.alias("ended"), cuts.alias("cuts"))
 
-    cuts = F.aggregate(letters, start, step, lambda s: F.when(s["ended"], s["cuts"]).otherwise(F.array_append(s["cuts"], F.length(rest) + 1)))
-    parts = F.transform(F.slice(F.arrays_zip(cuts.alias("a"), F.slice(cuts, 2, F.size(cuts)).alias("b")), 1, F.greatest(F.size(cuts) - 1, F.lit(0))), lambda c: F.trim(F.substring(rest, c["a"] + 1, c["b"] - c["a"] - 1)))
-    return F.when((F.size(parts) == 1) & (F.get(parts, 0) == ""), F.array().cast("array<string>")).otherwise(parts)
+    def cut(s: Column) -> Column:
+        cuts = F.when(s["ended"], s["cuts"]).otherwise(F.array_append(s["cuts"], F.length(rest) + 1))
+        pairs = F.slice(F.arrays_zip(cuts.alias("a"), F.slice(cuts, 2, F.size(cuts)).alias("b")), 1, F.greatest(F.size(cuts) - 1, F.lit(0)))
+        return F.transform(pairs, lambda c: F.trim(F.substring(rest, c["a"] + 1, c["b"] - c["a"] - 1)))
+
+    return F.aggregate(letters, start, step, cut)
 
 
 def last_member(text: Column) -> Column:
