@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Lines in a bucket.
-WIDTH = 4096
+#: Lines in a bucket; of functions and what stands in them.
+WIDTH, SPAN = 4096, 256
 
 
-def enclosing(points: DataFrame, spans: DataFrame, line: str = "line", width: int = WIDTH) -> DataFrame:
+def enclosing(points: DataFrame, spans: DataFrame, line: str = "line", width: int = SPAN) -> DataFrame:
     """points with fn_id, name, start_line and end_line of the innermost span (the greatest start; then the greatest fn_id) around each line; nulls where there is none.
 
     A span is dealt to every bucket it touches, a point to its own; copies of a line are looked up once.
@@ -21,34 +21,39 @@ def enclosing(points: DataFrame, spans: DataFrame, line: str = "line", width: in
     return points.join(best, points[line] == best["at"], "left").drop("at")
 
 
-def last_before(left: DataFrame, right: DataFrame, key: str, line: str, value: Column, width: int = WIDTH) -> DataFrame:
-    """left with `found`: the value of the latest right row of the key with a smaller line; null if there is none. The greatest value of equal lines.
+def beside(left: DataFrame, right: DataFrame, key: str, line: str, value: Column, width: int, after: bool = False) -> DataFrame:
+    """left with `before`: line l and value v of the key's latest right row on a smaller line, the greatest value of equal lines; with `after` also those of the first on its own or a later line.
 
-    Within a bucket of lines by a window, across buckets by one carried row for each key and bucket, so a
+    Both tables are shuffled once, by key and bucket of lines, and stand side by side in a window; across buckets one carried row for each key and bucket goes on, so a
     key with many rows is many groups.
     """
     bucket = F.floor(F.col(line) / width).alias("bucket")
-    marked = right.select(F.col(key), F.col(line), bucket, F.struct(F.col(line).alias("l"), value.alias("v")).alias("own"))
-    rows = left.withColumn("bucket", bucket)
-    carried = marked.groupBy(key, "bucket").agg(F.max("own").alias("top"))
-    both = rows.select(key, "bucket").distinct().join(carried, [key, "bucket"], "full")
-    before = Window.partitionBy(key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = both.select(key, "bucket", F.last("top", ignorenulls=True).over(before).alias("carried"))
-    tops = marked.groupBy(key, "bucket", line).agg(F.max("own").alias("own"))
-    inside = Window.partitionBy(key, "bucket").orderBy(line).rangeBetween(Window.unboundedPreceding, -1)
-    near = rows.select(key, "bucket", line).distinct().withColumn("own", F.lit(None).cast(tops.schema["own"].dataType)).unionByName(tops)
-    near = near.withColumn("near", F.max("own").over(inside)).groupBy(key, "bucket", line).agg(F.max("near").alias("near"))
-    out = rows.join(near, [key, "bucket", line], "left").join(carried, [key, "bucket"], "left")
-    return out.withColumn("found", F.coalesce("near", "carried")["v"]).drop("near", "carried", "bucket")
+    marked = right.filter(F.col(key).isNotNull() & F.col(line).isNotNull()).select(F.col(key), F.col(line), bucket, F.struct(F.col(line).alias("l"), value.alias("v")).alias("own"))
+    own, row = F.lit(None).cast(marked.schema["own"].dataType), F.struct(*(F.col(c) for c in left.columns))
+    both = left.select(F.col(key), F.col(line), bucket, own.alias("own"), row.alias("row")).unionByName(marked.withColumn("row", F.lit(None).cast(left.schema)))
+    of, ends = Window.partitionBy(key, "bucket"), marked.groupBy(key, "bucket").agg(F.max("own").alias("last"), F.min("own").alias("first"))
+    ends = left.select(F.col(key), bucket).distinct().join(ends, [key, "bucket"], "full")
+    over = Window.partitionBy(key).orderBy("bucket")
+    found = {"before": (F.max("own").over(of.orderBy(line).rangeBetween(Window.unboundedPreceding, -1)), F.last("last", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)))}
+    if after:
+        down = Window.partitionBy(key).orderBy(F.desc("bucket"))
+        found["after"] = F.min("own").over(of.orderBy(F.desc(line)).rangeBetween(Window.unboundedPreceding, 0)), F.last("first", ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, -1))
+    near = both.withColumns({name: here for name, (here, _) in found.items()}).filter(F.col("row").isNotNull())
+    carried = ends.select(key, "bucket", *(there.alias(f"{name}_far") for name, (_, there) in found.items()))
+    out = near.join(carried, [key, "bucket"], "left")
+    return out.select("row.*", *(F.coalesce(name, f"{name}_far").alias(name) for name in found))
+
+
+def last_before(left: DataFrame, right: DataFrame, key: str, line: str, value: Column, width: int = WIDTH) -> DataFrame:
+    """left with `found`: the value of the latest right row of the key with a smaller line; null if there is none. The greatest value of equal lines."""
+    return beside(left, right, key, line, value, width).withColumn("found", F.col("before.v")).drop("before")
 
 
 def nearest(left: DataFrame, right: DataFrame, key: str, line: str, width: int = WIDTH) -> DataFrame:
     """left with `found`: the line of the key's right row nearest to its own, the smaller of two; null where the key has none."""
-    before = last_before(left.withColumn("own", F.col(line)), right, key, line, F.col(line), width).withColumnRenamed("found", "before")
-    turned = right.withColumn(line, -F.col(line))
-    both = last_before(before.withColumn(line, 1 - F.col("own")), turned, key, line, F.col(line), width).withColumn("after", -F.col("found"))
-    nearer = F.when(F.col("own") - F.col("before") <= F.col("after") - F.col("own"), F.col("before")).otherwise(F.coalesce("after", "before"))
-    return both.withColumn("found", nearer).withColumn(line, F.col("own")).drop("own", "before", "after")
+    both = beside(left, right, key, line, F.col(line), width, after=True)
+    before, after = F.col("before.v"), F.col("after.v")
+    return both.withColumn("found", F.when(F.col(line) - before <= after - F.col(line), before).otherwise(F.coalesce(after, before))).drop("before", "after")
 
 
 def first_of(rows: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:

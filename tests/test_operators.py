@@ -35,6 +35,24 @@ def test_last_before_at_any_bucket_width(spark):
             assert r.found == want
 
 
+def test_nearest_and_rows_without_a_line(spark):
+    left = spark.createDataFrame([(i % 3, i * 5 % 97 if i % 10 else None) for i in range(100)] + [(None, 5), (7, 5)], "k long, line long")
+    right = spark.createDataFrame([(i % 3, i * 7 % 101 if i % 9 else None) for i in range(40)] + [(None, 4)], "k long, line long")
+    rights = [tuple(r) for r in right.collect()]
+    for width in (3, 4096):
+        rows = J.nearest(left, right, "k", "line", width).collect()
+        assert sorted(map(str, ((r.k, r.line) for r in rows))) == sorted(map(str, map(tuple, left.collect())))
+        for r in rows:
+            near = [(abs(line - r.line), line) for k, line in rights if None not in (k, line, r.line) and k == r.k]
+            assert r.found == min(near, default=(None, None))[1]
+    # Before, a right row without a line was carried to every later bucket.
+    found = J.last_before(spark.createDataFrame([(1, 9)], "k long, line long"), spark.createDataFrame([(1, None)], "k long, line long"), "k", "line", F.lit(1))
+    assert found.first().found is None
+    # Before, each table was shuffled several times.
+    plan = J.nearest(left, right, "k", "line")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 2
+
+
 def test_components_of_a_long_chain(spark):
     pairs = spark.range(40).select(F.concat(F.lit("n"), F.lpad(F.col("id").cast("string"), 3, "0")).alias("src"), F.concat(F.lit("n"), F.lpad((F.col("id") + 1).cast("string"), 3, "0")).alias("dst"))
     assert {r.component for r in G.components(pairs.union(spark.createDataFrame([("z1", "z2")], "src string, dst string"))).collect()} == {"n000", "z1"}
