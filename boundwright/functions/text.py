@@ -30,16 +30,14 @@ def location(text: Column) -> dict[str, Column]:
     The last colon ends the file. Nulls if the start is no `line.col`; an end, or a part of it, that is no number counts as the start's.
     """
     text = F.trim(text)
-    rest = F.substring_index(text, ":", -1)
-    start, end = F.substring_index(rest, "-", 1), after(rest, "-")
-    line, column = digits(F.substring_index(start, ".", 1)), digits(after(start, "."))
-    told = F.contains(text, F.lit(":")) & F.contains(start, F.lit(".")) & line.isNotNull() & column.isNotNull()
+    part = lambda i: F.regexp_extract(text, r"(?s)^(.*):([0-9]+)\.([0-9]+)(?:-([^:]*))?$", i)
+    line, column, end = part(2).try_cast("bigint"), part(3).try_cast("bigint"), part(4)
     two = F.contains(end, F.lit("."))
-    if_told = lambda x: F.when(told, x)
+    if_told = lambda x: F.when(line.isNotNull() & column.isNotNull(), x)
     return {
-        "file": if_told(F.regexp_extract(text, "(?s)^(.*):", 1)),
-        "line": if_told(line),
-        "col_start": if_told(column),
+        "file": if_told(part(1)),
+        "line": F.when(column.isNotNull(), line),
+        "col_start": F.when(line.isNotNull(), column),
         "end_line": if_told(F.coalesce(F.when(two, digits(F.substring_index(end, ".", 1))), line)),
         "col_end": if_told(F.coalesce(F.when(two, digits(after(end, "."))).otherwise(digits(end)), column)),
     }

@@ -100,8 +100,8 @@ def writes_before(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All writes of each alarm's operand before it: of the data flow, then of the source text, then calls that take its address."""
     rows = written(asked(spark, sf_dir), "asked")
     flow = view(spark, sf_dir, "member_flow").filter("lower(access) = 'write'").select("seq", T.bare_name(F.col("variable")).alias("bare"), T.after(F.col("variable"), "@").alias("scope"), "function", "line")
-    told = P.prior_writes(rows, flow, view(spark, sf_dir, "source_text"))
+    lists = written(P.write_lists(rows, flow, view(spark, sf_dir, "source_text")), "lists")
     seen = P.assigned_before(rows.withColumn("key", F.substring_index("name", ".", -1)), assigned(spark, sf_dir))
     passed = sites(spark, sf_dir).select("line", "seq", F.explode(F.array_distinct("args")).alias("arg")).select("line", "seq", F.regexp_extract("arg", r"^\(*&\s*([A-Za-z_][A-Za-z0-9_]*)\)*$", 1).alias("key")).filter("key <> ''")
     handed = P.assigned_before(rows.withColumn("key", F.substring_index("name", ".", 1)), passed)
-    return P.in_order([told, seen, handed])
+    return P.writes_in_order(rows, lists, [seen, handed])

@@ -106,3 +106,11 @@ def test_prior_writes_and_their_order(spark):
         expected += [(order, *row, i + 1) for i, row in enumerate(rows)]
     sources = [spark.createDataFrame(rows, "order_id long, line long, seq long") for rows in (one_, two, three)]
     assert sorted(map(tuple, P.in_order(sources).select("order_id", "class", "line", "seq", "pos").collect())) == sorted(expected)
+
+    # The beginnings of lists and later sources give the order of in_order() without sorting each access's writes; before, nothing did.
+    frames[0] = frames[0].dropDuplicates(["order_id"])
+    later = [spark.createDataFrame([(rng.randrange(150), rng.randrange(1, 95), 1000 * k + i) for i in range(400)], "order_id long, line long, seq long") for k in (1, 2)]
+    whole = P.in_order([P.prior_writes(*frames), *later])
+    for width in (3, 4096):
+        short = P.writes_in_order(frames[0], P.write_lists(*frames, width=width), later)
+        assert sorted(map(tuple, short.collect())) == sorted(map(tuple, whole.select(*short.columns).collect()))
