@@ -11,6 +11,7 @@ from boundwright.operators import joins as J
 from boundwright.operators import paths as P
 from boundwright.operators.origins import COMMON, HOPS, origin_paths
 from boundwright.sources.projections import view
+from boundwright.sources.shared import written
 
 #: Pairs asked for: of a function itself, of one that no call names, and of functions near and far.
 ASKED = """SELECT concat('fn_', s_suppkey) AS a, CASE WHEN s_suppkey % 10 = 0 THEN concat('fn_', s_suppkey) WHEN s_suppkey % 11 = 0 THEN 'fn_none' WHEN s_suppkey % 3 = 0 THEN concat('fn_', s_suppkey DIV 4)
@@ -86,10 +87,11 @@ def callgraph_simple_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def origin_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The path of each alarm from the origin of its index to itself, through callers, with the gaps that it has."""
-    placed = J.enclosing(placed_alarms(spark, sf_dir), view(spark, sf_dir, "functions")).select("order_id", F.col("name").alias("fn"), "line")
+    # Parsed once, as in alarm_enclosing_function.
+    placed = J.enclosing(written(placed_alarms(spark, sf_dir), "placed"), view(spark, sf_dir, "functions")).select("order_id", F.col("name").alias("fn"), "line")
     alarms = placed.join(view(spark, sf_dir, "operands"), "order_id")
     flow = view(spark, sf_dir, "data_flow").filter("access = 'write'").select(F.col("function").alias("fn"), T.bare_name(F.col("variable")).alias("symbol"), "line", "seq")
     calls = view(spark, sf_dir, "arguments").filter("caller <> ''")
     order = [F.asc_nulls_last("line"), F.asc("caller"), F.asc_nulls_last("argument")]
     callers = J.first_of(calls, ["callee"], order, 1).select("callee", "caller", F.col("line").alias("call_line"), "argument")
-    return origin_paths(alarms, flow, view(spark, sf_dir, "parameters"), callers)
+    return origin_paths(alarms, flow, view(spark, sf_dir, "parameters"), written(callers, "callers"))
