@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from boundwright.sources.shared import written
+
 #: The seq of copied fields starts here, behind all declarations.
 COPIES = 1 << 50
 RECORD = ["seq", "size", "noted", "pointer"]
@@ -67,7 +69,7 @@ def members(counted: DataFrame, types: DataFrame, fields: DataFrame, used: DataF
     flows = used.select("name").distinct().withColumns({"object": before_dot("name"), "member": after_dot("name")}).filter("member <> ''").join(typed, "object", "left_semi")
     flows = flows.select("object", "member", tail, F.lit(3).alias("rank"), F.lit(0).cast("long").alias("at"), "name", F.lit(None).cast("long").alias("size"), F.lit(False).alias("pointer"))
     first = lambda rows, key: rows.groupBy("object", key).agg(F.min(F.struct("rank", "at", "name", *(c for c in shape if c not in ("object", key, "rank", "at", "name")))).alias("m")).select("object", key, "m.*").select(*shape)
-    sized = first(of_type.unionByName(own.filter("rank = 1")), "tail")
+    sized = written(first(of_type.unionByName(own.filter("rank = 1")), "tail"), "sized")
     bare = own.filter("rank = 2").unionByName(flows).join(sized.select("object").distinct(), "object", "left_anti")
     return sized.unionByName(first(bare, "member")).drop("member")
 
@@ -78,7 +80,7 @@ def looked_up(keys: DataFrame, counted: DataFrame, types: DataFrame) -> DataFram
     A key is declared as it stands, else as `type.field` of its object's type, else as its field alone.
     """
     asked = keys.select("key").distinct().withColumns({"object": before_dot("key"), "field": after_dot("key")})
-    asked = asked.join(types, "object", "left").join(types.toDF("key", "own_type"), "key", "left")
+    asked = written(asked.join(types, "object", "left").join(types.toDF("key", "own_type"), "key", "left"), "keys")
     tried = enumerate((F.col("key"), F.concat(F.col("type"), F.lit("."), F.col("field")), F.col("field")))
     names = F.array(*(F.struct(F.lit(rank).alias("rank"), name.alias("name")) for rank, name in tried))
     each = asked.select("key", F.explode(F.filter(names, lambda n: n["name"].isNotNull())).alias("n")).select("key", "n.*")
@@ -107,7 +109,7 @@ def indexed_objects(keys: DataFrame, declarations: DataFrame, counted: DataFrame
     """
     asked = keys.select("key").distinct().withColumns({"root": before_dot("key"), "tail": F.when(F.contains("key", F.lit(".")), F.substring_index("key", ".", -1))})
     roles = F.array(*(F.struct(F.lit(r).alias("role"), F.col(r).alias("asked")) for r in ("key", "root", "tail")))
-    each = asked.select("key", F.explode(F.filter(roles, lambda r: r["asked"].isNotNull())).alias("r")).select("key", "r.*")
+    each = written(asked.select("key", F.explode(F.filter(roles, lambda r: r["asked"].isNotNull())).alias("r")).select("key", "r.*"), "each")
     answers = looked_up(each.select(F.col("asked").alias("key")), counted, types).withColumnRenamed("key", "asked")
     answer = F.struct("kind", "name", "size", "pointer")
     met = each.join(answers, "asked").groupBy("key").agg(*(F.max(F.when((F.col("role") == r) & F.col("kind").isNotNull(), answer)).alias(f"at_{r}") for r in ("key", "root", "tail")))
