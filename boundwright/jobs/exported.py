@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from boundwright.jobs.catalogue import LOCATED, query
 from boundwright.sources import exports as X
 from boundwright.sources.projections import view
+from boundwright.sources.shared import written
 
 #: Orders or rows in a file.
 PART = 20_000
+#: Calls in a file, about.
+CALLS = 200_000
 MARK = "﻿sep=;"
 
 
@@ -29,7 +32,8 @@ def export_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
     blank = rows.filter("order_id % 50 = 1").select("part", (F.col("order_id") * 2).alias("place"), F.lit(" ; ;;").alias("text"))
     last = rows.select("part", (F.col("order_id") * 2 + 1).alias("place"), line(F.col("classification")).alias("text"))
     path = X.export_files(first.unionByName(blank).unionByName(last), [MARK, "", "Run; of the analyser", "Message;Category;Order;Location;Classification"], "alarm-export")
-    read = X.latest(X.alarms(X.semicolon_csv(spark, path, X.ALARMS)), "order_id")
+    # Cut once: the aggregate would cut a line again for each column.
+    read = X.latest(written(X.alarms(X.semicolon_csv(spark, path, X.ALARMS)), "alarms"), "order_id")
     return read.select("order_id", F.col("Category").alias("category"), "source", "line", "col_start", "end_line", "col_end", F.col("Classification").alias("classification"), F.col("Message").alias("message"))
 
 
@@ -51,7 +55,9 @@ def export_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each call stands in export files; calls may lack a site or a caller."""
     calls = view(spark, sf_dir, "control_flow")
     site = F.coalesce(F.concat(F.lit("src.c:"), F.col("line"), F.lit(".3")), F.lit("unknown"))
-    part = F.pmod(F.xxhash64("caller", "callee", "line"), F.lit(16)).cast("int")
+    # As many files as calls need; 16 at least.
+    files = max(16, calls.count() // CALLS + 1)
+    part = F.pmod(F.xxhash64("caller", "callee", "line"), F.lit(files)).cast("int")
     path = X.export_files(calls.select(part.alias("part"), F.lit(0).cast("bigint").alias("place"), F.concat_ws(";", "caller", "callee", site, "process").alias("text")), ["Caller;Callee;Call site;Process"], "call-export", "\r")
     read = X.calls(X.semicolon_csv(spark, path, X.CALLS))
     return read.groupBy(F.col("Caller").alias("caller"), F.col("Callee").alias("callee"), F.col("Process").alias("process"), "line").agg(F.count("*").alias("n"))

@@ -56,16 +56,19 @@ def semicolon_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> Dat
     head = F.contains(F.col("text"), F.lit(";")) & ~F.lower("text").startswith("sep=") & F.substring_index("text", ";", 1).rlike(r"\p{L}")
     sure = F.when(head & F.col("text").rlike("|".join(MARKS)), F.col("line"))
     maybe = F.when(head, F.col("line"))
-    heads = lines.groupBy("file").agg(F.coalesce(F.min(sure), F.max(maybe)).alias("header"), F.coalesce(F.min_by("text", sure), F.max_by("text", maybe)).alias("names"))
+    # Numbers first, then the text of those lines: no task sorts the texts of its files.
+    heads = lines.groupBy("file").agg(F.coalesce(F.min(sure), F.max(maybe)).alias("header"))
     missing = F.raise_error(F.concat(F.lit("no header in "), F.col("file"))).cast("bigint")
-    heads = heads.select("file", F.coalesce("header", missing).alias("header"), F.reverse(cells(F.col("names"))).alias("names"))
-    rows = lines.join(heads, "file").filter("line > header").withColumn("cells", cells(F.col("text"))).filter(~F.array_join("cells", "").rlike(r"^\s*$"))
-
-    def value(name: str) -> Column:
-        at = F.array_position("names", name)
-        cell = F.when(at > 0, F.get("cells", (F.size("names") - at).cast("int")))
-        return F.regexp_replace(F.coalesce(cell, F.lit("")), r"^\s+|\s+$", "").alias(name)
-
+    names = F.reverse(cells(F.col("names")))
+    # Where each column stands, once a file; of columns of one name the last.
+    place = lambda name: F.when(F.array_contains(names, name), F.size(names) - F.array_position(names, name)).cast("int").alias(f"at_{columns.index(name)}")
+    heads = heads.select("file", F.coalesce("header", missing).alias("header"))
+    found = lines.select("file", F.col("line").alias("header"), F.col("text").alias("names")).join(F.broadcast(heads), ["file", "header"])
+    heads = F.broadcast(written(found.select("file", "header", *map(place, columns)), "heads"))
+    # A line with a letter besides separators and quotes is no blank row; only others are cut to see.
+    told = F.col("text").rlike(r'[^;\s"]') | ~F.array_join(cells(F.col("text")), "").rlike(r"^\s*$")
+    rows = lines.join(heads, "file").filter("line > header").filter(told).withColumn("cells", cells(F.col("text")))
+    value = lambda name: F.regexp_replace(F.coalesce(F.get("cells", F.col(f"at_{columns.index(name)}")), F.lit("")), r"^\s+|\s+$", "").alias(name)
     return rows.select("file", F.col("line").alias("row"), *map(value, columns))
 
 

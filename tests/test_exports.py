@@ -62,3 +62,13 @@ def test_headers(small_splits, tmp_path):
 def test_last_rows(spark):
     rows = spark.createDataFrame([("f", 2, "1,0", "true"), ("f", 11, "10", ""), ("f", 9, "10", "false"), ("f", 3, "1 0", "true"), ("g", 1, "7", "u"), ("f", 5, "x", "true")], "file string, row long, Order string, Classification string")
     assert sorted(map(tuple, X.labels(rows).collect())) == [(7, "u"), (10, "false")]
+
+
+def test_call_files_grow_in_number(spark, sf_dir, monkeypatch):
+    from boundwright.jobs import exported
+
+    made, files = [], exported.X.export_files
+    monkeypatch.setattr(exported.X, "export_files", lambda rows, *more: made.append(rows.select("part").distinct().count()) or files(rows, *more))
+    monkeypatch.setattr(exported, "CALLS", 100, raising=False)
+    # Before, sixteen files, each sorted by one task, however many calls there were.
+    assert exported.export_calls(spark, sf_dir).count() > 5000 and made[0] > 50
