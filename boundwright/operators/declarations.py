@@ -1,6 +1,6 @@
 """Declarations by name: which of several counts, what a name stands for, and which object an index goes into.
 
-declarations: seq (a total order), name, size, noted (a note of the reader stands beside it), pointer. types: object, type.
+declarations: seq (their order), name, size, noted (a note of the reader stands beside it), pointer. types: object, type.
 fields: type, field, seq, size, pointer. A look-up takes several names in turn; they are exploded once with their ranks, meet the
 declarations in one join, and the least rank is kept.
 """
@@ -25,15 +25,17 @@ def best(declarations: DataFrame) -> DataFrame:
     those above 0 (noted) and those of 0 without a note replace each other whenever they alternate: what stays is
     the first after the last of the other kind. Where neither is there, it is the first noted 0, else the first. All of this are sums
     for each name, which combine before they are shuffled, and no list of a name's declarations is made.
+    Declarations with one seq follow each other by size (none first), note and pointer, so that the order is total and none is lost.
     """
     size, noted = F.col("size"), F.col("noted")
     kind = F.when((size > 0) & ~noted, 0).when(size > 0, 1).when(size.isNotNull() & ~noted, 2).when(size.isNotNull(), 3).otherwise(4)
-    rows = declarations.select("name", *RECORD, kind.alias("kind"))
-    last = lambda k: F.max(F.when(F.col("kind") == k, F.col("seq")))
+    rows = declarations.select("name", *RECORD, F.struct(*RECORD).alias("place"), kind.alias("kind"))
+    last = lambda k: F.max(F.when(F.col("kind") == k, F.col("place")))
+    behind = lambda k: F.col(f"last_{k}").isNull() | (F.col("place") > F.col(f"last_{k}"))
     ends = rows.groupBy("name").agg(last(1).alias("last_1"), last(2).alias("last_2"), F.min("seq").alias("first_seq"))
     met = rows.join(ends, "name")
     # The run that the last of both kinds belongs to; kinds 0, 3 and 4 have their first.
-    after = F.when(F.col("kind") == 1, F.col("seq") > F.coalesce("last_2", F.lit(-1))).when(F.col("kind") == 2, F.col("seq") > F.coalesce("last_1", F.lit(-1))).otherwise(True)
+    after = F.when(F.col("kind") == 1, behind(2)).when(F.col("kind") == 2, behind(1)).otherwise(True)
     rank = F.when(F.col("kind") == 0, 0).when(F.col("kind").isin(1, 2), 1).when(F.col("kind") == 3, 2).otherwise(3)
     top = met.filter(after).groupBy("name", "first_seq").agg(F.min(F.struct(rank.alias("rank"), *RECORD)).alias("d"))
     return top.select("name", "first_seq", *(F.col(f"d.{c}") for c in RECORD))

@@ -27,6 +27,16 @@ def test_best_is_the_fold(spark):
     assert got == fold(rows)
 
 
+def test_best_with_ties_is_the_fold(spark):
+    rng = random.Random(8)
+    rows = [(1, "two", 0, False, False), (1, "two", 5, True, False)]
+    rows += [(rng.randrange(4), f"n{rng.randrange(300)}", rng.choice([None, 0, 0, 5, 9]), rng.random() < 0.8, rng.random() < 0.5) for _ in range(2000)]
+    placed = sorted(rows, key=lambda r: (r[0], -1 if r[2] is None else r[2], *r[3:]))
+    got = {r.name: (r.seq, r.name, r.size, r.noted, r.pointer) for r in D.best(spark.createDataFrame(rows, ROWS)).collect()}
+    want = fold([(i, *r[1:]) for i, r in enumerate(placed)])
+    assert got == {k: (placed[v[0]][0], *v[1:]) for k, v in want.items()}
+
+
 def test_steps(spark):
     declared = [(1, "a", 4, False, False), (2, "o.m", None, False, True), (3, "T.x", None, True, False), (4, "x", 6, False, False), (5, "p", None, False, True), (6, "v", None, False, False), (7, "deep", 3, False, False), (8, "w", 8, False, False)]
     declarations = spark.createDataFrame(declared, ROWS)
