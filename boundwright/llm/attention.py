@@ -44,7 +44,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
 from functools import lru_cache
 from itertools import chain, groupby, islice
-from math import log10
+from math import fsum, log10
 
 import numpy as np
 import pandas as pd
@@ -140,10 +140,10 @@ def split(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def laid(ids: np.ndarray, end: int) -> np.ndarray:
-    """A document's ids after padding and the end id, padded to whole windows."""
+def laid(ids: np.ndarray, end: int, pad: int = PAD) -> np.ndarray:
+    """A document's ids after padding and the end id, padded to whole windows; of the type of its ids."""
     n = -(-len(ids) // STRIDE)
-    line = np.full(CONTEXT + 1 + n * STRIDE, PAD, dtype=np.int32)
+    line = np.full(CONTEXT + 1 + n * STRIDE, pad, dtype=ids.dtype)
     line[CONTEXT] = end
     line[CONTEXT + 1 : CONTEXT + 1 + len(ids)] = ids
     return line
@@ -254,11 +254,13 @@ class Model:
         query, key, value = w["query"].take(now, 0), w["key"].take(rows, 0), w["value"].take(rows, 0)
         query *= self.scale
         a = np.matmul(query, key.transpose(0, 2, 1))
+        far = TOP - np.abs(w["distance"]).max()
+        plain = -far <= a.min() and a.max() <= far if a.size else True  # every place sees one that is no padding, so no row needs a shift
         a += w["distance"][np.maximum(DISTANCE, 0)] + MASK
         padding = rows == ROWS - 1
         padded = np.flatnonzero(padding.any(1))
         a[padded] += np.where(padding[padded], np.float32(-1e9), np.float32(0))[:, None, :]
-        total = exponentials(a).sum(-1, keepdims=True)
+        total = row_sums(np.exp(a, out=a) if plain else exponentials(a))
         state = np.matmul(a, value)
         state /= total
         state += w["residual"].take(now, 0)
@@ -335,12 +337,16 @@ class Model:
         a /= total
         state, target = shaped.reshape(-1, DEPTH), lines[:, CONTEXT + 1 :].ravel()
         known = target != PAD
-        weight = (known / max(1, known.sum())).astype(np.float32)[:, None]
+        missing = np.flatnonzero(~known)
+        weight = np.float32(1 / max(1, len(known) - len(missing)))  # of every id; gradients are sums until the end
         slot, group, order, cuts = self.places(target)
         latest = rows[:, CONTEXT:].ravel()
-        off = off_target(state @ w["class"] + w["class_bias"] + self.after.take(latest, 0), group)
-        off *= weight
-        g = {"class": state.T @ off, "class_bias": off.sum(0), "member": np.zeros_like(w["member"]), "member_bias": np.zeros_like(w["member_bias"])}
+        off = state @ w["class"]
+        off += (self.after + w["class_bias"]).take(latest, 0)
+        off = off_target(off, group)
+        off[missing] = 0
+        ones = np.ones(len(off), dtype=np.float32)
+        g = {"class": state.T @ off, "class_bias": ones @ off, "member": np.zeros_like(w["member"]), "member_bias": np.zeros_like(w["member_bias"])}
         back = off @ w["class"].T
         head, tail = order[: cuts[-2]], order[cuts[-2] :]
         tail = tail[known[tail]]
@@ -348,36 +354,38 @@ class Model:
         off = self.member_logits(own, latest[head], of, cuts, self.within)
         off += w["member_bias"].take(of, 0)
         off = off_target(off, slot[head] % CLASS)
-        off *= weight[head]
+        off[~known[head]] = 0
         to_own = np.empty_like(own)
         for c in np.flatnonzero(cuts[1:-1] > cuts[:-2]).tolist():
             part = slice(cuts[c], cuts[c + 1])
-            g["member"][c], g["member_bias"][c] = own[part].T @ off[part], off[part].sum(0)
+            g["member"][c], g["member_bias"][c] = own[part].T @ off[part], ones[part] @ off[part]
             np.matmul(off[part], w["member"][c].T, out=to_own[part])
         back[head] += to_own
         if len(tail):
             own, slot = state[tail], slot[tail]
-            off = off_target(own @ w["tail"] + (self.tail + w["tail_bias"]), (slot - HEAD) // TAIL) * weight[tail]
+            off = off_target(own @ w["tail"] + (self.tail + w["tail_bias"]), (slot - HEAD) // TAIL)
             g |= {"tail": own.T @ off, "tail_bias": off.sum(0)}
             to_own = off @ w["tail"].T
             for c, some in self.tail_parts(slot):
                 v = w[f"tail-{c}"]
-                off = off_target(own[some] @ v[:-1] + (self.tails[c] + v[-1]), (slot[some] - HEAD) % TAIL) * weight[tail[some]]
+                off = off_target(own[some] @ v[:-1] + (self.tails[c] + v[-1]), (slot[some] - HEAD) % TAIL)
                 g[f"tail-{c}"] = np.vstack((own[some].T @ off, off.sum(0)))
                 to_own[some] += off @ v[:-1].T
             back[tail] += to_own
-        back = (back * (state > 0)).reshape(shaped.shape)
+        back *= state > 0
+        back = back.reshape(shaped.shape)
         to_value = np.matmul(a.transpose(0, 2, 1), back)
         to_a = np.matmul(back, value.transpose(0, 2, 1))
-        to_a -= np.einsum("bij,bij->bi", a, to_a)[:, :, None]
         to_a *= a
+        to_a -= a * row_sums(to_a)
         g["distance"] = np.bincount(np.maximum(DISTANCE, 0).ravel(), np.where(DISTANCE < 0, 0, to_a.sum(0)).ravel(), SPAN).astype(np.float32)
         to_query, to_key = np.matmul(to_a, key), np.matmul(to_a.transpose(0, 2, 1), query)
         to_query *= self.scale
         now = rows[:, CONTEXT:]
-        for name, at, slope in (("query", now, to_query), ("key", rows, to_key), ("value", rows, to_value), ("residual", now, back)):
-            place = (at.reshape(-1, 1) * DEPTH + np.arange(DEPTH, dtype=np.int32)).ravel()
-            g[name] = np.bincount(place, slope.ravel(), w[name].size).astype(np.float32).reshape(w[name].shape)
+        g["key"], g["value"] = sums_at(rows, ROWS, to_key, to_value)
+        g["query"], g["residual"] = sums_at(now, ROWS, to_query, back)
+        for v in g.values():
+            v *= weight
         return g
 
     def learn(self, slices: Iterable[np.ndarray], seed: int, rate: float, batch: int = BATCH) -> int:
@@ -413,24 +421,42 @@ class Model:
 
 def exponentials(z: np.ndarray) -> np.ndarray:
     """e to the logits of each row, in place, up to a factor of the row's own."""
-    if z.size:
+    if z.size and not (-TOP <= z.min() and z.max() <= TOP):  # only then are the rows' own looked for
         top = z.max(-1, keepdims=True)
         if top.max() > TOP or top.min() < -TOP:
             z -= top
     return np.exp(z, out=z)
 
 
+def row_sums(z: np.ndarray) -> np.ndarray:
+    """The sums along the last axis, as a product, which is several times faster on short rows."""
+    return (z.reshape(-1, z.shape[-1]) @ np.ones(z.shape[-1], dtype=z.dtype)).reshape(*z.shape[:-1], 1)
+
+
+def sums_at(at: np.ndarray, n: int, *slopes: np.ndarray) -> list[np.ndarray]:
+    """Of each array the sums, in n rows, of the rows that `at` sends to the same place."""
+    at = at.ravel().astype(np.uint16)
+    order = np.argsort(at, kind="stable")
+    first = np.flatnonzero(np.diff(at[order], prepend=np.uint16(n)))
+    out = []
+    for slope in slopes:
+        g = np.zeros((n, slope.shape[-1]), dtype=slope.dtype)
+        g[at[order[first]]] = np.add.reduceat(slope.reshape(-1, slope.shape[-1]).take(order, 0), first)
+        out.append(g)
+    return out
+
+
 def softmax_at(z: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The log softmax of each row at one place."""
     exponentials(z)
-    out = z[np.arange(len(z)), at] / z.sum(1)
+    out = z[np.arange(len(z)), at] / row_sums(z)[:, 0]
     return np.log(np.maximum(out, np.float32(1e-37)))
 
 
 def off_target(z: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The softmax of each row, less one at one place."""
     exponentials(z)
-    z /= z.sum(1, keepdims=True)
+    z /= row_sums(z)
     z[np.arange(len(z)), at] -= 1
     return z
 
@@ -553,9 +579,9 @@ def blocks(docs: DataFrame, end: int, k: int) -> DataFrame:
                 some = np.flatnonzero(number % np.uint64(ROUNDS) == k)
                 if not len(some):
                     continue
-                line = laid(unpacked([ids], kind), end).astype(kind)
+                line, size = laid(np.frombuffer(ids, dtype=kind), end, np.iinfo(kind).max).tobytes(), kind.itemsize
                 found.append(number[some])
-                lines += [line[i * BLOCK * STRIDE : (i + 1) * BLOCK * STRIDE + CONTEXT + 1].tobytes() for i in some.tolist()]
+                lines += [line[i * BLOCK * STRIDE * size : ((i + 1) * BLOCK * STRIDE + CONTEXT + 1) * size] for i in some.tolist()]
             yield pd.DataFrame({"number": np.concatenate([np.empty(0, dtype=np.uint64), *found]).astype(np.int64), "block": lines})
 
     return docs.select("number", "ids").mapInPandas(cut, "number long, block binary")
@@ -661,8 +687,8 @@ def scored(docs: DataFrame, tokens: tuple[str, str]) -> DataFrame:
     share = lambda c: log10((c + 0.1) / floor)
     end, spelt = subwords(*tokens).end, written(encoded(words, tokens), "spelt")
     model = Model.fresh(id_counts(spelt, ends, end), end, lambda row, slot: pair_counts(spelt, row, slot))
-    common = {bytes(r.word): (r.n, share(r.n)) for r in commonest(words).collect()}
-    spelt_words = Words.of(subwords(*tokens), list(common), [x for _, x in common.values()], share(ends))
+    common = {bytes(r.word): share(r.n) for r in commonest(words).collect()}
+    spelt_words = Words.of(subwords(*tokens), list(common), list(common.values()), share(ends))
     sent = spark.sparkContext.broadcast(common)
 
     @F.pandas_udf(READ)
@@ -671,15 +697,9 @@ def scored(docs: DataFrame, tokens: tuple[str, str]) -> DataFrame:
         for at in range(0, len(texts), ROWS_HELD):
             split_ = [split(x) for x in texts.iloc[at : at + ROWS_HELD]]
             for some, ids in zip(split_, subwords(*tokens).ids(split_), strict=True):
-                base, known, rare, times = 0.0, 0, [], []
-                for w, n in Counter(some).items():
-                    if (hit := common.get(w)) is None:
-                        rare.append(w)
-                        times.append(n)
-                    else:
-                        base += n * hit[1]
-                        known += n
-                rows.append((len(some), base, known, ids.astype(kind).tobytes(), rare, times))
+                shares = [x for x in map(common.get, some) if x is not None]
+                rare = Counter(w for w in some if w not in common) if len(shares) < len(some) else {}
+                rows.append((len(some), fsum(shares), len(shares), ids.astype(kind).tobytes(), list(rare), list(rare.values())))
         return pd.DataFrame(rows, columns=["n_words", "base", "known", "ids", "rare", "times"])
 
     judged = own.select("doc_id", "held_out", F.xxhash64("doc_id", "text").alias("number"), take("text").alias("j")).select("doc_id", "held_out", "number", "j.*")

@@ -213,3 +213,27 @@ def test_known_words_cost_their_share_at_most(model):
 def test_little_to_learn_from(spark, sf_dir):
     new = [r for r in a.op6_attention(spark, sf_dir).collect() if r.held_out]
     assert new and sum(r.score for r in new) > 1.07 * sum(r.base_score for r in new)
+
+
+def test_sums_at_are_those_of_a_loop():
+    draw = np.random.default_rng(4)
+    at, slope = draw.integers(0, a.ROWS, (7, 5)).astype(np.int32), draw.normal(0, 1, (7, 5, 3)).astype(np.float32)
+    want = np.zeros((a.ROWS, 3), dtype=np.float32)
+    np.add.at(want, at.ravel(), slope.reshape(-1, 3))
+    one, other = a.sums_at(at, a.ROWS, slope, 2 * slope)
+    assert np.allclose(one, want, atol=1e-5) and np.allclose(other, 2 * want, atol=1e-5)
+
+
+def test_rows_of_ordinary_logits_are_not_searched_for_their_greatest():
+    class Counted(np.ndarray):
+        by_rows = 0
+
+        def max(self, axis=None, **more):
+            Counted.by_rows += axis is not None
+            return np.asarray(self).max(axis=axis, **more)
+
+    z = np.random.default_rng(5).normal(0, 9, (40, 33)).astype(np.float32)
+    want = np.exp(z)
+    assert np.array_equal(np.asarray(a.exponentials(z.copy().view(Counted))), want) and Counted.by_rows == 0
+    far = (z - np.float32(200)).view(Counted)
+    assert np.isfinite(np.log(a.exponentials(far))).all() and Counted.by_rows == 1
