@@ -45,6 +45,7 @@ from dataclasses import dataclass, field, replace
 from functools import lru_cache
 from itertools import chain, groupby, islice
 from math import fsum, log10
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -64,8 +65,8 @@ LEARNER_WINDOWS, BLOCK = 1 << 16, 8
 FREQUENT = 1 << 16
 #: Parts of a doubling in the histogram of word counts.
 STEPS = 8
-#: Windows scored at a time, blocks put in order at a time, entries of a dictionary of words, and models averaged in one task.
-SLICE, ORDERED, KEPT_WORDS, FAN = 512, 512, 300_000, 32
+#: Windows scored at a time, blocks put in order at a time, entries of a dictionary of words, and models averaged in one group, each cut into so many pieces.
+SLICE, ORDERED, KEPT_WORDS, FAN, PIECES = 512, 512, 300_000, 32, 32
 #: Documents that a worker holds at once, and words whose ids it remembers.
 ROWS_HELD, REMEMBERED = 400, 300_000
 PAD = -1
@@ -542,6 +543,7 @@ def pair_counts(words: DataFrame, row: np.ndarray, slot: np.ndarray) -> np.ndarr
 
     out = np.zeros((ROWS + 1) * (HEAD + 2))
     sums = words.mapInPandas(counted, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    sent.destroy()
     out[sums["pair"].to_numpy()] = sums["n"].to_numpy()
     return out.reshape(ROWS + 1, HEAD + 2)
 
@@ -608,12 +610,13 @@ def ordered(batches, kind: np.dtype):
 PARTS = ("w", "memory")
 
 
-def taught(docs: DataFrame, model: Model, k: int, learners: int = 1, batch: int = BATCH) -> DataFrame:
-    """(part, n, w): of each learner, what has changed of the model after all its n windows of documents (number, ids) in round k."""
-    start, rate = docs.sparkSession.sparkContext.broadcast(model), RATE * (1 - 0.85 * (k + 0.5) / ROUNDS)
+def taught(docs: DataFrame, model: Model, k: int, learners: int = 1, batch: int = BATCH, sent=None) -> DataFrame:
+    """(part, n, w): of each learner, what has changed of the model after all its n windows of documents (number, ids) in round k. sent: the model's broadcast, where it has one."""
+    start, rate = sent or docs.sparkSession.sparkContext.broadcast(model), RATE * (1 - 0.85 * (k + 0.5) / ROUNDS)
     kind = packing(model.end)
 
     def learn(batches):
+        subwords.cache_clear()  # words that the worker remembers from an earlier stage are of no use here
         model = start.value
         for part, slices in groupby(ordered(batches, kind), key=lambda x: x[0]):
             own = replace(model, **{x: {k: v.copy() for k, v in getattr(model, x).items()} for x in PARTS})
@@ -628,21 +631,40 @@ def taught(docs: DataFrame, model: Model, k: int, learners: int = 1, batch: int
 
 
 def averaged(some: DataFrame) -> DataFrame:
-    """One row of rows (part, n, w): the mean of the changes by n, FAN or so in a task at a time. A weight that a row lacks did not change."""
+    """One row of rows (part, n, w): the mean of the changes by n. A weight that a row lacks did not change.
+
+    The changes are cut by names into PIECES, and FAN or so of one piece are averaged at a time, so a group is FAN / PIECES whole models or so.
+    """
+
+    def cut(batches):
+        for pdf in batches:
+            for part, n, x in zip(pdf["part"], pdf["n"], pdf["w"], strict=True):
+                pieces = [{} for _ in range(PIECES)]
+                for name, v in pickle.loads(x).items():
+                    pieces[crc32(repr(name).encode()) % PIECES][name] = v
+                yield pd.DataFrame({"piece": range(PIECES), "part": part, "n": n, "w": [pickle.dumps(v) for v in pieces]})
 
     def mean(pdf):
         pdf, total = pdf.sort_values("part"), {}
         for n, x in zip(pdf["n"], pdf["w"], strict=True):
             for name, v in pickle.loads(x).items():
                 total[name] = total.get(name, 0) + int(n) * v.astype(np.float64)
-        n = int(pdf["n"].sum())
-        return pd.DataFrame({"part": [int(pdf["part"].min())], "n": [n], "w": [pickle.dumps({k: (v / n).astype(np.float32) for k, v in total.items()})]})
+        n, own = int(pdf["n"].sum()), pdf.iloc[:1]
+        return own.assign(n=n, w=[pickle.dumps({k: (v / n).astype(np.float32) for k, v in total.items()})])[["piece", "part", "n", "w"]]
+
+    def joined(pdf):
+        whole = {k: v for x in pdf["w"] for k, v in pickle.loads(x).items()}
+        return pd.DataFrame({"part": [0], "n": pdf["n"].iloc[:1], "w": [pickle.dumps(whole)]})
 
     left = some.count()
+    if left < 2:
+        return some
+    kind = "piece int, part int, n long, w binary"
+    each = some.mapInPandas(cut, kind)
     while left > 1:
         left = -(-left // FAN)
-        some = written(some.groupBy((F.col("part") % left).alias("of")).applyInPandas(mean, some.schema).withColumn("part", F.col("part") % left), "averaged")
-    return some
+        each = written(each.groupBy("piece", (F.col("part") % left).alias("of")).applyInPandas(mean, kind).withColumn("part", F.col("part") % left), "averaged")
+    return each.groupBy("part").applyInPandas(joined, some.schema)
 
 
 def trained(docs: DataFrame, model: Model) -> Model:
@@ -652,7 +674,10 @@ def trained(docs: DataFrame, model: Model) -> Model:
     learners = max(1, -(-windows // (ROUNDS * LEARNER_WINDOWS)))
     batch = min(BATCH, max(LEAST_BATCH, windows // LEAST_BATCHES))
     for k in range(ROUNDS):
-        if last := averaged(written(taught(docs, model, k, learners, batch), "learned")).first():
+        sent = docs.sparkSession.sparkContext.broadcast(model)
+        learned = written(taught(docs, model, k, learners, batch, sent), "learned")
+        sent.destroy()
+        if last := averaged(learned).first():
             for (x, name), v in pickle.loads(last.w).items():
                 getattr(model, x)[name] = getattr(model, x).get(name, 0) + v
     return model
@@ -704,10 +729,12 @@ def scored(docs: DataFrame, tokens: tuple[str, str]) -> DataFrame:
 
     judged = own.select("doc_id", "held_out", F.xxhash64("doc_id", "text").alias("number"), take("text").alias("j")).select("doc_id", "held_out", "number", "j.*")
     judged = written(judged.withColumn("at", F.monotonically_increasing_id()), "judged")
+    sent.destroy()
     model = spark.sparkContext.broadcast(replace(trained(judged.filter("NOT held_out"), model), memory={}, words=spelt_words))
 
     @F.pandas_udf("double")
     def probability(ids: pd.Series) -> pd.Series:
+        subwords.cache_clear()
         kind = packing(end)
         some = [[unpacked([x], kind) for x in ids.iloc[at : at + ROWS_HELD]] for at in range(0, len(ids), ROWS_HELD)]
         return pd.Series(np.concatenate([np.empty(0), *map(model.value.score, some)]) / np.log(10))
@@ -721,6 +748,7 @@ def scored(docs: DataFrame, tokens: tuple[str, str]) -> DataFrame:
     )
     both = judged.select("at", "doc_id", "held_out", "n_words", "known", "base", probability("ids").alias("score"))
     both = written(both, "scored").join(rare, "at", "left")
+    model.destroy()
     return both.select(
         "doc_id",
         "held_out",

@@ -1,3 +1,4 @@
+import os
 import zlib
 from collections import Counter
 from math import log10
@@ -237,3 +238,26 @@ def test_rows_of_ordinary_logits_are_not_searched_for_their_greatest():
     assert np.array_equal(np.asarray(a.exponentials(z.copy().view(Counted))), want) and Counted.by_rows == 0
     far = (z - np.float32(200)).view(Counted)
     assert np.isfinite(np.log(a.exponentials(far))).all() and Counted.by_rows == 1
+
+
+def test_models_are_averaged_in_pieces(spark, monkeypatch):
+    names = [("w", f"tail-{c}") for c in range(200)]
+    draw = np.random.default_rng(6)
+    rows = [(p, p % 3 + 1, {x: draw.normal(0, 1, 500).astype(np.float32) for x in names[p % 2 :]}) for p in range(40)]
+    want = {x: sum(n * w[x].astype(np.float64) for _, n, w in rows if x in w) / sum(n for _, n, _ in rows) for x in names}
+    kept = []
+    monkeypatch.setattr(a, "written", lambda df, label, own=a.written: kept.append(own(df, label)) or kept[-1])
+    one = a.averaged(spark.createDataFrame([(p, n, a.pickle.dumps(w)) for p, n, w in rows], "part int, n long, w binary")).collect()
+    got = a.pickle.loads(one[0].w)
+    assert len(one) == 1 and one[0].n == sum(n for _, n, _ in rows) and got.keys() == want.keys()
+    assert all(np.allclose(got[x], want[x], atol=1e-5) for x in names)
+    largest = max(r.m for df in kept for r in df.selectExpr("max(octet_length(w)) AS m").collect())
+    assert len(kept) == 2 and largest < len(one[0].w) / 8
+
+
+def test_broadcasts_end_with_the_query(spark, sf_dir, monkeypatch):
+    made, own = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: made.append(own(self, value)) or made[-1])
+    got = a.op6_attention(spark, sf_dir)
+    assert len(made) == a.ROUNDS + 3 and all(b._path is None or not os.path.exists(b._path) for b in made)
+    assert got.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
