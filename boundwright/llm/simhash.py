@@ -117,7 +117,8 @@ def links(prints: DataFrame) -> DataFrame:
     rows = signatures(prints.select("fp").distinct().repartition(parts))
     zeros = rows.filter("side != 1").selectExpr("key", "fp AS x")
     ones = rows.filter("side != 0").selectExpr("key", "fp AS y")
-    near = zeros.join(ones, "key").filter(f"bit_count(x ^ y) BETWEEN 1 AND {MAX_BITS}")
+    # Spark sizes what is made of a row as one row, and would broadcast 66 times what it takes for small.
+    near = zeros.hint("merge").join(ones.hint("merge"), "key").filter(f"bit_count(x ^ y) BETWEEN 1 AND {MAX_BITS}")
     return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 

@@ -63,6 +63,13 @@ def test_links_and_components_against_brute_force(spark):
     assert {r.id: r.component for r in got} == want
 
 
+def test_no_signature_is_broadcast(spark):
+    """However few bytes Spark takes the rows made of fingerprints for."""
+    draw = random.Random(10)
+    frame = spark.createDataFrame([(draw.getrandbits(63),) for _ in range(2000)], "fp long")
+    assert "Broadcast" not in s.links(frame)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_long_path(spark):
     pairs = spark.range(60).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {tuple(r) for r in s.connected(pairs).collect()} == {(i, 0) for i in range(1, 61)}
