@@ -259,7 +259,7 @@ def similar_links(own: DataFrame, texts: DataFrame) -> DataFrame:
     pairs = written(candidates(met).union(variant_candidates(own.select("fp", "print"))).distinct(), "candidates")
     # Whoever is in a candidate or a large group is in one of these pairs, so each text is hashed again once at most.
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    chosen = own.select("fp", "at").join(nodes, "fp", "left_semi")
+    chosen = own.select("fp", "at").join(nodes.hint("merge"), "fp", "left_semi")
     sets = written(texts.join(chosen, "at").select("fp", F.pandas_udf(hashed, "array<long>")("text").alias("hashes")), "sets")
     first = verified(pairs, sets, "near")
     return first.union(verified(apart(met, connected(first), sets), sets, "apart"))

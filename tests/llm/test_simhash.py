@@ -70,6 +70,14 @@ def test_no_signature_is_broadcast(spark):
     assert "Broadcast" not in s.links(frame)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_no_candidates_are_broadcast(spark, monkeypatch):
+    plans, keep = {}, s.written
+    monkeypatch.setattr(s, "written", lambda df, label: plans.update({label: df._jdf.queryExecution().executedPlan().toString()}) or keep(df, label))
+    docs = spark.createDataFrame([(i, f"a b c d e {i // 2}") for i in range(40)], "doc_id long, text string")
+    assert s.survivors(docs).count() == 20
+    assert "LeftSemi" in plans["sets"] and "LeftSemi, BuildRight" not in plans["sets"]
+
+
 def test_a_long_path(spark):
     pairs = spark.range(60).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {tuple(r) for r in s.connected(pairs).collect()} == {(i, 0) for i in range(1, 61)}
