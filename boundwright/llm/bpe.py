@@ -35,6 +35,8 @@ from boundwright.llm.common import bounded_batches, table
 
 #: Chunks and pre-tokens whose ids a worker remembers; when more come, it forgets all but the CACHE // 2 it met first.
 CACHE = 700_000
+#: Texts that are cut into chunks at a time.
+HELD = 200
 #: Pre-tokens up to this many bytes are merged many at a time.
 WIDEST = 64
 #: The pattern that `chunks` is made for.
@@ -168,7 +170,10 @@ class Vocabulary:
                 cache.update(zip(names[at : at + 20_000], self.merge_rows(some[at : at + 20_000], width), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as the bytes of 32-bit integers."""
+        """The ids of each text, as the bytes of 32-bit integers; the chunks of HELD texts are held at once."""
+        return [ids for at in range(0, len(texts), HELD) for ids in self.encode_some(texts[at : at + HELD])]
+
+    def encode_some(self, texts: list[str]) -> list[bytes]:
         cache = self.cache
         if len(cache) > CACHE:
             for key in list(islice(cache, CACHE // 2, None)):

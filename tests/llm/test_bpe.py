@@ -24,6 +24,15 @@ def ids(texts):
     return [np.frombuffer(x, dtype=np.int32).tolist() for x in bpe.vocabulary(PATH, P.PATTERN).encode(texts)]
 
 
+def test_chunks_of_few_texts_are_held_at_once(exact, monkeypatch):
+    own, met = bpe.Vocabulary(PATH, P.PATTERN), []
+    merge = own.merge
+    monkeypatch.setattr(own, "merge", lambda words: met.append(len(words)) or merge(words))
+    texts = [f"word{i}q" for i in range(1000)]
+    assert [np.frombuffer(x, dtype=np.int32).tolist() for x in own.encode(texts)] == [exact.encode_ordinary(x) for x in texts]
+    assert max(met) <= 3 * 200 and own.encode([]) == []
+
+
 def test_odd_texts(exact):
     assert ids(ODD) == [exact.encode_ordinary(x) for x in ODD]
 
